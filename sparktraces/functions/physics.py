@@ -39,7 +39,7 @@ def effective_radius(width: Column, height: Column) -> Column:
 def shear(width: Column, height: Column, length: Column, pressure: Column, viscosity: Column) -> dict[str, Column]:
     """Wall stress, wall rate, flow and geometry; lengths in um, pressure in Pa."""
     h, w, run = F.least(width, height) * 1e-6, F.greatest(width, height) * 1e-6, length * 1e-6
-    aspect = h / w
+    aspect = F.least(width, height) / F.greatest(width, height)
     f = shape_factor(width, height)
     stress = pressure * h / (2 * run) / (1 + aspect)
     flow = stress * w * h * h / (6 * viscosity * (1 + aspect) * f)

@@ -39,11 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    """Rounded double without negative zero."""
+    """Double rounded half up in binary arithmetic, so every engine gives the same digits."""
     column = F.col(value) if isinstance(value, str) else value
-    return F.round(column, digits) + F.lit(0.0)
+    scale = F.lit(float(10**digits))
+    return F.floor(column * scale + F.lit(0.5)) / scale
 
 
 def sql_round(expression: str, digits: int = 6) -> str:
     """SQL twin of `rounded`."""
-    return f"(round({expression}, {digits}) + 0.0)"
+    return f"(floor(({expression})::DOUBLE * 1e{digits} + 0.5::DOUBLE) / 1e{digits})"
