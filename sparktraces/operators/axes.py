@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktraces.operators.sequence import attach, rolling, summarise, with_summary
+from sparktraces.operators.sequence import attach, renumber, rolling, summarise, with_summary, without_chunks
 
 
 def elapsed(df: DataFrame, keys: Sequence[str], t: str, *, out: str = "elapsed", frame: str = "frame") -> DataFrame:
@@ -107,6 +107,7 @@ def densify(df: DataFrame, keys: Sequence[str], *, fill: float | None = None, fr
 
     The spine is cut per present row up to the next one, so no task lists a whole trace.
     """
+    df = without_chunks(df)
     values = [c for c in df.columns if c not in keys and c != frame]
     positions = df.select(*keys, frame).distinct()
     first = positions.groupBy(*keys).agg(F.min(frame).alias(frame))
@@ -121,8 +122,6 @@ def densify(df: DataFrame, keys: Sequence[str], *, fill: float | None = None, fr
 
 def _next_frame(positions: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
     """Each present frame with the following present frame (itself + 1 at the end)."""
-    from sparktraces.operators.sequence import renumber
-
     dense = renumber(positions, keys, frame=frame, out="_pos")
     ahead = rolling(dense, keys, {"_n": lambda w: F.lead(frame).over(w)}, after=1, frame="_pos")
     return ahead.select(*keys, frame, F.coalesce("_n", F.col(frame) + 1).alias("_next"))

@@ -4,6 +4,10 @@ A trace may hold a large share of all rows, so nothing here opens a window over
 a full trace.  Rows are cut into chunks of consecutive frames; a window runs per
 (trace, chunk), neighbouring chunks share a few halo rows, and anything that
 must cross chunks travels as one summary row per chunk.
+
+Operators leave the chunk number on their rows in a column named by
+`chunk_column`.  Rows that already carry it are laid out by (trace, chunk), and
+later operators on the same frame column reuse that layout without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +24,21 @@ def floor_div(value: Column, size: int) -> Column:
     return F.floor(value / F.lit(size)).cast("long")
 
 
+def chunk_column(frame: str = "frame", chunk_rows: int = CHUNK_ROWS) -> str:
+    return f"_{frame}_by_{chunk_rows}"
+
+
+def chunked(df: DataFrame, frame: str = "frame", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with their chunk number."""
+    name = chunk_column(frame, chunk_rows)
+    return df if name in df.columns else df.withColumn(name, floor_div(F.col(frame), chunk_rows))
+
+
+def without_chunks(df: DataFrame) -> DataFrame:
+    """Rows without any layout column, for output."""
+    return df.drop(*[c for c in df.columns if c.startswith("_") and "_by_" in c])
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -96,13 +115,14 @@ def rolling(
     window of one chunk and is applied in order, so a later column may use an
     earlier one; ``before`` and ``after`` then cover the sum of their reach.
     """
+    chunk = chunk_column(frame, chunk_rows)
     first = F.greatest(F.lit(0), floor_div(F.col(frame) - after, chunk_rows))
     last = floor_div(F.col(frame) + before, chunk_rows)
-    out = df.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(frame)
+    out = df.withColumn(chunk, F.explode(F.sequence(first, last)))
+    w = Window.partitionBy(*keys, chunk).orderBy(frame)
     for name, build in columns.items():
         out = out.withColumn(name, build(w))
-    return out.filter(F.col("_chunk") == floor_div(F.col(frame), chunk_rows)).drop("_chunk")
+    return out.filter(F.col(chunk) == floor_div(F.col(frame), chunk_rows))
 
 
 def summarise(df: DataFrame, keys: Sequence[str], *aggs: Column, frame: str = "frame") -> DataFrame:
@@ -124,14 +144,11 @@ def attach(
     The summary is repeated once per chunk of its trace, so the join key is
     (trace, chunk) and a very long trace spreads over many tasks.
     """
+    chunk = chunk_column(frame, chunk_rows)
     per_chunk = summary.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("_last"), chunk_rows)))
+        chunk, F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("_last"), chunk_rows)))
     ).drop("_last")
-    return (
-        df.withColumn("_chunk", floor_div(F.col(frame), chunk_rows))
-        .join(per_chunk, [*keys, "_chunk"], how)
-        .drop("_chunk")
-    )
+    return chunked(df, frame, chunk_rows).join(per_chunk, [*keys, chunk], how)
 
 
 def with_summary(
@@ -157,29 +174,30 @@ def running_sum(
     ones through a table with one row per chunk.
     """
     reset = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(frame)
-    island = Window.partitionBy(*keys, "_chunk", "_run").orderBy(frame)
+    chunk = chunk_column(frame, chunk_rows)
+    w = Window.partitionBy(*keys, chunk).orderBy(frame)
+    island = Window.partitionBy(*keys, chunk, "_run").orderBy(frame)
     rows = (
-        df.withColumn("_chunk", floor_div(F.col(frame), chunk_rows))
+        chunked(df, frame, chunk_rows)
         .withColumn("_reset", reset)
         .withColumn("_add", F.when(~F.col("_reset"), F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0)))
         .withColumn("_run", F.sum(F.col("_reset").cast("int")).over(w))
         .withColumn("_local", F.sum("_add").over(island))
     )
-    tails = rows.groupBy(*keys, "_chunk").agg(
+    tails = rows.groupBy(*keys, chunk).agg(
         (F.max("_run") > 0).cast("int").alias("_cut"),
         F.max_by("_local", frame).alias("_tail"),
     )
-    along = Window.partitionBy(*keys).orderBy("_chunk")
+    along = Window.partitionBy(*keys).orderBy(chunk)
     carried = (
         tails.withColumn("_part", F.sum("_cut").over(along))
-        .withColumn("_end", F.sum("_tail").over(Window.partitionBy(*keys, "_part").orderBy("_chunk")))
-        .select(*keys, "_chunk", F.coalesce(F.lag("_end").over(along), F.lit(0.0)).alias("_carry"))
+        .withColumn("_end", F.sum("_tail").over(Window.partitionBy(*keys, "_part").orderBy(chunk)))
+        .select(*keys, chunk, F.coalesce(F.lag("_end").over(along), F.lit(0.0)).alias("_carry"))
     )
     return (
-        rows.join(carried, [*keys, "_chunk"])
+        rows.join(carried, [*keys, chunk])
         .withColumn(out, F.col("_local") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(F.lit(0.0)))
-        .drop("_chunk", "_reset", "_add", "_run", "_local", "_carry")
+        .drop("_reset", "_add", "_run", "_local", "_carry")
     )
 
 
@@ -187,7 +205,6 @@ def renumber(
     df: DataFrame, keys: Sequence[str], *, frame: str = "frame", out: str = "frame", chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Dense 0-based positions after rows were filtered away."""
-    counted = running_sum(
-        df.withColumn("_one", F.lit(1.0)), keys, F.col("_one"), out="_upto", frame=frame, chunk_rows=chunk_rows
-    )
-    return counted.withColumn(out, (F.col("_upto") - 1).cast("long")).drop("_one", "_upto")
+    counted = running_sum(df, keys, F.lit(1.0), out="_upto", frame=frame, chunk_rows=chunk_rows)
+    moved = counted.withColumn(out, (F.col("_upto") - 1).cast("long")).drop("_upto")
+    return moved.drop(chunk_column(out, chunk_rows))
