@@ -48,6 +48,7 @@ def number_rows(
     frame: str = "frame",
     n_rows: str | None = None,
     start: str | None = None,
+    bucket: Column | None = None,
     bucket_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """0-based position of each row in its trace, ordered by ``order``.
@@ -55,27 +56,15 @@ def number_rows(
     ``clock`` is a non-null number that never decreases along ``order``.  Its table-wide
     range is cut into about ``count / bucket_rows`` equal buckets: rows are
     numbered inside (trace, bucket) and shifted by the rows of earlier buckets.
+    A ``bucket`` that never decreases along ``order`` may be given instead.
     ``n_rows`` and ``start`` name optional outputs: rows in the trace and its
     first clock value, both taken from the bucket table.
     """
     keys = list(keys)
-    span = df.agg(
-        F.struct(
-            F.min(clock).alias("lo"),
-            F.max(clock).alias("hi"),
-            F.count(F.lit(1)).alias("n"),
-        ).alias("span")
-    )
-    placed = df.withColumn("_span", span.scalar())
-    buckets = F.ceil(F.col("_span.n") / F.lit(bucket_rows))
-    width = F.col("_span.hi") - F.col("_span.lo")
-    placed = placed.withColumn(
-        "_bucket",
-        F.when(width > 0, F.floor((F.col(clock) - F.col("_span.lo")) / width * buckets))
-        .otherwise(F.lit(0))
-        .cast("long"),
-    ).drop("_span")
-
+    if bucket is not None:
+        placed = df.withColumn("_bucket", bucket)
+    else:
+        placed = _clock_buckets(df, clock, bucket_rows)
     counts = placed.groupBy(*keys, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_first")
     )
@@ -95,8 +84,31 @@ def number_rows(
         placed.withColumn("_pos", local)
         .join(offsets, [*keys, "_bucket"])
         .withColumn(frame, F.col("_offset") + F.col("_pos") - 1)
-        .drop("_pos", "_offset", "_bucket")
+        .drop("_pos", "_offset", "_bucket", chunk_column(frame))
+    )
+
+
+def _clock_buckets(df: DataFrame, clock: str, bucket_rows: int) -> DataFrame:
+    """Adds ``_bucket``: the clock range of the table in equal parts of about ``bucket_rows`` rows.
+
+    One aggregate row (min, max, count) sets the width, as a scalar subquery.
+    """
+    span = df.agg(
+        F.struct(
+            F.min(clock).alias("lo"),
+            F.max(clock).alias("hi"),
+            F.count(F.lit(1)).alias("n"),
+        ).alias("span")
     )
+    placed = df.withColumn("_span", span.scalar())
+    buckets = F.ceil(F.col("_span.n") / F.lit(bucket_rows))
+    width = F.col("_span.hi") - F.col("_span.lo")
+    return placed.withColumn(
+        "_bucket",
+        F.when(width > 0, F.floor((F.col(clock) - F.col("_span.lo")) / width * buckets))
+        .otherwise(F.lit(0))
+        .cast("long"),
+    ).drop("_span")
 
 
 def rolling(
@@ -202,9 +214,21 @@ def running_sum(
 
 
 def renumber(
-    df: DataFrame, keys: Sequence[str], *, frame: str = "frame", out: str = "frame", chunk_rows: int = CHUNK_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    *,
+    frame: str = "frame",
+    out: str = "frame",
+    n_rows: str | None = None,
+    clock: str | None = None,
+    start: str | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Dense 0-based positions after rows were filtered away."""
-    counted = running_sum(df, keys, F.lit(1.0), out="_upto", frame=frame, chunk_rows=chunk_rows)
-    moved = counted.withColumn(out, (F.col("_upto") - 1).cast("long")).drop("_upto")
-    return moved.drop(chunk_column(out, chunk_rows))
+    """Dense 0-based positions after rows were filtered away, with optional trace length and first clock value."""
+    chunk = chunk_column(frame, chunk_rows)
+    old = "_old_frame"
+    rows = chunked(df, frame, chunk_rows).withColumn(old, F.col(frame))
+    out_rows = number_rows(
+        rows, keys, [old], clock or old, frame=out, n_rows=n_rows, start=start, bucket=F.col(chunk)
+    )
+    return out_rows.drop(old, chunk_column(out, chunk_rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparktraces.operators import axes, cohorts, smoothing
-from sparktraces.operators.sequence import renumber, rolling, with_summary
+from sparktraces.operators.sequence import renumber, with_summary
 from sparktraces.plans.bindings import KEYS, MARKED, TRACES, marked, traces
 from sparktraces.plans.registry import query, rounded, sql_round
 
@@ -110,9 +110,8 @@ clean AS (SELECT *, n < 11 OR dev <= 2.5 * greatest({PADDED('ds')} * 1.4826, 0.1
 
 def holed(spark, sf_dir):
     """Traces without their missing values, renumbered."""
-    rows = traces(spark, sf_dir).withColumn("y", F.when(F.col("event_id") % 17 != 0, F.col("y")))
-    dense = renumber(cohorts.valid_points(rows, "t", "y"), KEYS)
-    return with_summary(dense, KEYS, F.count(F.lit(1)).alias("n"))
+    rows = traces(spark, sf_dir).drop("n_rows").withColumn("y", F.when(F.col("event_id") % 17 != 0, F.col("y")))
+    return renumber(cohorts.valid_points(rows, "t", "y"), KEYS, n_rows="n")
 
 
 @query("hampel11", "W7 F2", CLEANED + "SELECT event_id, frame, n, inlier FROM clean")
