@@ -1,3 +1,11 @@
 """PySpark operators for large collections of per-frame measurement traces."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors inside the query, so the
+# package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sparktraces.operators import smoothing
 from sparktraces.operators.quantiles import quantiles
-from sparktraces.operators.sequence import attach, renumber, summarise, with_summary
+from sparktraces.operators.sequence import attach, renumber, spread, summarise, with_summary
 from sparktraces.operators.stage import staged
 
 FREE = 1e300
@@ -147,25 +147,34 @@ def _spec(model: Column, lo1, hi1, n1: int, lo2=None, hi2=None, n2: int = 1) ->
 def _sums(points: DataFrame, keys: Sequence[str], specs: DataFrame, basis: str, log: bool) -> DataFrame:
     """Normal-equation sums per (trace, spec, grid point)."""
     spec = F.col("_s")
-    size = spec["n1"] * spec["n2"]
+    # A merge join keeps the spread of the points; a broadcast of them would leave the expansion to few tasks.
     grid = (
-        attach(points, specs, keys, how="inner")
-        .withColumn("_s", F.explode("_specs"))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), size - 1)))
-        .withColumn("s1", _grid_value(spec, F.floor(F.col("_i") / spec["n2"]), log))
-        .withColumn("s2", _grid_value(spec, F.col("_i") % spec["n2"], log, True))
+        attach(points, specs.hint("merge"), keys, how="inner")
+        .select(*keys, "t", "y", F.posexplode("_specs").alias("_k", "_s"))
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), spec["n1"] * spec["n2"] - 1)))
     )
+    grid = grid.select(*keys, "_k", "_i", "t", "y", *_shapes(spec, log))
     if basis == "two_rises":
         grid = grid.filter(F.col("s1") < F.col("s2"))
     g1, g2, g3 = basis_terms(basis, F.col("t"), F.col("s1"), F.col("s2"))
-    grid = grid.select(*keys, "_s", "_i", "s1", "s2", "y", g1.alias("_g1"), g2.alias("_g2"), g3.alias("_g3"))
+    grid = grid.select(*keys, "_k", "_i", "y", g1.alias("_g1"), g2.alias("_g2"), g3.alias("_g3"))
     y, a, b, c = (F.col(n) for n in ("y", "_g1", "_g2", "_g3"))
     products = {
         "yy": y * y, "b1": y * a, "b2": y * b, "b3": y * c, "g11": a * a, "g12": a * b, "g13": a * c,
         "g22": b * b, "g23": b * c, "g33": c * c,
     }
-    return grid.groupBy(*keys, "_s", "_i").agg(
-        F.first("s1").alias("s1"), F.first("s2").alias("s2"), *[F.sum(p).alias(n) for n, p in products.items()]
+    sums = grid.groupBy(*keys, "_k", "_i").agg(*[F.sum(p).alias(n) for n, p in products.items()])
+    # The grid itself is not grouped on: a row finds its spec again by position.
+    return sums.join(specs.drop("_last"), list(keys)).withColumn("_s", F.col("_specs")[F.col("_k")]).select(
+        *keys, "_i", "_s", *products, *_shapes(spec, log)
+    )
+
+
+def _shapes(spec: Column, log: bool) -> tuple[Column, Column]:
+    i = F.col("_i")
+    return (
+        _grid_value(spec, F.floor(i / spec["n2"]), log).alias("s1"),
+        _grid_value(spec, i % spec["n2"], log, True).alias("s2"),
     )
 
 
@@ -274,6 +283,7 @@ def fit_models(
         specs = F.array(_spec(star, lo, 30 * span, first_n, lo, 30 * span, first_n))
     else:
         specs = F.array(_spec(star, lo, 30 * span, first_n))
+    points = spread(points, keys)
     ends = summarise(points, keys, specs.alias("_specs"))
     last = ends.select(*keys, "_last")
     best = _best(_sums(points, keys, ends, basis, log), keys, models)

@@ -34,6 +34,16 @@ def chunked(df: DataFrame, frame: str = "frame", chunk_rows: int = CHUNK_ROWS) -
     return df if name in df.columns else df.withColumn(name, floor_div(F.col(frame), chunk_rows))
 
 
+def spread(df: DataFrame, keys: Sequence[str], frame: str = "frame", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows laid out by (trace, chunk) over all shuffle partitions, for steps that multiply rows.
+
+    A plain shuffle may be merged into few tasks because its input is small; an
+    explicit partition count is kept.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunked(df, frame, chunk_rows).repartition(n, *keys, chunk_column(frame, chunk_rows))
+
+
 def without_chunks(df: DataFrame) -> DataFrame:
     """Rows without any layout column, for output."""
     return df.drop(*[c for c in df.columns if c.startswith("_") and "_by_" in c])
