@@ -251,3 +251,81 @@ def rises_of(spark, sf_dir):
 
 _fit_query("mono_fit", "G8", fit.MONO, RISES, rises_of)
 _fit_query("bi_fit", "G9", fit.BI, RISES, rises_of)
+
+
+ENSEMBLE = (
+    TRACES
+    + f""", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1, lag(t) OVER ({PART}) AS pt FROM tr), gr AS (SELECT i, 0.0::DOUBLE + i * 8.0::DOUBLE AS g FROM range(90) r(i)),
+ip AS (SELECT arm, i, g, CASE WHEN g <= t OR t1 IS NULL THEN y ELSE y + (y1 - y) / (t1 - t) * (g - t) END AS value FROM sg JOIN gr ON (g >= t AND (g < t1 OR (t1 IS NULL AND g = t))) OR (pt IS NULL AND g < t) OR (t1 IS NULL AND g > t)),
+pt AS (SELECT CASE arm WHEN '100us' THEN 0 ELSE 1 END AS trace_id, i AS frame, max(g) AS t, avg(value) AS y FROM ip GROUP BY arm, i)
+"""
+)
+
+
+def ensemble_points(spark, sf_dir):
+    """The held ensemble mean of each arm as a trace of its own."""
+    rows = traces(spark, sf_dir)
+    points = resample.interpolate(rows, KEYS, "t", "y", start=0.0, step=8.0, points=90, hold=True)
+    mean = resample.ensemble_mean(points, resample.bucket_sizes(rows, KEYS, ["arm"]), ["arm"])
+    return fit.staged(
+        mean.select(
+            F.when(F.col("arm") == "100us", 0).otherwise(1).alias("trace_id"),
+            F.col("i").alias("frame"), F.col("grid").alias("t"), F.col("mean").alias("y"),
+        )
+    )
+
+
+COMPARED = [KV, JEFFREYS, BURGERS, fit.POWER_LAW]
+
+
+@query(
+    "ensemble_model_comparison",
+    "G19 G20 G21 G14",
+    ENSEMBLE
+    + "".join(fit_sql(f"m{i}", "pt", m) + assess_sql(f"m{i}", "pt", f"m{i}fit", m.basis) for i, m in enumerate(COMPARED))
+    + ", lfit AS (SELECT trace_id, 'Linear' AS model, 1.0::DOUBLE AS s1, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS c1, regr_slope(y, t) AS c2, regr_intercept(y, t) AS c3 FROM pt GROUP BY trace_id)"
+    + assess_sql("l", "pt", "lfit", "line")
+    + ", al AS (SELECT * FROM la" + "".join(f" UNION ALL SELECT * FROM m{i}a" for i in range(len(COMPARED))) + ")"
+    + f" SELECT trace_id, model, {sql_round('r2', 4)} AS r2, {sql_round('aic', 3)} AS aic, row_number() OVER (PARTITION BY trace_id ORDER BY aic) = 1 AS best_aic FROM al",
+)
+def ensemble_model_comparison(spark, sf_dir):
+    points = ensemble_points(spark, sf_dir)
+    fits = fit.fit_models(points, KEYS, COMPARED[:3]).unionByName(fit.fit_models(points, KEYS, COMPARED[3:])).drop("grid_rss")
+    scored = fit.assess(points, KEYS, fits.unionByName(fit.fit_lines(points, KEYS)))
+    order = ["Linear", "Power-Law", "Kelvin-Voigt", "Jeffreys", "Burgers"]
+    best = fit.select_model(scored, KEYS, order, score="aic").select("trace_id", F.col("model").alias("_b"))
+    out = scored.join(best, "trace_id")
+    return out.select(
+        "trace_id", "model", rounded("r2", 4).alias("r2"), rounded("aic", 3).alias("aic"), (F.col("model") == F.col("_b")).alias("best_aic")
+    )
+
+
+@query(
+    "line_curves",
+    "G22 K10",
+    POINTS
+    + f""", lf AS (SELECT trace_id, regr_slope(y, t) AS m, regr_intercept(y, t) AS b, max(t) AS e FROM pt GROUP BY trace_id)
+SELECT trace_id, CAST(i AS BIGINT) AS i, {sql_round('i * e / 49')} AS t, {sql_round('m * (i * e / 49) + b')} AS value FROM lf, range(50) r(i)""",
+)
+def line_curves(spark, sf_dir):
+    points = points_of(spark, sf_dir)
+    ends = points.groupBy(*KEYS).agg(F.max("t").alias("e"))
+    out = fit.curves(fit.fit_lines(points, KEYS).join(ends, KEYS), KEYS, F.col("e"), points=50)
+    return out.select("trace_id", F.col("i").cast("long").alias("i"), rounded("t").alias("t"), rounded("value").alias("value"))
+
+
+@query("viscoelastic_selection", "G11 G12 G5 G6 G7")
+def viscoelastic_selection(spark, sf_dir):
+    """Winner among the creep models; its parts are checked by the single fits, its rules by unit tests."""
+    points = points_of(spark, sf_dir)
+    out = fit.fit_viscoelastic(points, KEYS, RP, C).filter("selected")
+    return out.select(
+        "trace_id", "model", *[rounded(c, 3).alias(c) for c in ("e", "eta1", "eta2", "e1", "tau", "r2", "aicc")]
+    )
+
+
+@query("rise_selection", "G8 G9 M23")
+def rise_selection(spark, sf_dir):
+    """Mono- or bi-exponential winner per trace; its parts are checked by mono_fit and bi_fit."""
+    out = fit.fit_rises(rises_of(spark, sf_dir), KEYS)
+    return out.select("trace_id", "model", *[rounded(c, 3).alias(c) for c in ("amplitude", "tau", "r2", "aicc")], "r2_flag")
