@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparktraces.operators import cohorts, fit, resample
+from sparktraces.operators import cohorts
 from sparktraces.operators.sequence import renumber
 from sparktraces.plans.bindings import KEYS, TRACES, traces
 from sparktraces.plans.queries.ordered import HOLES
-from sparktraces.plans.registry import query, rounded, sql_round, table
+from sparktraces.plans.registry import query, table
 from sparktraces.sources import tables as S
 
 
@@ -97,11 +97,11 @@ def first_match_lookup(spark, sf_dir):
 @query(
     "replicated_controls",
     "J7",
-    """
-SELECT duration, count(*) AS n, count(DISTINCT trace_id) AS traces FROM (
+    TRACES
+    + """SELECT duration, count(*) AS n, count(DISTINCT trace_id) AS traces FROM (
   SELECT trace_id, arm AS duration FROM tr WHERE condition = 'EP'
   UNION ALL SELECT trace_id, d FROM tr, (VALUES ('100us'), ('5ms')) v(d) WHERE condition = 'ASP') GROUP BY duration
-""".replace("\nSELECT", TRACES + "SELECT", 1),
+""",
 )
 def replicated_controls(spark, sf_dir):
     rows = traces(spark, sf_dir)

@@ -314,9 +314,30 @@ def line_curves(spark, sf_dir):
     return out.select("trace_id", F.col("i").cast("long").alias("i"), rounded("t").alias("t"), rounded("value").alias("value"))
 
 
-@query("viscoelastic_selection", "G11 G12 G5 G6 G7")
+def _near(v, lo, hi):
+    return f"({v} IS NULL OR {v} <= 0 OR ln({v} / {lo}) / ln({hi}::DOUBLE / {lo}) < 0.02 OR ln({v} / {lo}) / ln({hi}::DOUBLE / {lo}) > 0.98)"
+
+
+CREEP = [KV, JEFFREYS, BURGERS]
+
+
+@query(
+    "viscoelastic_selection",
+    "G11 G12 G5 G6 G7",
+    POINTS
+    + "".join(fit_sql(f"m{i}", "pt", m) + assess_sql(f"m{i}", "pt", f"m{i}fit", "rise") for i, m in enumerate(CREEP))
+    + f""", al AS (SELECT *, 0 AS o FROM m0a UNION ALL SELECT *, 1 FROM m1a UNION ALL SELECT *, 2 FROM m2a),
+v1 AS (SELECT *, {RP}::DOUBLE / ({C} * c1) AS e, CASE WHEN o > 0 THEN {RP}::DOUBLE / (3 * pi() * c2) END AS eta2, CASE WHEN o = 2 THEN {RP}::DOUBLE / ({C} * c3) END AS e1 FROM al),
+v2 AS (SELECT *, s1 * {C} * e / (3 * pi()) AS eta1 FROM v1),
+cn AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n_rows FROM pt),
+sd AS (SELECT *, greatest(5, round_even(n_rows * 0.33::DOUBLE, 0)) AS side FROM cn),
+fl AS (SELECT trace_id, abs(coalesce(regr_slope(y, t) FILTER (WHERE frame >= n_rows - side), 0)) * (max(t) - min(t)) > 1.5 * 0.3 AS flow_ok FROM sd GROUP BY trace_id),
+ab AS (SELECT v2.* FROM v2 JOIN fl ON fl.trace_id = v2.trace_id WHERE (flow_ok OR o = 0) AND NOT {_near('e', '1.0', '100000.0')} AND NOT {_near('eta1', '1.0', '500000.0')}
+  AND (o = 0 OR NOT {_near('eta2', '500.0', '1000000.0')}) AND (o < 2 OR NOT {_near('e1', '1.0', '100000.0')})),
+wn AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY aicc, o) AS pick FROM ab)
+SELECT trace_id, model, {', '.join(f'{sql_round(c, 3)} AS {c}' for c in ('e', 'eta1', 'eta2', 'e1', 'r2', 'aicc'))}, {sql_round('s1', 3)} AS tau FROM wn WHERE pick = 1""",
+)
 def viscoelastic_selection(spark, sf_dir):
-    """Winner among the creep models; its parts are checked by the single fits, its rules by unit tests."""
     points = points_of(spark, sf_dir)
     out = fit.fit_viscoelastic(points, KEYS, RP, C).filter("selected")
     return out.select(
@@ -324,8 +345,17 @@ def viscoelastic_selection(spark, sf_dir):
     )
 
 
-@query("rise_selection", "G8 G9 M23")
+@query(
+    "rise_selection",
+    "G8 G9 M23",
+    RISES
+    + fit_sql("one", "pt", fit.MONO) + assess_sql("one", "pt", "onefit", "rise")
+    + fit_sql("two", "pt", fit.BI) + assess_sql("two", "pt", "twofit", "two_rises")
+    + f""", cand AS (SELECT *, 0 AS o FROM onea UNION ALL SELECT *, 1 FROM twoa WHERE s1 > 1e-9 AND c1 + c2 > 1e-9 AND s2 / s1 >= 3 AND least(c1, c2) / (c1 + c2) >= 0.05),
+wn AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY aicc, o) AS pick FROM cand)
+SELECT trace_id, model, {sql_round('CASE o WHEN 1 THEN c1 + c2 ELSE c1 END', 3)} AS amplitude, {sql_round('CASE o WHEN 1 THEN (c1 * s1 + c2 * s2) / (c1 + c2) ELSE s1 END', 3)} AS tau,
+  {sql_round('r2', 3)} AS r2, {sql_round('aicc', 3)} AS aicc, r2 >= 0.85 AS r2_flag FROM wn WHERE pick = 1""",
+)
 def rise_selection(spark, sf_dir):
-    """Mono- or bi-exponential winner per trace; its parts are checked by mono_fit and bi_fit."""
     out = fit.fit_rises(rises_of(spark, sf_dir), KEYS)
     return out.select("trace_id", "model", *[rounded(c, 3).alias(c) for c in ("amplitude", "tau", "r2", "aicc")], "r2_flag")

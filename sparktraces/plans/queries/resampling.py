@@ -57,9 +57,7 @@ def end_sql(h0, h1, m0, m1):
     return END.format(a=f"((2 * {h0} + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1})", m0=m0, m1=m1)
 
 
-@query(
-    "interp_pchip",
-    "R3",
+PCHIP = (
     TRACES
     + f""", a AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1 FROM tr),
 b AS (SELECT *, t1 - t AS h, (y1 - y) / (t1 - t) AS m FROM a),
@@ -69,9 +67,13 @@ d AS (SELECT *, CASE WHEN mb IS NULL THEN {end_sql('h', 'hf', 'm', 'mf')} WHEN m
   WHEN mb * m <= 0 THEN 0 ELSE (3 * h + 3 * hb) / ((2 * h + hb) / mb + (h + 2 * hb) / m) END AS d FROM c),
 e AS (SELECT *, lead(d) OVER ({PART}) AS d1 FROM d),
 gr AS (SELECT i, 0.0::DOUBLE + i * 3.5::DOUBLE AS g FROM range(206) r(i)),
-f AS (SELECT trace_id, i, y, y1, h, d, d1, t1, (g - t) / h AS s FROM e JOIN gr ON g >= t AND (g < t1 OR (t1 IS NULL AND g = t)))
-SELECT trace_id, i, {sql_round('CASE WHEN t1 IS NULL THEN y ELSE y * (1 + 2 * s) * (1 - s) * (1 - s) + d * h * s * (1 - s) * (1 - s) + y1 * s * s * (3 - 2 * s) + d1 * h * s * s * (s - 1) END', 5)} AS value FROM f""",
+f AS (SELECT trace_id, condition, arm, i, y, y1, h, d, d1, t1, (g - t) / h AS s FROM e JOIN gr ON g >= t AND (g < t1 OR (t1 IS NULL AND g = t))),
+pc AS (SELECT trace_id, condition, arm, i, CASE WHEN t1 IS NULL THEN y ELSE y * (1 + 2 * s) * (1 - s) * (1 - s) + d * h * s * (1 - s) * (1 - s) + y1 * s * s * (3 - 2 * s) + d1 * h * s * s * (s - 1) END AS value FROM f)
+"""
 )
+
+
+@query("interp_pchip", "R3", PCHIP + f"SELECT trace_id, i, {sql_round('value', 5)} AS value FROM pc")
 def interp_pchip(spark, sf_dir):
     out = resample.interpolate_pchip(traces(spark, sf_dir), KEYS, "t", "y", start=0.0, step=3.5, points=206)
     return out.select("trace_id", "i", rounded("value", 5).alias("value"))
@@ -154,9 +156,15 @@ def ensemble_mean_step(spark, sf_dir):
     return out.select("arm", "i", rounded("mean").alias("mean"), rounded("sem").alias("sem"), "n", "aggregate_ok")
 
 
-@query("ensemble_pchip", "R11")
+@query(
+    "ensemble_pchip",
+    "R11",
+    PCHIP
+    + f""", sz AS (SELECT condition, arm, count(DISTINCT trace_id) AS traces FROM tr GROUP BY ALL)
+SELECT pc.condition, pc.arm, i, {sql_round('avg(value)', 5)} AS mean, {sql_round('stddev_pop(value)', 5)} AS sd, count(*) AS n
+FROM pc JOIN sz ON sz.condition = pc.condition AND sz.arm = pc.arm GROUP BY ALL HAVING count(*) >= greatest(1, ceil(0.25 * max(traces)))""",
+)
 def ensemble_pchip(spark, sf_dir):
-    """Monotone-cubic ensemble per condition and arm; its interpolation is checked by interp_pchip."""
     rows = traces(spark, sf_dir).select("trace_id", "condition", "arm", "frame", "t", "y")
     points = resample.interpolate_pchip(rows, KEYS, "t", "y", start=0.0, step=3.5, points=206)
     by = ["condition", "arm"]
