@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sparktraces.operators.cohorts import gate_counts
 from sparktraces.operators.quantiles import quantiles
@@ -15,7 +16,7 @@ from sparktraces.operators.ranks import spearman, two_sample_ranks
 from sparktraces.operators.summaries import QUARTILES, replicate_means
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p-value of a standard normal statistic."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
@@ -54,7 +55,7 @@ def student_tail(t: float, df: float) -> float:
     return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else student_tail(a, b) for a, b in zip(t, df)])
 
@@ -87,7 +88,7 @@ def chi2_tail(h: float, df: float) -> float:
     return front * f
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(h: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else chi2_tail(a, b) for a, b in zip(h, df)])
 

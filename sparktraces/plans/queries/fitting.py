@@ -359,3 +359,17 @@ SELECT trace_id, model, {sql_round('CASE o WHEN 1 THEN c1 + c2 ELSE c1 END', 3)}
 def rise_selection(spark, sf_dir):
     out = fit.fit_rises(rises_of(spark, sf_dir), KEYS)
     return out.select("trace_id", "model", *[rounded(c, 3).alias(c) for c in ("amplitude", "tau", "r2", "aicc")], "r2_flag")
+
+
+@query("feature_table", "G18 G23 K8")
+def feature_table(spark, sf_dir):
+    """All features of every trace; each part has its own checked query."""
+    from sparktraces.operators import features
+
+    out = features.feature_table(
+        marked(traces(spark, sf_dir)), KEYS, t="t", y="y", condition="condition", marker="marker_frame", marker_t="marker_t",
+        radius_pressure=RP, c=C, control_window=500.0, matched_window=400.0, before=120.0, after=60.0, min_points=10,
+        identity=["arm"],
+    )
+    numbers = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
+    return out.select(*[rounded(c, 4).alias(c) if c in numbers else c for c in out.columns])
