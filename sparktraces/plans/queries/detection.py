@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparktraces.operators import axes, events
 from sparktraces.operators.events import KINDS, Settings
+from sparktraces.operators.stage import staged
 from sparktraces.plans.bindings import KEYS, MARKED, marked, traces
 from sparktraces.plans.registry import query, rounded, sql_round
 
@@ -148,8 +149,8 @@ def rolling_sigma(spark, sf_dir):
 def _single(name, covers, tail, build):
     @query(name, covers, tail)
     def run(spark, sf_dir):
-        df = signal(spark, sf_dir)
-        return build(df, bounds_of(df)).select("trace_id", "at_frame")
+        df = staged(signal(spark, sf_dir))
+        return build(df, staged(bounds_of(df))).select("trace_id", "at_frame")
 
     return run
 
@@ -217,8 +218,8 @@ FROM bd LEFT JOIN ft ON ft.trace_id = bd.trace_id AND k = 1
 """,
 )
 def veto_arbitrate(spark, sf_dir):
-    df = signal(spark, sf_dir)
-    bounds = bounds_of(df)
+    df = staged(signal(spark, sf_dir))
+    bounds = staged(bounds_of(df))
     found = events.candidates(df, KEYS, "y", bounds, marker="marker_frame", solidity="solidity", settings=S)
     kept = events.veto(df, KEYS, "y", "len", found, bounds, settings=S)
     return events.arbitrate(kept, bounds, KEYS).select("trace_id", "entry_confirmed", "event_found", "event_frame", "event_kind")
