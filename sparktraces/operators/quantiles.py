@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktraces.operators.stage import lookup_side
+
 SKETCH_ACCURACY = 10_000
 
 
@@ -54,9 +56,9 @@ def quantiles(
             for i, p in enumerate(probs.values())
         ]
     )
-    sketch = sketch.select(*by, brackets.alias("_b"))
+    sketch = lookup_side(sketch.select(*by, "_n", brackets.alias("_b")))
     slots = (
-        rows.join(sketch, by)
+        rows.join(sketch.drop("_n"), by)
         .select(*by, "_v", F.explode("_b").alias("_b"))
         .filter(F.col("_v") <= F.col("_b.hi"))
         .groupBy(
@@ -87,5 +89,5 @@ def quantiles(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
     )
     if count:
-        out = out.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias(count)), by)
+        out = out.join(sketch.select(*by, F.col("_n").alias(count)), by)
     return out if groups else out.drop("_all")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktraces.operators.stage import lookup_side
+
 BUCKET_ROWS = 65_536
 
 
@@ -40,7 +42,7 @@ def rank_table(
         F.sum("ties").alias("n"),
     )
     width = F.col("_hi") - F.col("_lo")
-    placed = counts.join(spans, groups).withColumn(
+    placed = counts.join(lookup_side(spans), groups).withColumn(
         "_bucket",
         F.when(
             width > 0,

@@ -17,6 +17,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sparktraces.operators.stage import lookup_side
+
 CHUNK_ROWS = 65_536
 
 
@@ -63,18 +65,28 @@ def number_rows(
 ) -> DataFrame:
     """0-based position of each row in its trace, ordered by ``order``.
 
-    ``clock`` is a non-null number that never decreases along ``order``.  Its table-wide
-    range is cut into about ``count / bucket_rows`` equal buckets: rows are
+    ``clock`` is a non-null number that never decreases along ``order``.  Traces of
+    up to ``bucket_rows`` rows are numbered by one window.  The clock range of a
+    longer one is cut into about ``rows / bucket_rows`` buckets: its rows are
     numbered inside (trace, bucket) and shifted by the rows of earlier buckets.
-    A ``bucket`` that never decreases along ``order`` may be given instead.
-    ``n_rows`` and ``start`` name optional outputs: rows in the trace and its
-    first clock value, both taken from the bucket table.
+    Which traces are long is counted first, in a pass of its own; a ``bucket`` that
+    never decreases along ``order`` may be given instead.
+    ``n_rows`` and ``start`` name optional outputs: rows in the trace and its first
+    clock value.
     """
     keys = list(keys)
     if bucket is not None:
         placed = df.withColumn("_bucket", bucket)
     else:
-        placed = _clock_buckets(df, clock, bucket_rows)
+        placed = _clock_buckets(df, keys, clock, bucket_rows)
+    if placed is None:
+        whole = Window.partitionBy(*keys)
+        out = df.withColumn(frame, F.row_number().over(whole.orderBy(*order)).cast("long") - 1)
+        if n_rows:
+            out = out.withColumn(n_rows, F.count(F.lit(1)).over(whole))
+        if start:
+            out = out.withColumn(start, F.min(clock).over(whole))
+        return out.drop(chunk_column(frame))
     counts = placed.groupBy(*keys, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_first")
     )
@@ -98,27 +110,26 @@ def number_rows(
     )
 
 
-def _clock_buckets(df: DataFrame, clock: str, bucket_rows: int) -> DataFrame:
-    """Adds ``_bucket``: the clock range of the table in equal parts of about ``bucket_rows`` rows.
+def _clock_buckets(df: DataFrame, keys: Sequence[str], clock: str, bucket_rows: int) -> DataFrame | None:
+    """Adds ``_bucket``, 0 for short traces; None when every trace is short.
 
-    One aggregate row (min, max, count) sets the width, as a scalar subquery.
+    At most one trace in ``bucket_rows`` rows can be long, so the table of long
+    traces is small; it is broadcast only when its counted size allows.
     """
-    span = df.agg(
-        F.struct(
-            F.min(clock).alias("lo"),
-            F.max(clock).alias("hi"),
-            F.count(F.lit(1)).alias("n"),
-        ).alias("span")
+    long = lookup_side(
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(clock).alias("_lo"), F.max(clock).alias("_hi"))
+        .filter(F.col("_rows") > bucket_rows)
+    )
+    if long.isEmpty():
+        return None
+    width = F.col("_hi") - F.col("_lo")
+    part = F.floor((F.col(clock) - F.col("_lo")) / width * F.ceil(F.col("_rows") / F.lit(bucket_rows)))
+    return (
+        df.join(long, list(keys), "left")
+        .withColumn("_bucket", F.when(width > 0, part).otherwise(F.lit(0)).cast("long"))
+        .drop("_rows", "_lo", "_hi")
     )
-    placed = df.withColumn("_span", span.scalar())
-    buckets = F.ceil(F.col("_span.n") / F.lit(bucket_rows))
-    width = F.col("_span.hi") - F.col("_span.lo")
-    return placed.withColumn(
-        "_bucket",
-        F.when(width > 0, F.floor((F.col(clock) - F.col("_span.lo")) / width * buckets))
-        .otherwise(F.lit(0))
-        .cast("long"),
-    ).drop("_span")
 
 
 def rolling(

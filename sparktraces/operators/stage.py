@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -25,3 +28,13 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{staging_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup_side(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table for the small side of a join, written once and counted.
+
+    Up to ``limit`` rows it carries a broadcast hint, so the large side is not
+    shuffled; beyond that Spark picks the join, and splits hot keys at run time.
+    """
+    table = staged(df)
+    return F.broadcast(table) if table.count() <= limit else table
