@@ -103,10 +103,10 @@ def number_rows(
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
-        placed.withColumn("_pos", local)
+        placed.withColumn("_place", local)
         .join(offsets, [*keys, "_bucket"])
-        .withColumn(frame, F.col("_offset") + F.col("_pos") - 1)
-        .drop("_pos", "_offset", "_bucket", chunk_column(frame))
+        .withColumn(frame, F.col("_offset") + F.col("_place") - 1)
+        .drop("_place", "_offset", "_bucket", chunk_column(frame))
     )
 
 

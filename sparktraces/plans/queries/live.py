@@ -43,7 +43,7 @@ def online_cusum(spark, sf_dir):
     "Z2",
     f"""
 WITH w AS (SELECT event_type, epoch_us(ts) // 86400000000 AS day, value FROM events)
-SELECT event_type, day * 86400 AS starts, count(*) AS n, {sql_round('avg(value)')} AS mean, {sql_round('max(value)')} AS peak FROM w
+SELECT event_type, day * 86400 AS starts, count(*) AS n, {sql_round('avg(value)', 8)} AS mean, {sql_round('max(value)')} AS peak FROM w
 GROUP BY event_type, day HAVING (day + 1) * 86400000000 <= (SELECT max(epoch_us(ts)) FROM events) - 21600000000
 """,
 )
@@ -52,5 +52,5 @@ def window_stream(spark, sf_dir):
         live.window_summary(event_stream(spark, sf_dir), ["event_type"], "at", "value", length="1 day", late="6 hours"), "windows"
     )
     return out.select(
-        "event_type", F.unix_seconds("window.start").alias("starts"), "n", rounded("mean").alias("mean"), rounded("peak").alias("peak")
+        "event_type", F.unix_seconds("window.start").alias("starts"), "n", rounded("mean", 8).alias("mean"), rounded("peak").alias("peak")
     )

@@ -203,10 +203,10 @@ def ref_time_value(spark, sf_dir):
     + f""", en AS (SELECT *, max(t) OVER (PARTITION BY trace_id) AS e FROM tr),
 k AS (SELECT * FROM en WHERE e >= 0.5 * 1400.0),
 nr AS (SELECT trace_id, arg_min(t, (abs(t - 300.0), t)) AS near_t FROM k GROUP BY trace_id)
-SELECT k.trace_id, CASE WHEN t < near_t THEN 'before' ELSE 'after' END AS part, count(*) AS n, {sql_round('avg(y)')} AS mean
+SELECT k.trace_id, CASE WHEN t < near_t THEN 'before' ELSE 'after' END AS part, count(*) AS n, {sql_round('avg(y)', 8)} AS mean
 FROM k JOIN nr ON nr.trace_id = k.trace_id GROUP BY ALL""",
 )
 def reaching_split(spark, sf_dir):
     rows = resample.reaching(traces(spark, sf_dir), KEYS, "t", 1400.0)
     parts = resample.split_at(rows, KEYS, "t", 300.0)
-    return parts.groupBy("trace_id", "part").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("y")).alias("mean"))
+    return parts.groupBy("trace_id", "part").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("y"), 8).alias("mean"))

@@ -152,14 +152,14 @@ def box_summary(spark, sf_dir):
     "A11",
     f"""
 WITH m AS (SELECT r_name, n_name, avg(c_acctbal) AS m FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL)
-SELECT r_name, {sql_round('avg(m)', 4)} AS mean, {sql_round('coalesce(stddev_samp(m) / sqrt(count(m)), 0)', 4)} AS sem, count(m) AS replicates FROM m GROUP BY r_name
+SELECT r_name, {sql_round('avg(m)', 7)} AS mean, {sql_round('coalesce(stddev_samp(m) / sqrt(count(m)), 0)', 7)} AS sem, count(m) AS replicates FROM m GROUP BY r_name
 """,
 )
 def replicate_sem(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     out = summaries.replicate_mean(rows, ["r_name"], ["n_name"], "c_acctbal")
-    return out.select("r_name", *r(out, "mean", "sem", digits=4), "replicates")
+    return out.select("r_name", *r(out, "mean", "sem", digits=7), "replicates")
 
 
 SPANS = (
@@ -346,7 +346,7 @@ g AS (SELECT trace_id, bool_or(split) AS split, avg(y) FILTER (WHERE frame >= a
   avg(shape) FILTER (WHERE frame >= a AND frame < mid) AS m1, stddev_pop(shape) FILTER (WHERE frame >= a AND frame < mid) AS s1,
   avg(shape) FILTER (WHERE split AND frame >= mid AND frame < z) AS m2, stddev_pop(shape) FILTER (WHERE split AND frame >= mid AND frame < z) AS s2 FROM k GROUP BY trace_id)
 SELECT trace_id, {sql_round('CASE WHEN b1 > 0 THEN (e1 - b1) / b1 * 100 ELSE 0 END', 4)} AS pre_change, {sql_round('CASE WHEN split THEN CASE WHEN b2 > 0 THEN (e2 - b2) / b2 * 100 ELSE 0 END END', 4)} AS post_change,
-  {sql_round('m1')} AS pre_shape_mean, {sql_round('s1')} AS pre_shape_sd, {sql_round('m2')} AS post_shape_mean, {sql_round('s2')} AS post_shape_sd FROM g""",
+  {sql_round('m1', 9)} AS pre_shape_mean, {sql_round('s1', 9)} AS pre_shape_sd, {sql_round('m2', 9)} AS post_shape_mean, {sql_round('s2', 9)} AS post_shape_sd FROM g""",
 )
 def norm_delta(spark, sf_dir):
     rows = (
@@ -356,21 +356,21 @@ def norm_delta(spark, sf_dir):
     )
     out = summaries.phase_changes(rows, KEYS, "y", "shape", "marker_frame", "event")
     shapes = ["pre_shape_mean", "pre_shape_sd", "post_shape_mean", "post_shape_sd"]
-    return out.select("trace_id", *r(out, "pre_change", "post_change", digits=4), *r(out, *shapes))
+    return out.select("trace_id", *r(out, "pre_change", "post_change", digits=4), *r(out, *shapes, digits=9))
 
 
 @query(
     "dose_stats",
     "A26",
     f"""
-SELECT p_brand, p_type, count(p_retailprice) AS n, {sql_round('avg(p_retailprice)', 4)} AS mean, {sql_round('stddev_samp(p_retailprice)', 4)} AS sd,
-  {sql_round('stddev_samp(p_retailprice) / sqrt(count(p_retailprice))', 4)} AS sem, {sql_round('median(p_retailprice)', 4)} AS median,
+SELECT p_brand, p_type, count(p_retailprice) AS n, {sql_round('avg(p_retailprice)', 7)} AS mean, {sql_round('stddev_samp(p_retailprice)', 7)} AS sd,
+  {sql_round('stddev_samp(p_retailprice) / sqrt(count(p_retailprice))', 7)} AS sem, {sql_round('median(p_retailprice)', 7)} AS median,
   min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY ALL
 """,
 )
 def dose_stats(spark, sf_dir):
     out = summaries.dose_table(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_retailprice")
-    return out.select("p_brand", "p_type", "n", *r(out, "mean", "sd", "sem", "median", digits=4), "low", "high")
+    return out.select("p_brand", "p_type", "n", *r(out, "mean", "sd", "sem", "median", digits=7), "low", "high")
 
 
 HIST = """
@@ -411,7 +411,7 @@ def histogram_density(spark, sf_dir):
 @query(
     "pooled_baseline",
     "A32 A37",
-    f"""SELECT CASE WHEN user_id % 2 = 0 THEN '100us' ELSE '5ms' END AS arm, {sql_round('avg(value)')} AS mean, {sql_round('stddev_pop(value)')} AS sd,
+    f"""SELECT CASE WHEN user_id % 2 = 0 THEN '100us' ELSE '5ms' END AS arm, {sql_round('avg(value)', 8)} AS mean, {sql_round('stddev_pop(value)')} AS sd,
   {sql_round('quantile_cont(value, 0.95)')} AS p95, count(*) AS n FROM events GROUP BY 1""",
 )
 def pooled_baseline(spark, sf_dir):
@@ -421,7 +421,7 @@ def pooled_baseline(spark, sf_dir):
         F.when(F.col("user_id") % 2 == 0, "100us").otherwise("5ms").alias("arm"), "value"
     )
     stats = rows.groupBy("arm").agg(
-        rounded(F.avg("value")).alias("mean"), rounded(F.stddev_pop("value")).alias("sd"), F.count(F.lit(1)).alias("n")
+        rounded(F.avg("value"), 8).alias("mean"), rounded(F.stddev_pop("value")).alias("sd"), F.count(F.lit(1)).alias("n")
     )
     tail = quantiles(rows, ["arm"], "value", {"p95": 0.95})
     return stats.join(tail.withColumn("p95", rounded("p95")), "arm")
