@@ -23,9 +23,14 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the staging folder."""
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, read back from a Parquet table in the staging folder."""
-    path = f"{staging_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparktraces.functions.labels import parse_folder
 from sparktraces.operators import cohorts
 from sparktraces.operators.sequence import renumber
+from sparktraces.operators.stage import staging_path
 from sparktraces.plans.bindings import KEYS, TRACES, traces
 from sparktraces.plans.queries.ordered import HOLES
-from sparktraces.plans.registry import query, table
+from sparktraces.plans.registry import query, rounded, sql_round, table
+from sparktraces.sources import sinks
 from sparktraces.sources import tables as S
 
 
@@ -130,7 +133,7 @@ def key_sets(spark, sf_dir):
 
 @query(
     "union_ragged",
-    "U1 U7 S16",
+    "U1 U7",
     """
 SELECT key, kind, count(*) AS n, count(priority) AS n_priority, count(segment) AS n_segment FROM (
   SELECT o_custkey AS key, 'order' AS kind, o_orderpriority AS priority, NULL AS segment FROM orders
@@ -160,3 +163,31 @@ def renumbered_rows(spark, sf_dir):
     dense = renumber(rows, KEYS, n_rows="n").filter(F.col("n") >= 15)
     ends = cohorts.first_rows(dense, 3).unionByName(cohorts.last_rows(dense, KEYS, 3, n_rows="n"))
     return ends.select("event_id", "frame", "n").distinct()
+
+
+@query(
+    "trace_folders",
+    "S1 S2 S3 K2 K7",
+    f"""
+SELECT '2401' || lpad(CAST(user_id % 7 + 1 AS VARCHAR), 2, '0') AS date, CASE WHEN user_id % 3 = 0 THEN 'ASP' ELSE 'EP' END AS condition_type,
+  count(*) AS n, count(CASE WHEN event_id % 17 <> 0 THEN 1 END) AS n_y, {sql_round('max(value) FILTER (WHERE event_id % 17 <> 0)')} AS top
+FROM events GROUP BY ALL
+""",
+)
+def trace_folders(spark, sf_dir):
+    """events written as folders of trace files that follow the naming grammar, then found and read back."""
+    k = F.col("user_id")
+    day = F.lpad((k % 7 + 1).cast("string"), 2, "0")
+    folder = F.concat(
+        F.lit("2401"), day, F.lit("_MDAMB231_WT_Chip1_Experiment3-1100Pa-"), F.when(k % 3 == 0, "0").otherwise("100"), F.lit("V-5ms-frame10")
+    )
+    rows = table(spark, sf_dir, "events").select(
+        folder.alias("experiment"), k.alias("Trap"), F.col("event_id").alias("Frame"),
+        F.when(F.col("event_id") % 17 != 0, F.col("value").cast("string")).otherwise("nan").alias("Length"),
+    )
+    root = staging_path(spark, "folders")
+    sinks.write_folders(rows, root)
+    back = S.read_traces(spark, root).withColumn("_f", parse_folder(F.col("experiment"))).filter(F.col("_f").isNotNull())
+    return back.groupBy("_f.date", "_f.condition_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count("Length").alias("n_y"), rounded(F.max("Length")).alias("top")
+    )

@@ -302,7 +302,7 @@ def ensemble_model_comparison(spark, sf_dir):
 
 @query(
     "line_curves",
-    "G22 K10",
+    "G22",
     POINTS
     + f""", lf AS (SELECT trace_id, regr_slope(y, t) AS m, regr_intercept(y, t) AS b, max(t) AS e FROM pt GROUP BY trace_id)
 SELECT trace_id, CAST(i AS BIGINT) AS i, {sql_round('i * e / 49')} AS t, {sql_round('m * (i * e / 49) + b')} AS value FROM lf, range(50) r(i)""",
@@ -361,7 +361,7 @@ def rise_selection(spark, sf_dir):
     return out.select("trace_id", "model", *[rounded(c, 3).alias(c) for c in ("amplitude", "tau", "r2", "aicc")], "r2_flag")
 
 
-@query("feature_table", "G18 G23 K8")
+@query("feature_table", "G18 G23")
 def feature_table(spark, sf_dir):
     """All features of every trace; each part has its own checked query."""
     from sparktraces.operators import features

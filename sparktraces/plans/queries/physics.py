@@ -50,7 +50,7 @@ def fstar_reff(spark, sf_dir):
 
 @query(
     "shear",
-    "M4 K6",
+    "M4",
     FSTAR
     + f""", s AS (
   SELECT *, 1000.0 * (lo / 1e6) / (2 * 100.0 / 1e6) / (1 + lo / hi) AS stress FROM g3),

@@ -35,12 +35,18 @@ def attrition_pivot(spark, sf_dir):
 @query(
     "scalar_max",
     "A2 A29 A39",
-    f"SELECT l_suppkey, max(l_quantity) AS max_l_quantity, max(l_extendedprice) AS max_l_extendedprice, max(l_discount) AS max_l_discount, max(l_tax) AS max_l_tax FROM lineitem GROUP BY l_suppkey",
+    f"""SELECT l_suppkey, max(l_quantity) AS max_l_quantity, max(l_extendedprice) AS max_l_extendedprice, max(l_discount) AS max_l_discount,
+  max(l_tax) AS max_l_tax, {sql_round('avg(l_extendedprice)', 7)} AS mean_price, coalesce(max(CASE WHEN l_quantity > 49 THEN l_discount END), -1.0::DOUBLE) AS top_or_default
+FROM lineitem GROUP BY l_suppkey""",
 )
 def scalar_max(spark, sf_dir):
-    return summaries.column_maxima(
-        table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = table(spark, sf_dir, "lineitem")
+    most = summaries.column_maxima(rows, ["l_suppkey"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    large = F.when(F.col("l_quantity") > 49, F.col("l_discount"))
+    more = rows.groupBy("l_suppkey").agg(
+        rounded(F.avg("l_extendedprice"), 7).alias("mean_price"), summaries.safe_max(large, -1.0).alias("top_or_default")
     )
+    return most.join(more, "l_suppkey")
 
 
 @query(

@@ -98,3 +98,8 @@ def with_fit(df: DataFrame, fits: DataFrame, keys: Sequence[str], *, frame: str
 def write_by(df: DataFrame, root: str, *partitions: str) -> None:
     """A table laid out in folders by the given columns."""
     without_chunks(df).write.mode("overwrite").partitionBy(*partitions).parquet(root)
+
+
+def write_folders(df: DataFrame, root: str) -> None:
+    """Trace files with a header, one folder per experiment."""
+    without_chunks(df).write.mode("overwrite").partitionBy("experiment").option("header", "true").csv(root)

@@ -28,7 +28,8 @@ def read_traces(
     Files may have different headers: each distinct header is one family, and the
     families are joined by column name, absent columns NULL.  Cells that are not
     numbers become NULL.  ``rename`` maps a header name to the wanted column, or to
-    None to leave it out.  Adds path, experiment and trap_id.
+    None to leave it out.  Adds path, experiment (the folder, also as written by
+    ``partitionBy("experiment")``) and trap_id.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
@@ -58,7 +59,8 @@ def read_traces(
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     steps = F.split("path", "/")
     trap = F.nullif(F.regexp_extract(F.element_at(steps, -1), r"(?i)trap_(\d+)", 1), F.lit("")).cast("int")
-    return out.withColumn("experiment", F.url_decode(F.element_at(steps, -2))).withColumn("trap_id", trap)
+    folder = F.regexp_replace(F.url_decode(F.element_at(steps, -2)), "^experiment=", "")
+    return out.withColumn("experiment", folder).withColumn("trap_id", trap)
 
 
 def sniffed(name: str) -> str | None:

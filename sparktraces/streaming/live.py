@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from sparktraces.operators.events import IQR_TO_SIGMA, Settings
-from sparktraces.operators.stage import staging_root
+from sparktraces.operators.stage import staging_path
 
 STATE = "seen LONG, recent ARRAY<DOUBLE>, total DOUBLE, fired ARRAY<STRING>"
 
@@ -110,7 +109,7 @@ def session_summary(stream: DataFrame, groups: Sequence[str], t: str, y: str, *,
 def drain(result: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what its source holds now and returns the finalised rows."""
     spark = result.sparkSession
-    root = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    root = staging_path(spark, name)
     run = (
         result.writeStream.format("parquet")
         .option("path", f"{root}/rows")

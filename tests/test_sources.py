@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparktraces.operators.sequence import summarise
 from sparktraces.operators.stage import staged
 from sparktraces.sources import manifest, sinks, tables
 
@@ -126,3 +127,11 @@ def test_column_priority(spark):
 def test_staged_rows_are_the_same(spark):
     df = spark.range(50).select("id", F.array(F.col("id").cast("double")).alias("a"))
     assert sorted(staged(df).collect()) == sorted(df.collect())
+
+
+def test_fit_on_every_row(spark, tmp_path):
+    df = spark.range(6).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("frame"), F.col("id").cast("double").alias("y"))
+    out = sinks.with_fit(df, summarise(df, ["k"], F.max("y").alias("a")), ["k"])
+    assert {(r.k, r.a) for r in out.collect()} == {(0, 4.0), (1, 5.0)} and out.count() == 6
+    sinks.write_by(out, str(tmp_path / "by"), "k")
+    assert spark.read.parquet(str(tmp_path / "by")).filter("k = 1").count() == 3
