@@ -219,7 +219,7 @@ def kinetics_sql() -> str:
             flag = "candidate" if c == "candidates" else c
             parts.append(f'count(*) FILTER (WHERE arm = \'{a}\' AND {flag}) AS "{a}_{c}"')
         for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)):
-            parts.append(sql_round(f"quantile_cont(value, {p}) FILTER (WHERE arm = '{a}' AND retained)", 4) + f' AS "{a}_{q}"')
+            parts.append(sql_round(f"quantile_cont(value, {p}) FILTER (WHERE arm = '{a}' AND retained)", 7) + f' AS "{a}_{q}"')
         parts.append(f'count(*) FILTER (WHERE arm = \'{a}\' AND retained) AS "{a}_n"')
     mw = mw_sql("(SELECT region || '|' || descriptor AS panel, arm, value FROM lg WHERE retained) k", "k.panel", "arm", "value", "100us", "5ms")
     return (
@@ -237,7 +237,7 @@ def kinetics_table(spark, sf_dir):
         f"{a}_{c}" for a in ("100us", "5ms") for c in ("candidates", "gate_pass", "runaway", "retained", "n")
     ]
     return out.select(
-        *plain, *[rounded(q, 4).alias(q) for q in quart],
+        *plain, *[rounded(q, 7).alias(q) for q in quart],
         rounded("u", 1).alias("u"), rounded("z").alias("z"), rounded("cliffs_delta").alias("cliffs_delta"),
     )
 
