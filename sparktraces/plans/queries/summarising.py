@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sparktraces.functions import labels as L
 from sparktraces.functions import physics
 from sparktraces.operators import cohorts, summaries
-from sparktraces.plans.bindings import KEYS, MARKED, TRACES, marked, traces
-from sparktraces.plans.queries.labels import NAMED, TAGGED, fated_orders, named_orders, LABELLED
+from sparktraces.operators.quantiles import quantiles
+from sparktraces.plans.bindings import KEYS, MARKED, marked, traces
+from sparktraces.plans.queries.labels import LABELLED, TAGGED, fated_orders, named_orders
 from sparktraces.plans.registry import query, rounded, sql_round, table
 
 
@@ -421,8 +422,6 @@ def histogram_density(spark, sf_dir):
   {sql_round('quantile_cont(value, 0.95)')} AS p95, count(*) AS n FROM events GROUP BY 1""",
 )
 def pooled_baseline(spark, sf_dir):
-    from sparktraces.operators.quantiles import quantiles
-
     rows = table(spark, sf_dir, "events").select(
         F.when(F.col("user_id") % 2 == 0, "100us").otherwise("5ms").alias("arm"), "value"
     )
