@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparktraces.llm.bpe import decoded, encoded
 from sparktraces.llm.mixing import mix_plan
 from sparktraces.llm.sharding import stratified_shards
 from sparktraces.llm.url_filter import Rule, judged
@@ -24,6 +26,17 @@ def llm_query(name: str, sql: str | None = None):
     return add
 
 
+#: Name of the vocabulary file among the installed public tokenizers.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@llm_query("op1_bpe_round_trip")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    tokens = decoded(encoded(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @llm_query("op5_stratified_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = stratified_shards(table(spark, sf_dir, "documents"), shards=8)
