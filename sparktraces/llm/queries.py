@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktraces.llm.bpe import decoded, encoded
+from sparktraces.llm.jaccard_join import jaccard_components
 from sparktraces.llm.mixing import mix_plan
 from sparktraces.llm.sharding import stratified_shards
 from sparktraces.llm.url_filter import Rule, judged
@@ -37,6 +38,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@llm_query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 @llm_query("op5_stratified_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = stratified_shards(table(spark, sf_dir, "documents"), shards=8)
