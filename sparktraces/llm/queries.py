@@ -10,6 +10,7 @@ from sparktraces.llm.bpe import decoded, encoded
 from sparktraces.llm.jaccard_join import jaccard_components
 from sparktraces.llm.mixing import mix_plan
 from sparktraces.llm.sharding import stratified_shards
+from sparktraces.llm.toxicity import CUTOFF, fitted, scored
 from sparktraces.llm.url_filter import Rule, judged
 from sparktraces.plans.registry import Run, table
 
@@ -49,6 +50,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@llm_query("op7_toxicity_cnn")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"), "threshold")
+
+
 MIX_SQL = r"""
 WITH words AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
