@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktraces.llm.bpe import decoded, encoded
+from sparktraces.llm.html_extract import extracted
 from sparktraces.llm.jaccard_join import jaccard_components
 from sparktraces.llm.mixing import mix_plan
 from sparktraces.llm.sharding import stratified_shards
@@ -44,6 +45,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+@llm_query("op4_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @llm_query("op5_stratified_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = stratified_shards(table(spark, sf_dir, "documents"), shards=8)

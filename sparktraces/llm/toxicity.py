@@ -40,6 +40,8 @@ TRAINING_WORDS = {0: 400, 1: 3000}
 SAMPLE = 4000
 EPOCHS = 6
 TABLE_RATE = 0.01
+#: Toxic calibration rows that a language needs for a threshold of its own.
+LANGUAGE_TOXIC = 20
 #: Words whose filter answers a task keeps; when there are more it starts anew.
 KEPT_WORDS = 100_000
 CUTOFF = 0.3
@@ -226,7 +228,7 @@ def fitted(
     """A model from at most ``sample`` labelled rows, of each label those with the least digest of their id.
 
     Rows whose crc32 of the id modulo 4 is 2 are held out from everything. A fifth of the sample is kept from
-    training and calibrates the scale and, for each language with both labels among it, a threshold.
+    training and calibrates the scale and, for each language with enough toxic rows among it, a threshold.
     """
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
@@ -246,8 +248,10 @@ def fitted(
     if cut is not None:
         model.shift = float(np.log(CUTOFF / (1 - CUTOFF)) - cut)
     langs = found["lang"].to_numpy()[apart]
-    for lang_name in {x for x in langs if isinstance(x, str)}:
+    for lang_name in sorted({x for x in langs if isinstance(x, str)}):
         here = langs == lang_name
+        if truth[apart][here].sum() < LANGUAGE_TOXIC:
+            continue
         if (own := best_cut(logits[here], truth[apart][here])) is not None:
             model.thresholds[lang_name] = float(1 / (1 + np.exp(-(own + model.shift))))
     return model
