@@ -1,21 +1,56 @@
-"""The corpus pipeline: stages over the documents table, each of them one of the training-data operators."""
+"""The corpus pipeline: stages over the documents table, each of them one of the training-data operators.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All stages but the last return the columns that
+they were given. Rows with nulls, empty texts or repeats are treated as the operator of the stage defines; an empty table
+passes through as an empty table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparktraces.llm.bpe import decoded, encoded
+from sparktraces.llm.jaccard_join import one_per_component
 from sparktraces.llm.mixing import mixed
+from sparktraces.llm.toxicity import fitted, kept
 from sparktraces.operators.stage import staged
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kept(docs, fitted(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles at 0.8 hold together."""
+    return one_per_component(docs, width=5, percent=80)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture of sources wants it."""
     return mixed(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mixing", mix_sources)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row: the token ids, and the digest of what they decode to."""
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    tokens = decoded(encoded(docs, vocabulary), vocabulary)
+    return tokens.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("bpe", tokenize),
+]
 
 #: The stages learn, cluster and tokenise, which SQL does not express.
 ORACLE_SQL: str | None = None

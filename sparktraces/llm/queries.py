@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparktraces.llm.ann_tree import nearest
 from sparktraces.llm.bpe import decoded, encoded
+from sparktraces.llm.chat import perspectives
 from sparktraces.llm.html_extract import extracted
 from sparktraces.llm.impact_topk import impact_topk
 from sparktraces.llm.jaccard_join import jaccard_components
@@ -42,6 +43,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+CHAT_SQL = """
+WITH r AS (SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS said FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker IS NOT NULL AND speaker <> 'system'),
+s AS (
+  SELECT r.*, p.perspective, md5(coalesce(r.speaker, '') || '|' || r.said) AS digest,
+    CASE WHEN r.speaker = p.perspective THEN '<|assistant|>\n' WHEN r.speaker = 'system' THEN '<|system|>\n'
+      WHEN r.speaker IS NULL THEN '<|user|>\n' ELSE '<|user:' || r.speaker || '|>\n' END AS head
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, head || said || '<|end|>\n' AS piece,
+    CAST(sum(length(head || said || '<|end|>\n')) OVER (PARTITION BY conv_id, perspective
+      ORDER BY turn NULLS FIRST, digest, speaker NULLS FIRST, said ROWS UNBOUNDED PRECEDING) AS BIGINT) AS finish
+  FROM s)
+SELECT conv_id, perspective, turn, speaker, piece, finish - length(piece) AS begin, finish,
+  CASE WHEN speaker = perspective THEN finish - length(piece) + length(head) END AS learn_begin,
+  CASE WHEN speaker = perspective THEN finish END AS learn_end
+FROM o
+"""
+
+
+@llm_query("op2_perspectives", CHAT_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 @llm_query("op3_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
