@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktraces.functions.measures import missing
-
-MAX_HEADERS = 1000
+from sparktraces.operators.stage import lookup_side, staged
 
 # Column names by priority, and the bundle's file names.
 TIME_COLUMNS = ["Time_s", "Time", "time_s"]
@@ -19,50 +17,87 @@ BUNDLE = ["mechanics", "attrition", "traces_protrusion", "traces_actin", "traces
 STATUSES = ["I", "R0", "R", "D", "E"]
 
 
+def _text_lines(spark: SparkSession, root: str, glob: str, comment: str) -> DataFrame:
+    """(path, value, place) of every line that is no comment and not blank; places rise within a file."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
+    # lines of one split are read in order by one task, so the running id orders them
+    place = F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), place.alias("place"))
+    return lines.filter(~F.startswith(F.col("value"), F.lit(comment)) & (F.trim("value") != ""))
+
+
+def trace_headers(spark: SparkSession, root: str, *, glob: str = "*.csv", comment: str = "#") -> DataFrame:
+    """(path, names, n_lines): the cells of the first line of each file that is no comment, and the lines after it."""
+    heads = _text_lines(spark, root, glob, comment).groupBy("path").agg(
+        F.min_by("value", "place").alias("header"), (F.count(F.lit(1)) - 1).alias("n_lines")
+    )
+    # a quoted comma is no separator; names lose their quotes and outer blanks
+    cells = F.split("header", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    names = F.transform(cells, lambda c: F.trim(F.regexp_replace(F.trim(c), '^\ufeff?"?|"$', "")))
+    return heads.select("path", names.alias("names"), "n_lines")
+
+
 def read_traces(
     spark: SparkSession, root: str, *, glob: str = "*.csv", comment: str = "#",
-    rename: Callable[[str], str | None] | None = None,
+    rename: Callable[[str], str | None] | None = None, text: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of all trace files below ``root`` as doubles, matched by header name.
 
-    Files may have different headers: each distinct header is one family, and the
-    families are joined by column name, absent columns NULL.  Cells that are not
-    numbers become NULL.  ``rename`` maps a header name to the wanted column, or to
-    None to leave it out.  Adds path, experiment (the folder, also as written by
-    ``partitionBy("experiment")``) and trap_id.
+    The header of a file is its first line that is no comment, whatever its cells hold. Files may have different
+    headers: one scan reads all files by position, and each row finds its columns through its file's header, absent
+    ones NULL. Cells that are not numbers become NULL and the row stays; the columns in ``text`` keep
+    their strings. ``rename`` maps a header name to the wanted column, or to None to leave it out. Adds path,
+    experiment (the folder, also as written by ``partitionBy("experiment")``) and trap_id, which take the place of
+    columns of the same name.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-        .filter(~F.startswith(F.col("value"), F.lit(comment)) & (F.trim("value") != ""))
-    )
-    # A header has a name in its first cell; data cells are numbers or empty.
-    is_header = F.regexp_extract("value", r'^"?([^,"]*)', 1).rlike(r"(?i)^(?!nan$|inf)[a-z_#][^,]*$")
-    header_of = lines.filter(is_header).groupBy("path").agg(F.min("value").alias("header"))
-    headers = [r.header for r in header_of.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(headers) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} distinct headers below {root}")
-    rows = lines.filter(~is_header).join(header_of, "path")
-    parts = []
-    for header in headers:
-        names = [n.strip().strip('"') for n in header.split(",")]
-        schema = ", ".join(f"`c{i}` STRING" for i in range(len(names)))
-        cells = rows.filter(F.col("header") == header).select("path", F.from_csv("value", schema).alias("_c"))
-        wanted: dict[str, Column] = {}
-        for i, name in enumerate(names):
-            target = rename(name) if rename else name
-            if target and target not in wanted:
-                wanted[target] = missing(F.col(f"_c.c{i}")).alias(target)
-        parts.append(cells.select("path", *wanted.values()))
-    if not parts:
+    heads = staged(trace_headers(spark, root, glob=glob, comment=comment))
+    width = heads.agg(F.max(F.size("names"))).first()[0]
+    if not width:
         return spark.createDataFrame([], "path STRING, experiment STRING, trap_id INT")
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # the distinct names become the columns of the result, so the driver has to know them
+    found = sorted(r[0] for r in heads.select(F.explode("names")).distinct().collect())
+    targets: dict[str, list[str]] = {}
+    for name in found:
+        target = rename(name) if rename else name
+        if target and target not in ("path", "experiment", "trap_id"):
+            targets.setdefault(target, []).append(name)
+    schema = ", ".join(f"`c{i}` STRING" for i in range(width))
+    rows = (
+        spark.read.schema(schema).option("header", "true").option("comment", comment)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(root)
+        .select(F.array(*[f"c{i}" for i in range(width)]).alias("cells"), F.col("_metadata.file_path").alias("path"))
+    )
+    named = lookup_side(heads.select(F.col("path").alias("_path"), "names"))
+    rows = rows.join(named, F.col("path") == F.col("_path"))
+
+    def cell(names: list[str]) -> Column:
+        """The first of the names that the file has."""
+        places = [F.array_position("names", F.lit(n)) for n in names]
+        return F.coalesce(*[F.when(at > 0, F.get("cells", (at - 1).cast("int"))) for at in places])
+
+    columns = [
+        (F.nullif(F.trim(cell(names)), F.lit("")) if target in text else missing(cell(names))).alias(target)
+        for target, names in targets.items()
+    ]
+    out = rows.select("path", *columns)
     steps = F.split("path", "/")
     trap = F.nullif(F.regexp_extract(F.element_at(steps, -1), r"(?i)trap_(\d+)", 1), F.lit("")).cast("int")
     folder = F.regexp_replace(F.url_decode(F.element_at(steps, -2)), "^experiment=", "")
     return out.withColumn("experiment", folder).withColumn("trap_id", trap)
 
 
+def rejected_traces(spark: SparkSession, root: str, required: Sequence[str], *, glob: str = "*.csv", comment: str = "#") -> DataFrame:
+    """(path, reason) of files that give no trace: "empty", "missing columns" or "no rows"."""
+    heads = trace_headers(spark, root, glob=glob, comment=comment).withColumnRenamed("path", "_path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    have = F.size(F.array_intersect("names", F.array(*[F.lit(c) for c in required]))) == len(required)
+    reason = (
+        F.when(F.col("names").isNull(), "empty").when(~have, "missing columns").when(F.col("n_lines") == 0, "no rows")
+    )
+    joined = listed.select(F.col("_metadata.file_path").alias("path")).join(heads, F.col("path") == F.col("_path"), "left")
+    return joined.select("path", reason.alias("reason")).filter("reason is not null")
+
+
 def sniffed(name: str) -> str | None:
     """Header rule for files of unknown layout: a time column and a length column, by substring."""
     low = name.lower()
@@ -114,17 +149,38 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bundle(spark: SparkSession, root: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
-    """The named tables of a bundle; an absent one is empty."""
+    """The named tables of a bundle, each a CSV file ``<name>.csv`` or a Parquet folder; an absent one is empty."""
     out = {}
     for name, schema in schemas.items():
         parsed = T.StructType.fromDDL(schema)
-        path = f"{root}/{name}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        out[name] = spark.read.schema(parsed).parquet(path) if fs.exists(hadoop) else spark.createDataFrame([], parsed)
+        places = {kind: spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}{end}") for kind, end in (("csv", ".csv"), ("parquet", ""))}
+        there = [k for k, p in places.items() if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+        if not there:
+            out[name] = spark.createDataFrame([], parsed)
+        elif there[0] == "csv":
+            # columns by name: the file may hold others, in any order
+            raw = spark.read.option("header", "true").csv(f"{root}/{name}.csv")
+            have = {c.strip().lstrip("\ufeff"): c for c in raw.columns}
+            out[name] = raw.select(
+                *[
+                    (F.col(f"`{have[f.name]}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+                    for f in parsed
+                ]
+            )
+        else:
+            out[name] = spark.read.schema(parsed).parquet(f"{root}/{name}")
     return out
 
 
+def cut_to_shorter(left: DataFrame, right: DataFrame, keys: Sequence[str], *, frame: str = "frame") -> tuple[DataFrame, DataFrame]:
+    """Rows of both tables on the same frame, and per trace how many rows either side has beyond the other."""
+    keys = list(keys)
+    joined = left.join(right, [*keys, frame])
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r")), keys, "full")
+    over = F.coalesce("_l", F.lit(0)) - F.coalesce("_r", F.lit(0))
+    return joined, counts.select(*keys, F.greatest(over, F.lit(0)).alias("left_surplus"), F.greatest(-over, F.lit(0)).alias("right_surplus"))
+
+
 def rebuild(protrusion: DataFrame, keys: Sequence[str], **channels: DataFrame) -> DataFrame:
     """Protrusion rows with the rows of optional channels on the same frame."""
     out = protrusion

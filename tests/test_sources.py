@@ -41,6 +41,40 @@ def test_traces_with_different_headers(spark, root):
     assert got[OTHER, 7, 0].Protrusion_Length_um == 2.5
 
 
+def test_header_is_the_first_line_whatever_it_holds(spark, tmp_path):
+    folder = tmp_path / "run"
+    folder.mkdir()
+    (folder / "trap_1.csv").write_text("# note\n\nTime_s,Length\n0,1\nBad,2\n2,3\n")
+    (folder / "trap_2.csv").write_text('\ufeffgroup,Time_s,"Length, um"\nexpA,0,1\n"exp,B",1,2\nexpC,,x\n')
+    (folder / "trap_3.csv").write_text("# nothing but a note\n")
+    (folder / "trap_4.csv").write_text("Time_s,Other\n1,2\n")
+    (folder / "trap_5.csv").write_text("Time_s,Length\n")
+    (folder / "trap_6.csv").write_text("")
+    rows = tables.read_traces(spark, str(tmp_path), text=["group"]).orderBy("trap_id", F.col("Time_s").asc_nulls_last()).collect()
+    assert [(r.trap_id, r.Time_s, r.Length) for r in rows if r.trap_id == 1] == [(1, 0.0, 1.0), (1, 2.0, 3.0), (1, None, 2.0)]
+    assert [(r.group, r.Time_s, r["Length, um"]) for r in rows if r.trap_id == 2] == [("expA", 0.0, 1.0), ("exp,B", 1.0, 2.0), ("expC", None, None)]
+    assert {r.trap_id for r in rows} == {1, 2, 4} and len(rows) == 7
+    found = tables.rejected_traces(spark, str(tmp_path), ["Time_s", "Length"]).collect()
+    assert {(r.path[-10:], r.reason) for r in found} == {
+        ("trap_2.csv", "missing columns"), ("trap_3.csv", "empty"), ("trap_4.csv", "missing columns"), ("trap_5.csv", "no rows"), ("trap_6.csv", "empty")
+    }
+
+
+def test_bundle_of_csv_files(spark, tmp_path):
+    (tmp_path / "mechanics.csv").write_text("extra,trap_id,experiment\nx,3,e\ny,bad,f\n")
+    got = tables.read_bundle(spark, str(tmp_path), {"mechanics": "experiment STRING, trap_id INT, absent DOUBLE", "attrition": "experiment STRING"})
+    assert [tuple(r) for r in got["mechanics"].orderBy("experiment").collect()] == [("e", 3, None), ("f", None, None)]
+    assert got["attrition"].count() == 0
+
+
+def test_row_index_join_is_cut_to_the_shorter(spark):
+    left = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)], "k string, frame int, x double")
+    right = spark.createDataFrame([("a", 0, 5.0), ("b", 0, 6.0), ("b", 1, 7.0), ("c", 0, 8.0)], "k string, frame int, y double")
+    both, surplus = tables.cut_to_shorter(left, right, ["k"])
+    assert {tuple(r) for r in both.collect()} == {("a", 0, 1.0, 5.0), ("b", 0, 3.0, 6.0)}
+    assert {tuple(r) for r in surplus.collect()} == {("a", 1, 0), ("b", 0, 1), ("c", 0, 1)}
+
+
 def test_sniffed_columns(spark, root):
     rows = tables.read_traces(spark, root, glob="trap_0*_detection_full*.csv", rename=tables.sniffed)
     assert {"t", "length"} <= set(rows.columns) and "Frame" not in rows.columns
