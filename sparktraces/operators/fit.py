@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,7 @@ from sparktraces.operators.sequence import attach, renumber, spread, summarise,
 from sparktraces.operators.stage import staged
 
 FREE = 1e300
+SUMS = ["yy", "b1", "b2", "b3", "g11", "g12", "g13", "g22", "g23", "g33"]
 QUANTUM = 1e9
 SINGULAR = 1e-12
 MIN_POINTS = 15
@@ -144,29 +145,63 @@ def _spec(model: Column, lo1, hi1, n1: int, lo2=None, hi2=None, n2: int = 1) ->
     )
 
 
+def _basis_arrays(basis: str, t: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three basis terms at each (time, shape); terms that do not depend on the shape have one column."""
+    one = np.ones((len(t), 1))
+    if basis == "rise":
+        return -np.expm1(-t[:, None] / s1), t[:, None], one
+    if basis == "two_rises":
+        return -np.expm1(-t[:, None] / s1), -np.expm1(-t[:, None] / s2), 0 * one
+    if basis == "power":
+        return np.power(t[:, None], s1), 0 * one, one
+    raise ValueError(f"unknown basis {basis}")
+
+
+def _grid_array(lo: float, hi: float, i: np.ndarray, n: int, log: bool) -> np.ndarray:
+    part = i / max(n - 1, 1)
+    return np.exp(np.log(lo) + (np.log(hi) - np.log(lo)) * part) if log else lo + (hi - lo) * part
+
+
+def _partial_sums(t: np.ndarray, y: np.ndarray, spec: Mapping, basis: str, log: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Grid positions, and the products of the normal equations summed over the given points at each of them."""
+    i = np.arange(spec["n1"] * spec["n2"])
+    s1 = _grid_array(spec["lo1"], spec["hi1"], i // spec["n2"], spec["n1"], log)
+    s2 = _grid_array(spec["lo2"], spec["hi2"], i % spec["n2"], spec["n2"], log)
+    if basis == "two_rises":
+        i, s1, s2 = (x[s1 < s2] for x in (i, s1, s2))
+    a, b, c = _basis_arrays(basis, t, s1, s2)
+    products = [y @ a, y @ b, y @ c, *((p * q).sum(axis=0) for p, q in ((a, a), (a, b), (a, c), (b, b), (b, c), (c, c)))]
+    return i, [np.full(len(i), y @ y), *(np.broadcast_to(p, len(i)) for p in products)]
+
+
 def _sums(points: DataFrame, keys: Sequence[str], specs: DataFrame, basis: str, log: bool) -> DataFrame:
-    """Normal-equation sums per (trace, spec, grid point)."""
+    """Normal-equation sums per (trace, spec, grid point).
+
+    A task sums the points that it holds of a trace over the whole grid at once, so no point is repeated; the parts of
+    a trace are added afterwards.
+    """
+    keys = list(keys)
+    # A merge join keeps the spread of the points, and leaves the rows of a trace next to each other.
+    placed = attach(points, specs.hint("merge"), keys, how="inner").select(*keys, "t", "y", "_specs")
+    key_types = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys)
+    columns = [*keys, "_k", "_i", *SUMS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for key, rows in batch.groupby(keys, sort=False, dropna=False):
+                t, y = rows["t"].to_numpy(), rows["y"].to_numpy()
+                for k, spec in enumerate(rows["_specs"].iloc[0]):
+                    i, sums = _partial_sums(t, y, spec, basis, log)
+                    parts.append(pd.DataFrame(dict(zip(columns, [*key, k, i, *sums]))))
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+
+    schema = f"{key_types}, _k int, _i int, " + ", ".join(f"{n} double" for n in SUMS)
+    sums = placed.mapInPandas(run, schema).groupBy(*keys, "_k", "_i").agg(*[F.sum(n).alias(n) for n in SUMS])
     spec = F.col("_s")
-    # A merge join keeps the spread of the points; a broadcast of them would leave the expansion to few tasks.
-    grid = (
-        attach(points, specs.hint("merge"), keys, how="inner")
-        .select(*keys, "t", "y", F.posexplode("_specs").alias("_k", "_s"))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), spec["n1"] * spec["n2"] - 1)))
-    )
-    grid = grid.select(*keys, "_k", "_i", "t", "y", *_shapes(spec, log))
-    if basis == "two_rises":
-        grid = grid.filter(F.col("s1") < F.col("s2"))
-    g1, g2, g3 = basis_terms(basis, F.col("t"), F.col("s1"), F.col("s2"))
-    grid = grid.select(*keys, "_k", "_i", "y", g1.alias("_g1"), g2.alias("_g2"), g3.alias("_g3"))
-    y, a, b, c = (F.col(n) for n in ("y", "_g1", "_g2", "_g3"))
-    products = {
-        "yy": y * y, "b1": y * a, "b2": y * b, "b3": y * c, "g11": a * a, "g12": a * b, "g13": a * c,
-        "g22": b * b, "g23": b * c, "g33": c * c,
-    }
-    sums = grid.groupBy(*keys, "_k", "_i").agg(*[F.sum(p).alias(n) for n, p in products.items()])
     # The grid itself is not grouped on: a row finds its spec again by position.
-    return sums.join(specs.drop("_last"), list(keys)).withColumn("_s", F.col("_specs")[F.col("_k")]).select(
-        *keys, "_i", "_s", *products, *_shapes(spec, log)
+    return sums.join(specs.drop("_last"), keys).withColumn("_s", F.col("_specs")[F.col("_k")]).select(
+        *keys, "_i", "_s", *SUMS, *_shapes(spec, log)
     )
 
 
@@ -224,9 +259,6 @@ def _solver(models: Sequence[Model]):
     return solve
 
 
-SUMS = ["yy", "b1", "b2", "b3", "g11", "g12", "g13", "g22", "g23", "g33"]
-
-
 def _best(sums: DataFrame, keys: Sequence[str], models: Sequence[Model]) -> DataFrame:
     """Best grid point of each model per trace; residuals equal to nine digits count as ties."""
     asked = F.col("_s.model")
