@@ -184,7 +184,7 @@ def effect_class(delta: Column) -> Column:
 
 
 def stars(p: Column) -> Column:
-    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p.isNotNull(), "ns")
 
 
 def structure_class(edge_ratio: Column, edge_cv: Column, cv_threshold: float = 0.4) -> Column:

@@ -131,10 +131,10 @@ def full_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def whole_range(df: DataFrame, column: str, lo: int, hi: int) -> DataFrame:
-    """A count table completed to every integer of lo..hi, zero where absent."""
+    """A count table completed to every integer of lo..hi, zero where absent; keys outside that range stay."""
     span = df.sparkSession.range(lo, hi + 1).select(F.col("id").alias("_k"))
-    out = span.join(df, F.col("_k") == F.col(column), "left").drop(column).withColumnRenamed("_k", column)
-    return out.na.fill(0)
+    out = span.join(df, F.col("_k") == F.col(column), "full").withColumn("_k", F.coalesce("_k", F.col(column).cast("long")))
+    return out.drop(column).withColumnRenamed("_k", column).na.fill(0)
 
 
 def blank_unless(value: Column, gate: Column) -> Column:

@@ -6,6 +6,7 @@ it covers and emits just those.  ``frame`` must be dense and times increasing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,25 @@ def linear_grid(lo: float, hi: float, points: int) -> dict[str, float]:
     return {"start": lo, "step": (hi - lo) / (points - 1), "points": points}
 
 
+def grid_to_end(df: DataFrame, t: str, *, start: float, step: float) -> dict[str, float]:
+    """A grid from ``start`` by ``step`` to the first point at or past the last time of the table (one row back)."""
+    end = df.agg(F.max(t)).first()[0]
+    return {"start": start, "step": step, "points": 1 if end is None else max(1, math.ceil((end - start) / step) + 1)}
+
+
+def grid_over(df: DataFrame, t: str, points: int) -> dict[str, float]:
+    """An evenly spaced grid from 0 to the last time of the table."""
+    end = df.agg(F.max(t)).first()[0]
+    return linear_grid(0.0, 1.0 if not end else end, points)
+
+
+def end_percentile(df: DataFrame, keys: Sequence[str], groups: Sequence[str], t: str, *, q: float = 0.95) -> DataFrame:
+    """Per group the percentile of the last times of its traces, and the number of traces."""
+    ends = df.groupBy(*keys, *groups).agg(F.max(t).alias("_end"))
+    counts = ends.groupBy(*groups).agg(F.count(F.lit(1)).alias("traces"))
+    return quantiles(ends, list(groups), "_end", {"cap": q}).join(counts, list(groups))
+
+
 def mean_step_grid(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], t: str, *, frame: str = "frame") -> DataFrame:
     """Per bucket: mean time step, last time, and the number of grid points from 0 past the end."""
     stepped = rolling(df, keys, {"_dt": lambda w: F.col(t) - F.lag(t).over(w)}, before=1, frame=frame)

@@ -255,7 +255,7 @@ _fit_query("bi_fit", "G9", fit.BI, RISES, rises_of)
 
 ENSEMBLE = (
     TRACES
-    + f""", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1, lag(t) OVER ({PART}) AS pt FROM tr), gr AS (SELECT i, 0.0::DOUBLE + i * 8.0::DOUBLE AS g FROM range(90) r(i)),
+    + f""", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1, lag(t) OVER ({PART}) AS pt FROM tr), gr AS (SELECT i, 0.0::DOUBLE + i * 8.0::DOUBLE AS g FROM (SELECT unnest(range(CAST(ceil(max(t) / 8.0) AS BIGINT) + 1)) AS i FROM tr)),
 ip AS (SELECT arm, i, g, CASE WHEN g <= t OR t1 IS NULL THEN y ELSE y + (y1 - y) / (t1 - t) * (g - t) END AS value FROM sg JOIN gr ON (g >= t AND (g < t1 OR (t1 IS NULL AND g = t))) OR (pt IS NULL AND g < t) OR (t1 IS NULL AND g > t)),
 pt AS (SELECT CASE arm WHEN '100us' THEN 0 ELSE 1 END AS trace_id, i AS frame, max(g) AS t, avg(value) AS y FROM ip GROUP BY arm, i)
 """
@@ -265,7 +265,7 @@ pt AS (SELECT CASE arm WHEN '100us' THEN 0 ELSE 1 END AS trace_id, i AS frame, m
 def ensemble_points(spark, sf_dir):
     """The held ensemble mean of each arm as a trace of its own."""
     rows = traces(spark, sf_dir)
-    points = resample.interpolate(rows, KEYS, "t", "y", start=0.0, step=8.0, points=90, hold=True)
+    points = resample.interpolate(rows, KEYS, "t", "y", **resample.grid_to_end(rows, "t", start=0.0, step=8.0), hold=True)
     mean = resample.ensemble_mean(points, resample.bucket_sizes(rows, KEYS, ["arm"]), ["arm"])
     return fit.staged(
         mean.select(

@@ -9,29 +9,27 @@ from sparktraces.plans.bindings import KEYS, MARKED, TRACES, marked, traces
 from sparktraces.plans.registry import query, rounded, sql_round
 
 PART = "PARTITION BY trace_id ORDER BY frame"
-STEP = 720.0 / 89
+
+
+def grid_sql(start: float, step: float) -> str:
+    """SQL for the grid that ends at the first point at or past the last time."""
+    return f"gr AS (SELECT i, {start!r}::DOUBLE + i * {step!r}::DOUBLE AS g FROM (SELECT unnest(range(CAST(ceil((max(t) - {start!r}::DOUBLE) / {step!r}::DOUBLE) AS BIGINT) + 1)) AS i FROM tr))"
 
 
 FLAT = (
     TRACES
-    + f", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1 FROM tr), gr AS (SELECT i, 0.0::DOUBLE + i * {STEP!r}::DOUBLE AS g FROM range(90) r(i)), "
+    + f", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1 FROM tr), gr AS (SELECT i, 0.0::DOUBLE + i * st AS g FROM (SELECT max(t) / 89 AS st FROM tr), range(90) r(i)), "
     + "ip AS (SELECT trace_id, arm, i, g, CASE WHEN g <= t OR t1 IS NULL THEN y ELSE y + (y1 - y) / (t1 - t) * (g - t) END AS value "
     + "FROM sg JOIN gr ON g >= t AND (g < t1 OR (t1 IS NULL AND g = t)))"
 )
 
 
-def gridded(spark, sf_dir, **kw):
-    return resample.interpolate(
-        traces(spark, sf_dir).select("trace_id", "arm", "frame", "t", "y"), KEYS, "t", "y", start=0.0, step=STEP, points=90, **kw
-    )
-
-
 @query("interp_linear", "R1 R7 J10 U3", FLAT + f"SELECT trace_id, i, {sql_round('value', 5)} AS value FROM ip")
 def interp_linear(spark, sf_dir):
     rows = cohorts.first_unique_times(
         traces(spark, sf_dir).select("trace_id", "arm", "frame", "t", "y"), KEYS, "t", "frame"
     )
-    out = resample.interpolate(rows, KEYS, "t", "y", start=0.0, step=STEP, points=90)
+    out = resample.interpolate(rows, KEYS, "t", "y", **resample.grid_over(rows, "t", 90))
     return out.select("trace_id", "i", rounded("value", 5).alias("value"))
 
 
@@ -39,14 +37,13 @@ def interp_linear(spark, sf_dir):
     "interp_hold",
     "R2",
     TRACES
-    + f", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1, lag(t) OVER ({PART}) AS pt FROM tr), gr AS (SELECT i, -20.0::DOUBLE + i * 10.0::DOUBLE AS g FROM range(76) r(i)) "
+    + f", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1, lag(t) OVER ({PART}) AS pt FROM tr), {grid_sql(-20.0, 10.0)} "
     + f"SELECT trace_id, i, {sql_round('CASE WHEN g <= t OR t1 IS NULL THEN y ELSE y + (y1 - y) / (t1 - t) * (g - t) END', 5)} AS value "
     + "FROM sg JOIN gr ON (g >= t AND (g < t1 OR (t1 IS NULL AND g = t))) OR (pt IS NULL AND g < t) OR (t1 IS NULL AND g > t)",
 )
 def interp_hold(spark, sf_dir):
-    out = resample.interpolate(
-        traces(spark, sf_dir), KEYS, "t", "y", start=-20.0, step=10.0, points=76, hold=True
-    )
+    rows = traces(spark, sf_dir)
+    out = resample.interpolate(rows, KEYS, "t", "y", **resample.grid_to_end(rows, "t", start=-20.0, step=10.0), hold=True)
     return out.select("trace_id", "i", rounded("value", 5).alias("value"))
 
 
@@ -66,7 +63,7 @@ c AS (SELECT *, lag(h) OVER ({PART}) AS hb, lag(m) OVER ({PART}) AS mb, lag(h, 2
 d AS (SELECT *, CASE WHEN mb IS NULL THEN {end_sql('h', 'hf', 'm', 'mf')} WHEN m IS NULL THEN {end_sql('hb', 'hbb', 'mb', 'mbb')}
   WHEN mb * m <= 0 THEN 0 ELSE (3 * h + 3 * hb) / ((2 * h + hb) / mb + (h + 2 * hb) / m) END AS d FROM c),
 e AS (SELECT *, lead(d) OVER ({PART}) AS d1 FROM d),
-gr AS (SELECT i, 0.0::DOUBLE + i * 3.5::DOUBLE AS g FROM range(206) r(i)),
+{grid_sql(0.0, 3.5)},
 f AS (SELECT trace_id, condition, arm, i, y, y1, h, d, d1, t1, (g - t) / h AS s FROM e JOIN gr ON g >= t AND (g < t1 OR (t1 IS NULL AND g = t))),
 pc AS (SELECT trace_id, condition, arm, i, CASE WHEN t1 IS NULL THEN y ELSE y * (1 + 2 * s) * (1 - s) * (1 - s) + d * h * s * (1 - s) * (1 - s) + y1 * s * s * (3 - 2 * s) + d1 * h * s * s * (s - 1) END AS value FROM f)
 """
@@ -75,7 +72,8 @@ pc AS (SELECT trace_id, condition, arm, i, CASE WHEN t1 IS NULL THEN y ELSE y *
 
 @query("interp_pchip", "R3", PCHIP + f"SELECT trace_id, i, {sql_round('value', 5)} AS value FROM pc")
 def interp_pchip(spark, sf_dir):
-    out = resample.interpolate_pchip(traces(spark, sf_dir), KEYS, "t", "y", start=0.0, step=3.5, points=206)
+    rows = traces(spark, sf_dir)
+    out = resample.interpolate_pchip(rows, KEYS, "t", "y", **resample.grid_to_end(rows, "t", start=0.0, step=3.5))
     return out.select("trace_id", "i", rounded("value", 5).alias("value"))
 
 
@@ -120,7 +118,7 @@ def marker_ensemble(spark, sf_dir):
 
 @query(
     "ensemble_quartiles",
-    "R9 A33",
+    "R9",
     AROUND
     + f"""SELECT arm, i, {sql_round('quantile_cont(value, 0.25)', 5)} AS q25, {sql_round('quantile_cont(value, 0.5)', 5)} AS median,
   {sql_round('quantile_cont(value, 0.75)', 5)} AS q75, count(*) AS n
@@ -133,6 +131,18 @@ def ensemble_quartiles(spark, sf_dir):
     return out.select("arm", "i", *[rounded(c, 5).alias(c) for c in ("q25", "median", "q75")], "n")
 
 
+@query(
+    "trace_end_cap",
+    "A33",
+    TRACES
+    + f", en AS (SELECT trace_id, arm, max(t) AS e FROM tr GROUP BY trace_id, arm) "
+    + f"SELECT arm, count(*) AS traces, {sql_round('quantile_cont(e, 0.95)', 5)} AS cap FROM en GROUP BY arm",
+)
+def trace_end_cap(spark, sf_dir):
+    out = resample.end_percentile(traces(spark, sf_dir), KEYS, ["arm"], "t")
+    return out.select("arm", "traces", rounded("cap", 5).alias("cap"))
+
+
 @query(
     "ensemble_mean_step",
     "R6 R10 R13",
@@ -166,7 +176,7 @@ FROM pc JOIN sz ON sz.condition = pc.condition AND sz.arm = pc.arm GROUP BY ALL
 )
 def ensemble_pchip(spark, sf_dir):
     rows = traces(spark, sf_dir).select("trace_id", "condition", "arm", "frame", "t", "y")
-    points = resample.interpolate_pchip(rows, KEYS, "t", "y", start=0.0, step=3.5, points=206)
+    points = resample.interpolate_pchip(rows, KEYS, "t", "y", **resample.grid_to_end(rows, "t", start=0.0, step=3.5))
     by = ["condition", "arm"]
     out = resample.ensemble_mean(points, resample.bucket_sizes(rows, KEYS, by), by)
     return out.select(*by, "i", rounded("mean", 5).alias("mean"), rounded("sd", 5).alias("sd"), "n")

@@ -70,7 +70,7 @@ c AS (SELECT trap, count(*) FILTER (WHERE status = 'AF') AS AF, count(*) FILTER
     "status_crosstab",
     "A4 J9",
     STATUS_SQL
-    + "SELECT CAST(k AS BIGINT) AS trap, coalesce(AF, 0) AS AF, coalesce(NF, 0) AS NF, coalesce(NO, 0) AS NO, coalesce(RF, 0) AS RF FROM range(1, 19) x(k) LEFT JOIN c ON c.trap = k",
+    + "SELECT CAST(k AS BIGINT) AS trap, coalesce(AF, 0) AS AF, coalesce(NF, 0) AS NF, coalesce(NO, 0) AS NO, coalesce(RF, 0) AS RF FROM (SELECT k FROM range(1, 19) x(k) UNION SELECT trap FROM c) LEFT JOIN c ON c.trap = k",
 )
 def status_crosstab(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(

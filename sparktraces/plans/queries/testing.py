@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparktraces.functions.physics import stars
 from sparktraces.operators import cohorts, ranks, stats
 from sparktraces.operators.quantiles import quantiles
 from sparktraces.plans.registry import query, rounded, sql_round, table
@@ -15,6 +16,30 @@ def rank_sql(source: str, by: str, value: str) -> str:
     return f"(rank() OVER ({part}) + (count(*) OVER ({same}) - 1) / 2.0::DOUBLE)"
 
 
+def gamma_tail_sql(a: str, x: str) -> str:
+    """SQL for the upper tail of the gamma distribution as one minus a series of positive terms; 0 far out."""
+    terms = f"list_sum([exp(({a} + i) * ln({x}) - {x} - lgamma({a} + i + 1)) FOR i IN range(0, 900)])"
+    return f"(CASE WHEN {x} <= 0 THEN 1.0::DOUBLE WHEN {x} > 200 + 2 * ({a}) THEN 0.0::DOUBLE ELSE greatest(0.0, 1 - {terms}) END)"
+
+
+STARS_SQL = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p IS NOT NULL THEN 'ns' END"
+
+
+def normal_p_sql(z: str) -> str:
+    """SQL for the two-sided p of a normal statistic."""
+    return gamma_tail_sql("0.5::DOUBLE", f"({z} * {z} / 2)")
+
+
+def student_p_sql(t: str, df: str) -> str:
+    """SQL for the two-sided p of Student's t: one minus the incomplete beta function as a series of positive terms."""
+    y = f"({t} * {t} / ({df} + {t} * {t}))"
+    front = f"exp(0.5 * ln({y}) + {df} / 2 * ln(1 - {y}) + lgamma(({df} + 1) / 2) - lgamma({df} / 2) - lgamma(0.5::DOUBLE) + ln(2.0::DOUBLE))"
+    terms = (
+        f"list_sum([exp(lgamma(({df} + 1) / 2 + i) - lgamma(({df} + 1) / 2) + lgamma(1.5::DOUBLE) - lgamma(1.5::DOUBLE + i) + i * ln({y})) FOR i IN range(0, 2000)])"
+    )
+    return f"(CASE WHEN {t} = 0 THEN 1.0::DOUBLE WHEN abs({t}) > 9 AND {df} > 60 THEN 0.0::DOUBLE ELSE greatest(0.0, 1 - {front} * {terms}) END)"
+
+
 @query(
     "average_ranks",
     "W28",
@@ -30,13 +55,20 @@ def average_ranks(spark, sf_dir):
     "T1 T11",
     f"""
 WITH r AS (SELECT l_linestatus, {rank_sql('', 'l_linestatus', 'l_quantity')} AS rx, {rank_sql('', 'l_linestatus', 'l_extendedprice')} AS ry FROM lineitem),
-c AS (SELECT l_linestatus, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY l_linestatus)
-SELECT l_linestatus, n, {sql_round('rho')} AS rho, {sql_round('rho * sqrt((n - 2) / (1 - rho * rho))', 3)} AS t_stat FROM c
+r2 AS (SELECT l_linestatus, {rank_sql('', 'l_linestatus', 'l_discount')} AS rx, {rank_sql('', 'l_linestatus', 'l_tax')} AS ry FROM lineitem),
+c AS (SELECT 'price' AS pair, l_linestatus, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY l_linestatus
+  UNION ALL SELECT 'tax', l_linestatus, count(*), corr(rx, ry) FROM r2 GROUP BY l_linestatus),
+t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t_stat, (n - 2)::DOUBLE AS f FROM c)
+SELECT pair, l_linestatus, n, {sql_round('rho')} AS rho, {sql_round('t_stat', 3)} AS t_stat, {sql_round(student_p_sql('t_stat', 'f'), 5)} AS p FROM t
 """,
 )
 def spearman(spark, sf_dir):
-    out = ranks.spearman(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity", "l_extendedprice")
-    return out.select("l_linestatus", "n", rounded("rho").alias("rho"), rounded("t_stat", 3).alias("t_stat"))
+    pairs = [("price", "l_quantity", "l_extendedprice", None), ("tax", "l_discount", "l_tax", None)]
+    out = stats.with_spearman_p(stats.correlation_sweep(table(spark, sf_dir, "lineitem"), pairs, ["l_linestatus"]))
+    return out.select(
+        F.col("spec").alias("pair"), "l_linestatus", "n", rounded("rho").alias("rho"), rounded("t_stat", 3).alias("t_stat"),
+        rounded("p", 5).alias("p"),
+    )
 
 
 MATRIX_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -77,14 +109,17 @@ mw AS (SELECT panel, n1, n2, u, greatest(abs(u - nn / 2) - 0.5, 0) * sign(u - nn
     "mannwhitney_cliff",
     "T2 T3 J12",
     mw_sql("lineitem", "l_linenumber", "l_returnflag", "l_extendedprice", "A", "R", "WITH")
-    + f"SELECT panel AS l_linenumber, n1, n2, {sql_round('u', 1)} AS u, {sql_round('z')} AS z, {sql_round('cliffs_delta')} AS cliffs_delta FROM mw",
+    + f", mp AS (SELECT *, {sql_round(normal_p_sql('z'))} AS p FROM mw) "
+    f"SELECT panel AS l_linenumber, n1, n2, {sql_round('u', 1)} AS u, {sql_round('z')} AS z, p, {STARS_SQL} AS stars, {sql_round('cliffs_delta')} AS cliffs_delta FROM mp",
 )
 def mannwhitney_cliff(spark, sf_dir):
     out = ranks.two_sample_ranks(
         table(spark, sf_dir, "lineitem"), ["l_linenumber"], "l_returnflag", "l_extendedprice", "A", "R"
     )
+    out = out.withColumn("p", rounded(stats.normal_p("z")))
     return out.select(
-        "l_linenumber", "n1", "n2", rounded("u", 1).alias("u"), rounded("z").alias("z"), rounded("cliffs_delta").alias("cliffs_delta")
+        "l_linenumber", "n1", "n2", rounded("u", 1).alias("u"), rounded("z").alias("z"), "p", stars(F.col("p")).alias("stars"),
+        rounded("cliffs_delta").alias("cliffs_delta"),
     )
 
 
@@ -94,14 +129,17 @@ def mannwhitney_cliff(spark, sf_dir):
     "WITH rm AS (SELECT c_mktsegment, avg(c_acctbal) AS v FROM customer GROUP BY c_mktsegment, c_nationkey), bp AS (SELECT 'BUILDING vs MACHINERY' AS pair, CASE c_mktsegment WHEN 'BUILDING' THEN 'first' ELSE 'second' END AS side, v FROM rm WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') "
     "UNION ALL SELECT 'BUILDING vs FURNITURE', CASE c_mktsegment WHEN 'BUILDING' THEN 'first' ELSE 'second' END, v FROM rm WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')), "
     + mw_sql("bp", "pair", "side", "v", "first", "second")
-    + f"SELECT panel AS pair, n1, n2, {sql_round('u', 1)} AS u, {sql_round('z')} AS z, {sql_round('cliffs_delta')} AS cliffs_delta FROM mw",
+    + f"SELECT panel AS pair, n1, n2, {sql_round('u', 1)} AS u, {sql_round('z')} AS z, {sql_round(normal_p_sql('z'))} AS p, {sql_round('cliffs_delta')} AS cliffs_delta FROM mw",
 )
 def replicate_tests(spark, sf_dir):
     out = stats.replicate_tests(
         table(spark, sf_dir, "customer"), "c_mktsegment", ["c_nationkey"], "c_acctbal",
         [("BUILDING", "MACHINERY"), ("BUILDING", "FURNITURE")],
     )
-    return out.select("pair", "n1", "n2", rounded("u", 1).alias("u"), rounded("z").alias("z"), rounded("cliffs_delta").alias("cliffs_delta"))
+    return out.select(
+        "pair", "n1", "n2", rounded("u", 1).alias("u"), rounded("z").alias("z"), rounded(stats.normal_p("z")).alias("p"),
+        rounded("cliffs_delta").alias("cliffs_delta"),
+    )
 
 
 @query(
@@ -112,8 +150,8 @@ WITH d AS (SELECT l_returnflag AS g, l_tax * 100 - l_discount * 100 AS d FROM li
 r AS (SELECT g, d, {rank_sql('', 'g', 'abs(d)')} AS r FROM d),
 t AS (SELECT g, sum(pow(c, 3) - c) AS tie FROM (SELECT g, count(*)::DOUBLE AS c FROM d GROUP BY g, abs(d)) GROUP BY g),
 s AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS w_minus FROM r GROUP BY g)
-SELECT s.g AS l_returnflag, n, {sql_round('w_plus', 1)} AS w_plus, {sql_round('w_minus', 1)} AS w_minus,
-  {sql_round('(least(w_plus, w_minus) - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tie / 48)')} AS z FROM s JOIN t ON t.g = s.g
+, z AS (SELECT s.*, (least(w_plus, w_minus) - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM s JOIN t ON t.g = s.g)
+SELECT g AS l_returnflag, n, {sql_round('w_plus', 1)} AS w_plus, {sql_round('w_minus', 1)} AS w_minus, {sql_round('z')} AS z, {sql_round(normal_p_sql('z'))} AS p FROM z
 """,
 )
 def wilcoxon(spark, sf_dir):
@@ -122,7 +160,8 @@ def wilcoxon(spark, sf_dir):
     )
     out = ranks.wilcoxon_signed_rank(rows, ["l_returnflag"], "a", "b")
     return out.select(
-        "l_returnflag", "n", rounded("w_plus", 1).alias("w_plus"), rounded("w_minus", 1).alias("w_minus"), rounded("z").alias("z")
+        "l_returnflag", "n", rounded("w_plus", 1).alias("w_plus"), rounded("w_minus", 1).alias("w_minus"), rounded("z").alias("z"),
+        rounded(stats.normal_p("z")).alias("p"),
     )
 
 
@@ -134,13 +173,17 @@ WITH r AS (SELECT o_orderpriority AS lv, {rank_sql('', '', 'o_totalprice')} AS r
 t AS (SELECT sum(pow(c, 3) - c) AS tie FROM (SELECT count(*)::DOUBLE AS c FROM orders GROUP BY o_totalprice)),
 g AS (SELECT lv, count(*)::DOUBLE AS n, sum(r) AS s FROM r GROUP BY lv),
 a AS (SELECT count(*) AS levels, sum(n) AS n, sum(s * s / n) AS q FROM g)
-SELECT 'all' AS panel, levels, CAST(n AS BIGINT) AS n, {sql_round('(12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tie / (n * n * n - n))', 5)} AS h FROM a, t
+, h AS (SELECT levels, n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) AS h FROM a, t),
+p AS (SELECT *, {sql_round(gamma_tail_sql('((levels - 1) / 2.0::DOUBLE)', '(h / 2)'))} AS p FROM h)
+SELECT 'all' AS panel, levels, CAST(n AS BIGINT) AS n, {sql_round('h', 5)} AS h, p, CASE WHEN p < 0.05 THEN 'differ' ELSE 'alike' END AS verdict FROM p
 """,
 )
 def kruskal(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("panel", F.lit("all"))
     out = ranks.kruskal_wallis(rows, ["panel"], "o_orderpriority", "o_totalprice")
-    return out.select("panel", "levels", "n", rounded("h", 5).alias("h"))
+    out = out.withColumn("p", rounded(stats.chi2_p("h", (F.col("levels") - 1).cast("double"))))
+    verdict = F.when(F.col("p") < 0.05, "differ").when(F.col("p").isNotNull(), "alike")
+    return out.select("panel", "levels", "n", rounded("h", 5).alias("h"), "p", verdict.alias("verdict"))
 
 
 @query(

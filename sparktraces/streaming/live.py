@@ -43,25 +43,20 @@ def advance(state: tuple, values: np.ndarray, s: Settings) -> tuple[tuple, list[
 
 
 def online_alarms(
-    stream: DataFrame, key: str, t: str, y: str, *, settings: Settings = Settings(), late: str = "10 minutes", idle_ms: int = 86_400_000
+    stream: DataFrame, key: str, t: str, y: str, *, settings: Settings = Settings(), late: str = "10 minutes"
 ) -> DataFrame:
     """First spike and drift alarm per trace of a stream: (key, at_frame, kind).
 
-    Rows of a micro-batch are taken in time order; the state of a trace that stays
-    silent for ``idle_ms`` of event time is dropped.  Traces shorter than the
-    warm-up raise nothing.
+    Rows of a micro-batch are taken in time order.  The state of a trace, a handful of numbers, is kept for
+    as long as the stream runs, so a pause changes nothing.  Traces shorter than the warm-up raise nothing.
     """
     key_type = stream.schema[key].dataType.simpleString()
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
         current = state.get if state.exists else (0, [], 0.0, [])
         new, found = advance(current, rows["_y"].to_numpy(), settings)
         state.update(new)
-        state.setTimeoutTimestamp(int(rows["_t"].max().timestamp() * 1000) + idle_ms)
         if found:
             yield pd.DataFrame({key: [group[0]] * len(found), "at_frame": [f for f, _ in found], "kind": [k for _, k in found]})
 
@@ -70,7 +65,7 @@ def online_alarms(
         .withWatermark("_t", late)
         .groupBy(key)
         .applyInPandasWithState(
-            step, f"{key} {key_type}, at_frame LONG, kind STRING", STATE, "append", GroupStateTimeout.EventTimeTimeout
+            step, f"{key} {key_type}, at_frame LONG, kind STRING", STATE, "append", GroupStateTimeout.NoTimeout
         )
     )
 

@@ -6,6 +6,10 @@ from sparktraces.plans import catalog
 from tests.oracle import compare, connect
 
 REGISTRY = catalog.load()
+#: Queries whose parts are checked by twins of their own.
+WITHOUT_TWIN = {"feature_table"}
+#: Queries that rightly find nothing in the smallest tables.
+EMPTY_WHEN_TINY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +22,7 @@ def test_query(spark, sf_dir, duck, name):
     q = REGISTRY[name]
     df = q.run(spark, sf_dir)
     if q.sql is None:
-        assert df.count() >= 0
+        assert name in WITHOUT_TWIN and df.count() > 0
         return
     why = compare(df, duck, q.sql)
-    assert why in (None, "no rows"), why
+    assert why is None or why == "no rows" and name in EMPTY_WHEN_TINY, why
