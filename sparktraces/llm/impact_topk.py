@@ -27,26 +27,45 @@ from sparktraces.llm.vectors import best, dealt, prepared, query_set
 from sparktraces.operators.stage import staged
 
 #: Vectors of a block and queries of a chunk, on average: they bound the memory of one task.
-BLOCK, CHUNK = 2048, 2048
+BLOCK, CHUNK = 4096, 2048
+#: Small tables are cut into this many blocks as long as a block has a few hundred vectors.
+LEAST_BLOCKS = 6
+#: Range of values up to which a block keeps where each value begins; beyond it that is searched for.
+TABLE = 1 << 14
 #: Impact levels after which the bounds are looked at, as shares of the largest impact.
-LEVELS = (0.5, 0.2, 0.07, 0.0)
+LEVELS = (0.35, 0.1, 0.0)
 
 
 class ImpactIndex:
-    """Postings of one block, by dimension in order of value."""
+    """Postings of one block, by dimension in order of value, and where each value begins."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.docs = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T)
         self.values = np.take_along_axis(self.vectors.T, self.docs, axis=1)
-
-    def postings(self, d: int, weight: int, low: float, high: float) -> slice:
-        """Where the postings of a dimension have an impact of at least ``low`` and less than ``high``."""
-        values = self.values[d]
-        if weight > 0:
-            return slice(*np.searchsorted(values, (low / weight, high / weight), "left").tolist())
-        return slice(*np.searchsorted(values, (high / weight, low / weight), "right").tolist())
+        self.least = int(self.values.min())
+        span = int(self.values.max()) - self.least + 1
+        self.begins = None
+        if span <= TABLE:
+            held = np.stack([np.bincount(row - self.least, minlength=span) for row in self.values])
+            self.begins = np.concatenate((np.zeros((len(held), 1), np.int64), held.cumsum(axis=1)), axis=1)
+
+    def cut(self, dims: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each dimension the first posting whose value is at least ``at``."""
+        if self.begins is None:
+            return np.array([np.searchsorted(self.values[d], v) for d, v in zip(dims, at)], np.int64)
+        return self.begins[dims, np.clip(at - self.least, 0, self.begins.shape[1] - 1)]
+
+    def postings(self, dims: np.ndarray, weights: np.ndarray, low: int, high: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the postings of each dimension whose impact is at least ``low`` and, unless None, less than ``high``."""
+        up = weights > 0
+        edge = self.cut(dims, np.where(up, -(-low // weights), low // weights + 1))
+        if high is None:
+            other = np.where(up, len(self.ids), 0)
+        else:
+            other = self.cut(dims, np.where(up, -(-high // weights), high // weights + 1))
+        return np.where(up, edge, other), np.where(up, other, edge)
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best of the block, without rows of the query's own id."""
@@ -55,21 +74,20 @@ class ImpactIndex:
         if not take:
             return self.ids[:0], np.zeros(0, np.int64)
         dims = np.flatnonzero(query)
-        most = np.maximum(self.values[dims, 0] * query[dims], self.values[dims, -1] * query[dims])
+        weights = query[dims]
+        most = np.maximum(self.values[dims, 0] * weights, self.values[dims, -1] * weights)
         read, count, bar = np.zeros(n), np.zeros(n), -np.inf
-        top = float(most.max()) if len(dims) else 0.0
-        high = np.inf
+        top = int(most.max()) if len(dims) else 0
+        high: int | None = None
         for share in LEVELS if top > 0 else ():
-            low = share * top
-            docs, impacts = [], []
-            for d in dims[most >= low].tolist():
-                part = self.postings(d, int(query[d]), low, high)
-                if part.start < part.stop:
-                    docs.append(self.docs[d, part])
-                    impacts.append(self.values[d, part] * query[d])
+            low = int(share * top)
+            reached = most >= low
+            starts, stops = self.postings(dims[reached], weights[reached], low, high)
+            parts = list(zip(dims[reached].tolist(), weights[reached].tolist(), starts.tolist(), stops.tolist()))
+            docs = [self.docs[d, a:b] for d, _, a, b in parts if a < b]
             if docs:
                 at = np.concatenate(docs)
-                read += np.bincount(at, np.concatenate(impacts), n)
+                read += np.bincount(at, np.concatenate([self.values[d, a:b] * w for d, w, a, b in parts if a < b]), n)
                 count += np.bincount(at, minlength=n)
             high = low
             # a dimension that was read has its largest impact at or above the level, so the level was its cap
@@ -92,7 +110,8 @@ def impact_topk(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 25
     """
     vectors, _ = prepared(rows, id_col, vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     queries = staged(query_set(vectors, every))
-    blocks = max(1, vectors.count() // BLOCK)
+    rows_in = vectors.count()
+    blocks = max(1, rows_in // BLOCK, min(LEAST_BLOCKS, rows_in // 512))
     chunks = max(1, queries.count() // CHUNK)
     indexed = vectors.withColumn("block", dealt("block", "vec_id", blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     asked = queries.withColumn("chunk", dealt("chunk", "query_id", chunks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
