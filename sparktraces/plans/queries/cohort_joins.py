@@ -45,7 +45,7 @@ def shared_controls(spark, sf_dir):
 
 @query(
     "semi_anti_cohorts",
-    "J3 J4 F12",
+    "J3 J4",
     """
 SELECT o_orderkey, 'kept' AS side FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)
 UNION ALL SELECT o_orderkey, 'left' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
@@ -167,7 +167,7 @@ def renumbered_rows(spark, sf_dir):
 
 @query(
     "trace_folders",
-    "S1 S2 S3 K2 K7",
+    "S1 S2",
     f"""
 SELECT '2401' || lpad(CAST(user_id % 7 + 1 AS VARCHAR), 2, '0') AS date, CASE WHEN user_id % 3 = 0 THEN 'ASP' ELSE 'EP' END AS condition_type,
   count(*) AS n, count(CASE WHEN event_id % 17 <> 0 THEN 1 END) AS n_y, {sql_round('max(value) FILTER (WHERE event_id % 17 <> 0)')} AS top

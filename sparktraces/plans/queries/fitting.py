@@ -280,7 +280,7 @@ COMPARED = [KV, JEFFREYS, BURGERS, fit.POWER_LAW]
 
 @query(
     "ensemble_model_comparison",
-    "G19 G20 G21 G14",
+    "G19 G14",
     ENSEMBLE
     + "".join(fit_sql(f"m{i}", "pt", m) + assess_sql(f"m{i}", "pt", f"m{i}fit", m.basis) for i, m in enumerate(COMPARED))
     + ", lfit AS (SELECT trace_id, 'Linear' AS model, 1.0::DOUBLE AS s1, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS c1, regr_slope(y, t) AS c2, regr_intercept(y, t) AS c3 FROM pt GROUP BY trace_id)"

@@ -191,7 +191,7 @@ def side_slopes(spark, sf_dir):
 
 @query(
     "time_to_63",
-    "W24 G17 O4",
+    "W24 O4",
     TRACES
     + f""", p AS (SELECT *, greatest(max(y) OVER (PARTITION BY trace_id), 1e-9::DOUBLE) AS peak FROM tr),
 r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY abs(y - 0.63::DOUBLE * peak), frame) AS k FROM p)

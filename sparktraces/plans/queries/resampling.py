@@ -102,7 +102,7 @@ def around_marker(spark, sf_dir):
 
 @query(
     "marker_ensemble",
-    "R8 R14 F4 W2",
+    "R8 F4 W2",
     AROUND
     + f"""SELECT arm, i, {sql_round('max(g)')} AS grid, {sql_round('avg(value)')} AS mean, {sql_round('stddev_pop(value)')} AS sd, count(*) AS n
 FROM ip GROUP BY arm, i HAVING count(*) >= (SELECT greatest(1, ceil(0.25 * traces)) FROM sz WHERE sz.arm = ip.arm)""",
@@ -168,7 +168,7 @@ def ensemble_mean_step(spark, sf_dir):
 
 @query(
     "ensemble_pchip",
-    "R11",
+    "R3 R8",
     PCHIP
     + f""", sz AS (SELECT condition, arm, count(DISTINCT trace_id) AS traces FROM tr GROUP BY ALL)
 SELECT pc.condition, pc.arm, i, {sql_round('avg(value)', 5)} AS mean, {sql_round('stddev_pop(value)', 5)} AS sd, count(*) AS n

@@ -306,7 +306,7 @@ def sweep_sql() -> str:
     )
 
 
-@query("sweep_table", "T9 T10 T12 T13 F11 F17", sweep_sql())
+@query("sweep_table", "T9 F11 F17", sweep_sql())
 def sweep_table(spark, sf_dir):
     specs = [(n, x, y, F.col(g)) for n, x, y, g in SWEEP]
     out = stats.correlation_sweep(fit_rows(spark, sf_dir), specs, ["region"])
@@ -315,7 +315,7 @@ def sweep_table(spark, sf_dir):
 
 @query(
     "blanked_values",
-    "F14 F15 F17",
+    "F14 F17",
     FITS
     + f""", m AS (SELECT quantile_cont(tau, 0.5) AS m FROM ft)
 SELECT region, count(*) AS n, count(CASE WHEN gate_pass THEN a END) AS kept, {sql_round('avg(CASE WHEN gate_pass THEN a END)', 4)} AS mean_kept
