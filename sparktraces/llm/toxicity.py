@@ -6,8 +6,8 @@ words, max pooling keeps the strongest answer of each filter anywhere in the tex
 the score. All of it is trained in numpy on a bounded sample of labelled rows and applied by tasks to whole texts,
 a window of words at a time, so memory does not grow with the text.
 
-The score reads the text alone. Thresholds are calibrated by language on rows kept out of training; the score itself
-is rescaled once so that 0.3 is the best common threshold.
+The score reads the text alone. Thresholds are calibrated by language on a fifth of all labelled rows, at their natural
+shares and kept out of training; the score itself is rescaled once so that 0.3 is the best common threshold.
 
 Defined results. A null or empty text, or one without words, has the score that empty pooling gives. Repeated
 rows have equal scores. Without any training rows of either label every score is 0. A label that is null, or whose document
@@ -23,9 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktraces.operators.stage import staged
+
 WORDS = re.compile(r"\w+").findall
 SLOTS = 1 << 14
 SIZE = 16
@@ -36,12 +38,14 @@ PARTS = 6
 WINDOW = 4096
 #: Words of a harmless text that a training step reads, at a random place; of a toxic text it reads more.
 TRAINING_WORDS = {0: 400, 1: 3000}
-#: Upper bound of the labelled rows that are learnt from, half of them of each label if there are as many.
+#: Upper bound of the labelled rows that the filters are fitted on, half of them of each label if there are as many.
 SAMPLE = 4000
 EPOCHS = 6
 TABLE_RATE = 0.01
 #: Toxic calibration rows that a language needs for a threshold of its own.
 LANGUAGE_TOXIC = 20
+#: Bins of calibration logits to the unit; logits further out than FAR count as FAR.
+BINS, FAR = 256, 64
 #: Words whose filter answers a task keeps; when there are more it starts anew.
 KEPT_WORDS = 100_000
 CUTOFF = 0.3
@@ -202,17 +206,55 @@ def trained(texts: list[np.ndarray], labels: np.ndarray, *, seed: int = 5) -> Mo
     return model
 
 
-def best_cut(scores: np.ndarray, labels: np.ndarray) -> float | None:
-    """The cut with the best F1, in the middle of its gap; None if one label is missing."""
-    if not len(labels) or labels.min() == labels.max():
+def best_cut(counts: dict[int, list[int]]) -> float | None:
+    """The cut with the best F1 over the (clean, toxic) counts of bins, in the middle of its gap; None if one label is missing."""
+    bins = np.array(sorted(counts, reverse=True), np.int64)
+    clean, toxic = np.array([counts[b] for b in bins.tolist()], np.int64).reshape(-1, 2).T
+    if not clean.sum() or not toxic.sum():
         return None
-    order = np.argsort(-scores, kind="stable")
-    sorted_scores, hits = scores[order], np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(labels) + 1) + labels.sum())
-    f1[:-1][sorted_scores[:-1] == sorted_scores[1:]] = -1
-    i = int(f1.argmax())
-    below = sorted_scores[i + 1] if i + 1 < len(scores) else sorted_scores[i] - 1.0
-    return float((sorted_scores[i] + below) / 2)
+    i = int((2 * np.cumsum(toxic) / (np.cumsum(clean + toxic) + toxic.sum())).argmax())
+    below = bins[i + 1] + 1 if i + 1 < len(bins) else bins[i] - BINS
+    return float(bins[i] + below) / 2 / BINS
+
+
+def in_calibration(key: Column) -> Column:
+    """Whether a labelled id is kept from training for the thresholds; a fifth of them are, by digest."""
+    return F.crc32(F.concat(key.cast("string"), F.lit(":calibration"))) % 5 == 0
+
+
+def calibrate(model: Model, rows: DataFrame, known: DataFrame) -> None:
+    """Sets the shift and the thresholds from the counts of all rows (doc, text, lang) that are ``known`` (id, label).
+
+    Tasks score whole texts; only ids, marks and bins are shuffled, and the driver gets counts by bin. Of an id with
+    several rows the one with the least digest of its text counts.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for batch in batches:
+            logits = np.array([net.logit(t.as_py()) for t in batch.column("text")], np.float64)
+            bins = pa.array(np.floor(np.clip(logits, -FAR, FAR) * BINS).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), batch.column("lang"), bins], ["doc", "mark", "lang", "bin"])
+
+    marked = rows.select("doc", F.md5(F.coalesce("text", F.lit(""))).alias("mark"), F.col("lang").cast("string").alias("lang"), "text")
+    kind = marked.schema["doc"].dataType.simpleString()
+    once = marked.mapInArrow(run, f"doc {kind}, mark string, lang string, bin int").groupBy("doc").agg(F.min(F.struct("mark", "lang", "bin")).alias("row"))
+    counts = once.join(known, F.col("doc") == F.col("id")).groupBy(F.col("row.lang").alias("lang"), F.col("row.bin").alias("bin"))
+    counts = staged(counts.agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")))
+    shared.unpersist()
+    common = counts.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    cut = best_cut({r["bin"]: [r["clean"], r["toxic"]] for r in common})
+    if cut is None:
+        return
+    model.shift = float(np.log(CUTOFF / (1 - CUTOFF)) - cut)
+    enough = counts.groupBy(F.col("lang").alias("l")).agg(F.sum("toxic").alias("n")).filter(F.col("n") >= LANGUAGE_TOXIC)
+    by_lang: dict[str, dict[int, list[int]]] = {}
+    for r in counts.join(enough, F.col("lang") == F.col("l"), "left_semi").collect():
+        by_lang.setdefault(r["lang"], {})[r["bin"]] = [r["clean"], r["toxic"]]
+    for lang_name in sorted(by_lang):
+        if (own := best_cut(by_lang[lang_name])) is not None:
+            model.thresholds[lang_name] = float(1 / (1 + np.exp(-(own + model.shift))))
 
 
 def fitted(
@@ -227,33 +269,26 @@ def fitted(
 ) -> Model:
     """A model from at most ``sample`` labelled rows, of each label those with the least digest of their id.
 
-    Rows whose crc32 of the id modulo 4 is 2 are held out from everything. A fifth of the sample is kept from
-    training and calibrates the scale and, for each language with enough toxic rows among it, a threshold.
+    Rows whose crc32 of the id modulo 4 is 2 are held out from everything. A fifth of all other labelled rows is kept
+    from training; all of that fifth, with the labels in their natural shares, calibrates the scale and, for each
+    language with enough toxic rows among it, a threshold.
     """
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     known = known.filter(F.crc32(F.col("id").cast("string")) % 4 != 2)
     place = F.xxhash64(F.col("id").cast("string"), F.lit("toxicity"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    halves = [known.filter(F.col("label") == x).orderBy(place, "id").limit(sample // 2) for x in (0, 1)]
-    known = halves[0].unionByName(halves[1])
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), lang.alias("lang")).join(F.broadcast(known), F.col("doc") == F.col("id"))
-    found = rows.select("id", "text", "label", "lang").toPandas().sort_values(["id", "text"], kind="stable").drop_duplicates("id")
-    texts = [text_slots(t) for t in found["text"]]
+    halves = [known.filter(~in_calibration(F.col("id")) & (F.col("label") == x)).orderBy(place, "id").limit(sample // 2) for x in (0, 1)]
+    drawn = halves[0].unionByName(halves[1])
+    key = F.col(id_col).cast(labels.schema[id_col].dataType)
+    rows = docs.select(key.alias("doc"), F.col(text_col).alias("text"), lang.alias("lang"))
+    found = rows.join(F.broadcast(drawn), F.col("doc") == F.col("id")).select("id", "text", "label")
+    found = found.toPandas().sort_values(["id", "text"], kind="stable").drop_duplicates("id")
     truth = found["label"].to_numpy(np.float32)
-    apart = np.array([zlib.crc32(f"{i}:calibration".encode()) % 5 == 0 for i in found["id"]], bool)
-    model = trained([t for t, x in zip(texts, apart) if not x], truth[~apart])
-    logits = np.array([model.logit(t) for t, x in zip(found["text"], apart) if x])
-    cut = best_cut(logits, truth[apart])
-    if cut is not None:
-        model.shift = float(np.log(CUTOFF / (1 - CUTOFF)) - cut)
-    langs = found["lang"].to_numpy()[apart]
-    for lang_name in sorted({x for x in langs if isinstance(x, str)}):
-        here = langs == lang_name
-        if truth[apart][here].sum() < LANGUAGE_TOXIC:
-            continue
-        if (own := best_cut(logits[here], truth[apart][here])) is not None:
-            model.thresholds[lang_name] = float(1 / (1 + np.exp(-(own + model.shift))))
+    model = trained([text_slots(t) for t in found["text"]], truth)
+    if len(truth) and 0 < truth.mean() < 1:
+        apart = in_calibration(F.col("doc")) & (F.crc32(F.col("doc").cast("string")) % 4 != 2)
+        calibrate(model, rows.filter(apart), known.filter(in_calibration(F.col("id"))))
     return model
 
 

@@ -337,6 +337,35 @@ def test_toxicity_learns_and_holds_out(spark):
     assert trained([], np.zeros(0)).logit("any text") == -30.0
 
 
+def test_toxicity_cuts_follow_all_labelled_rows(spark):
+    """The cuts have the best F1 over the whole calibration fold, however few rows the filters are fitted on."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{a}{b}" for a in "bcdfghjklm" for b in ("aro", "ine", "elu", "ost")]
+    rows, labels = [], []
+    for i in range(6000):
+        words, toxic = list(rng.choice(vocabulary, 20)), i % 12 == 0
+        if rng.random() < (0.9 if toxic else 0.15):
+            words[3] = f"vilest{rng.choice(vocabulary)}"
+        rows.append((i, " ".join(words), ("en", "de")[i // 12 % 2], "a", 1))
+        labels.append((i, 1, int(toxic)))
+    docs, truth = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = docs.unionByName(docs.filter("doc_id % 7 = 0"))
+    model = fitted(docs, truth, sample=400)
+    fold = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(f"{i}:calibration".encode()) % 5 == 0]
+
+    def f1(ids, cut, score):
+        told = [i for i in ids if score[i] >= cut]
+        return 2 * sum(labels[i][2] for i in told) / (len(told) + sum(labels[i][2] for i in ids))
+
+    score = {i: model.score(rows[i][1]) for i in fold}
+    assert set(model.thresholds) == {"en", "de"}
+    for ids, cut in ((fold, CUTOFF), *(([i for i in fold if rows[i][2] == x], model.thresholds[x]) for x in ("en", "de"))):
+        assert f1(ids, cut, score) >= max(f1(ids, c, score) for c in set(score.values())) - 0.01
+    # without toxic rows to train on, toxic rows of the calibration fold alone make nothing toxic
+    few = truth.filter(F.col("toxic") == 0).unionByName(truth.filter(F.col("doc_id").isin([i for i in fold if i % 12 == 0])))
+    assert max(r.score for r in scored(docs, fitted(docs, few)).collect()) < 1e-9
+
+
 def test_rules_and_aliases(spark):
     link = '<link href="http://a.example.com/de/1" rel="canonical">'
     rows = [
