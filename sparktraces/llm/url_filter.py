@@ -2,6 +2,9 @@
 
 Only DataFrame functions are used.
 
+Link targets are resolved as browsers do: absolute, ``//host``, ``/path``, ``?query``, or relative to the folder of the
+page (or of its base element) with ``.`` and ``..`` carried out; schemes without a host (``mailto:``) give no edge.
+
 Defined results. A null url, or one without ``://``, has an empty host and path; no rule fits it and it has no
 alias. Between rules the longest wins; a tie goes to allow. A page without a rule of its own is blocked if an
 alias is blocked by rule and no alias is allowed by rule; an explicit allow always goes first. Null html has no
@@ -17,11 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktraces.llm.components import components
+from sparktraces.operators.stage import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?\s*([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 @dataclass(frozen=True)
@@ -62,15 +68,50 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return reduce(lambda found, b: F.when(b[0], b[1]).otherwise(found), reversed(branches), F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from / on whose . and .. parts are carried out; .. of the root is the root."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    up = F.lit("..")
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    done = F.aggregate(parts, F.array().cast("array<string>"), step)
+    done = F.when(F.element_at(parts, -1).isin("..", "."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(done, "/"))).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The url that a link target means on a page with url ``base``; null where it is no url with a host."""
+    origin, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), url_path(base)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, "(?s)^/(.*/)", 1))
+    own, tail = F.regexp_extract(target, "(?s)^([^?#]*)", 1), F.regexp_extract(target, "(?s)^[^?#]*(.*)", 1)
+    return (
+        F.when(target.rlike(f"{SCHEME}//"), target)
+        .when(target.rlike(SCHEME), None)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(origin == "", None)
+        .when(target.startswith("/"), F.concat(origin, without_dots(own), tail))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when(target.startswith("#"), base)
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, own)), tail))
+    )
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) of canonical links and immediate refreshes in the pages; relative targets keep the host."""
+    """(src, dst) of every canonical link and refresh in the pages; targets are resolved against the page's base or url."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    found = F.filter(F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1)), lambda x: x != "")
-    links = pages.select(url.alias("url"), F.explode(found).alias("to"))
-    target = F.regexp_replace("to", "&amp;", "&")
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    absolute = F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("/"), F.concat(origin, target))
-    return links.select(url_node(F.col("url")).alias("src"), url_node(absolute).alias("dst")).filter("src is not null and dst is not null")
+    found = F.array_distinct(F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1)))
+    links = pages.select(url.alias("url"), html.alias("html"), found.alias("found"))
+    base = F.when(F.size("found") > 0, F.regexp_extract("html", BASE, 1))
+    links = links.select("url", base.alias("base"), F.explode("found").alias("to"))
+    links = links.select("url", F.regexp_replace("base", "&amp;", "&").alias("base"), F.regexp_replace("to", "&amp;", "&").alias("to"))
+    links = links.select("url", "to", F.when(F.col("base") != "", resolved(F.col("base"), F.col("url"))).alias("base"))
+    links = links.select("url", "to", F.coalesce("base", "url").alias("base"))
+    # written once: a filter on the nodes would repeat the whole expression for each part of them
+    links = staged(links.select("url", resolved(F.col("to"), F.col("base")).alias("to")))
+    edges = links.select(url_node(F.col("url")).alias("src"), url_node(F.col("to")).alias("dst"))
+    return edges.filter("src is not null and dst is not null")
 
 
 def judged(

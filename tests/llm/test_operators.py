@@ -25,7 +25,7 @@ from sparktraces.llm.mixing import mix_plan, mixed
 from sparktraces.llm.queries import RULES, SQL, QUERIES
 from sparktraces.llm.sharding import stratified_shards
 from sparktraces.llm.toxicity import CUTOFF, Model, fitted, kept, scored, trained
-from sparktraces.llm.url_filter import judged
+from sparktraces.llm.url_filter import judged, link_edges
 from tests.oracle import compare, connect
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -400,6 +400,37 @@ def test_rules_and_aliases(spark):
     assert judged(pages.filter("false"), RULES).count() == 0
 
 
+def test_links_of_every_form_give_edges(spark):
+    page, forms = "http://A.com/d/e/page?q#f", {
+        "http://b.com/x": "b.com/x", "HTTPS://B.com/x?y#z": "b.com/x?y", "//b.com/y": "b.com/y", "/r/s": "a.com/r/s", "/go?u=http://other.net/": "a.com/go?u=http://other.net/",
+        "next.html": "a.com/d/e/next.html", "./x": "a.com/d/e/x", "../x": "a.com/d/x", "../../../x/./y": "a.com/x/y", "..": "a.com/d/", ".": "a.com/d/e/", "/p/../q/.": "a.com/q/",
+        "?id=1": "a.com/d/e/page?id=1", "#top": "a.com/d/e/page?q", "n?to=http://other.net/../x": "a.com/d/e/n?to=http://other.net/../x", ".hidden/..x": "a.com/d/e/.hidden/..x",
+        "mailto:a@b.com": None, "about:blank": None,
+    }
+    kinds = ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">', "<META CONTENT='5;URL={}' HTTP-EQUIV=refresh>", "<link href=' {} ' rel=canonical>")
+    rows = [(page, kind.format(to)) for to in forms for kind in kinds] + [(None, kinds[0].format("x")), ("no host", kinds[0].format("/go?u=http://c.com/")), (page, None)]
+    found = collections.Counter((r.src, r.dst) for r in link_edges(spark.createDataFrame(rows, "url string, html string")).collect())
+    assert found == {("a.com/d/e/page?q", to): 4 for to in forms.values() if to}
+    several = "".join(kinds[i % 2].format(to) for i, to in enumerate(("one", "two", "/three", "http://four.net/", "one")))
+    odd = [("http://a.com", several), ("http://c.com/x/y", '<base href="/z/"><link rel=canonical href=w>'), ("http://c.com/v", '<base target=_top><base href="//d.com/u/t"><link rel=canonical href="../s">')]
+    found = {(r.src, r.dst) for r in link_edges(spark.createDataFrame(odd, "url string, html string")).collect()}
+    assert found == {("a.com", f"a.com/{x}") for x in ("one", "two", "three")} | {("a.com", "four.net/"), ("c.com/x/y", "c.com/z/w"), ("c.com/v", "d.com/s")}
+
+
+def test_relative_links_spread_verdicts(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://x.com/a/1", "<p>" + link.format("2") + '<meta http-equiv="refresh" content="0; url=../b/3">'),
+        (2, "http://x.com/a/2", ""),
+        (3, "http://x.com/b/3", link.format("http://example.com/de/")),
+        (4, "http://y.com/a", link.format("/go?u=http://other.net/")),
+        (5, "http://z.com/a/1", link.format("http://c.net/") + link.format("2")),
+        (6, "http://z.com/a/2", link.format("http://alias.org/fr/")),
+    ]
+    found = judged(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
+    assert {r.page_id: r.verdict for r in found} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]
