@@ -5,8 +5,11 @@ sum is discounted by the share of its text that is in links. The best container
 close to it or are paragraphs of prose; what lies inside but is no part of an article (menus, notices, adverts, forms,
 reader comments and the like) is left out by its element or the words of its class, id and role.
 
-Defined results. Null or empty html, and pages without text outside such parts, give an empty text. Broken markup is
-read as browsers do in common cases: an open paragraph ends where a block begins, stray end tags are ignored.
+Words of a class and forms are only a hint: an element that holds the page's article, or the greater part of what its
+paragraphs score, is no such part, and where the hints leave nothing they are not followed.
+
+Defined results. Null or empty html, and pages without text outside elements and roles that never hold an article, give
+an empty text. Broken markup is read as browsers do in common cases: an open paragraph ends where a block begins, stray end tags are ignored.
 Repeated pages give repeated rows, an empty table none. Whole pages of any length and depth are read without recursion.
 Other columns are not read.
 """
@@ -27,7 +30,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea iframe object svg canvas audio video dialog menu search".split()
+    "script style noscript template head title nav footer aside button select textarea iframe object svg canvas audio video dialog menu search".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words in class or id that mark parts which are no article text.
@@ -37,6 +40,12 @@ NOISE = frozenset(
     "recommended recommendations sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments "
     "commentlist discussion replies disqus respond reactions disclaimer legal login search toolbar hidden skip teaser trending popular".split()
 )
+#: Those of them that layouts also use in compounds ("overflow-hidden", "with-sidebar"); they count as a whole class or id only.
+WHOLE = frozenset("hidden sidebar nav search legal social".split())
+#: What a class begins with that says what else a layout has.
+LAYOUT = ("has-", "with-", "no-", "has_", "with_", "no_")
+#: Those of them whose parts may outweigh the article, and hold articles of their own.
+THREADS = frozenset("comment comments commentlist discussion replies disqus respond reactions".split())
 HEADERS = frozenset("header topbar".split())
 ARTICLE = frozenset("article articlebody main content post entry story text body".split())
 SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])").findall
@@ -54,6 +63,8 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.words, self.dropped = [-1], ["#root"], [frozenset()], [False]
+        #: Elements whose class, id or being a form says that they are no article text.
+        self.doubted: dict[int, frozenset[str]] = {}
         self.open = [0]
         self.links = 0
         self.pieces: list[str] = []
@@ -64,11 +75,13 @@ class _Page(HTMLParser):
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                node = next(n for n in reversed(self.open) if self.tag[n] in BLOCKS or n == 0)
+                node = next(n for n in reversed(self.open) if self.tag[n] in BLOCKS or n == 0 or n in self.doubted)
                 self.blocks.append((node, text, min(self.linked, len(text))))
             self.pieces, self.linked = [], 0
 
     def pop_to(self, depth: int) -> None:
+        if self.pieces and any(n in self.doubted for n in self.open[depth:]):
+            self.flush()
         for node in self.open[depth:]:
             self.links -= self.tag[node] == "a"
         del self.open[depth:]
@@ -97,14 +110,21 @@ class _Page(HTMLParser):
         known = dict(attrs)
         above = self.open[-1]
         words = frozenset(w.lower() for key in ("class", "id") for w in SPLIT(known.get(key) or "")) if known else frozenset()
-        off = self.dropped[above] or tag in DROPPED
+        off = self.dropped[above] or tag in DROPPED or tag == "label" and any(self.tag[n] == "form" for n in self.open)
+        doubt = frozenset(["form"]) if tag == "form" else frozenset()
         if known and not off:
             off = (known.get("role") or "").strip().lower() in ROLES or "hidden" in known or (known.get("aria-hidden") or "").lower() == "true" or bool(HIDDEN(known.get("style") or ""))
-            off = off or (tag not in ("html", "body", "article", "main") and bool(words & NOISE))
+            if tag not in ("html", "body", "article", "main"):
+                names = [w for key in ("class", "id") for w in (known.get(key) or "").split() if not w.lower().startswith(LAYOUT)]
+                doubt |= frozenset(w.lower() for name in names for w in SPLIT(name)) & NOISE - WHOLE | {w.lower() for w in names} & WHOLE
         if not off and (tag == "header" or words & HEADERS and tag not in ("html", "body", "article", "main", "h1", "h2")):
-            off = not any(self.tag[n] in ("article", "main") for n in self.open)
-        if off and not self.dropped[above]:
+            if not any(self.tag[n] in ("article", "main") for n in self.open):
+                off = tag == "header"
+                doubt |= words & HEADERS
+        if (off or doubt) and not self.dropped[above]:
             self.flush()
+        if doubt and not off:
+            self.doubted[len(self.tag)] = doubt
         self.parent.append(above)
         self.tag.append(tag)
         self.words.append(words)
@@ -140,14 +160,54 @@ class _Page(HTMLParser):
         pass
 
 
+def _value(text: str, in_links: int) -> float:
+    """Points of a block."""
+    prose = 1 - in_links / len(text)
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * prose if len(text) >= 25 else len(text) / 50 * prose
+
+
+def _settle(page: _Page) -> None:
+    """Takes the blocks out that lie in doubted elements, unless those hold the article; if nothing is left, all stay."""
+    if not page.doubted:
+        return
+    doubted = page.doubted
+
+    def doubts(node: int) -> list[int]:
+        found = []
+        while node >= 0:
+            if node in doubted:
+                found.append(node)
+            node = page.parent[node]
+        return found
+
+    # elements come after their parents
+    inside = [False] * len(page.tag)
+    for n in range(1, len(page.tag)):
+        inside[n] = inside[page.parent[n]] or page.tag[page.parent[n]] in ("article", "main")
+    bodies = {n for n in range(len(page.tag)) if page.tag[n] in ("article", "main") and not page.dropped[n]}
+    wraps = {n: doubts(n) for n in bodies if not page.words[n] & THREADS}
+    # related texts may be articles too, where the page has one outside all doubt
+    held = set() if any(not w for w in wraps.values()) else {d for w in wraps.values() for d in w if not inside[d]}
+    total, part, above = 0.0, dict.fromkeys(doubted, 0.0), []
+    for node, text, in_links in page.blocks:
+        above.append(doubts(node))
+        value = _value(text, in_links)
+        if not any(doubted[d] & THREADS and d not in held for d in above[-1]):
+            total += value
+            for d in above[-1]:
+                part[d] += value
+    spared = held | {d for d in doubted if 2 * part[d] > total}
+    left = [b for b, a in zip(page.blocks, above) if spared.issuperset(a)]
+    page.blocks = left or page.blocks
+
+
 def _scores(page: _Page) -> tuple[dict[int, float], dict[int, float]]:
     """Discounted points, and link density, of every element that holds text."""
     points: dict[int, float] = {}
     chars: dict[int, int] = {}
     linked: dict[int, int] = {}
     for node, text, in_links in page.blocks:
-        prose = 1 - in_links / len(text)
-        value = (1 + text.count(",") + min(len(text) / 100, 3)) * prose if len(text) >= 25 else len(text) / 50 * prose
+        value = _value(text, in_links)
         level, at = 0, node
         while at >= 0:
             chars[at] = chars.get(at, 0) + len(text)
@@ -169,6 +229,7 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     page.flush()
+    _settle(page)
     if not page.blocks:
         return ""
     scores, density = _scores(page)

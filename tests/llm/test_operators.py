@@ -192,6 +192,24 @@ def test_main_text_leaves_the_rest_out():
     assert main_text("<div>" * 3000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("kind", ['div class="overflow-hidden"', 'div class="layout with-sidebar"', 'div id="navOpen"', 'div class="page modal-host"', 'div class="has-comments"', 'div class="no-header"', 'form id="aspnetForm"'])
+@pytest.mark.parametrize("body", ["article", "main", "div"])
+def test_main_text_survives_its_wrappers(kind, body):
+    prose = ["First, with words, long enough to score, and so on, and on.", "Second paragraph, of the same kind, with commas, and words."]
+    page = f"""<body><p>Out of it.</p><{kind}><label>Name</label><input><div class="sidebar"><p>Side text, with commas, in a bar at the side.</p></div>
+    <{body}><p>{prose[0]}<span class="ad">Buy now</span></p><p>{prose[1]}</p><form><label>Mail</label><p>Sign up, now.</p></form></{body}></{kind.split()[0]}>
+    <section id="comments"><article class="comment"><p>{"I love this, really, it is great, and so on, and on. " * 20}</p></article></section></body>"""
+    assert main_text(page) == "\n".join(prose)
+
+
+def test_main_text_doubts_classes_only_where_text_is_left():
+    prose = "Text, with commas, that is the only one, and long enough to score."
+    assert main_text(f'<div class="comments"><p>{prose}</p></div>') == main_text(f'<div class="ad"><p>{prose}</p></div>') == prose
+    related = f'<div class="related"><article><p>{prose * 9}</p></article></div>'
+    assert main_text(f"<main><p>{prose}</p><p>{prose}</p></main><div class=related><article><p>Other, text.</p></article></div>") == f"{prose}\n{prose}"
+    assert main_text(f"<article><p>{prose}</p>{related.replace(prose * 9, 'Other, text.')}</article>") == prose
+
+
 def test_extraction_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None), (None, "v", "<article><p>b c</article>")], "page_id long, url string, html string")
     pages = pages.withColumn("text", F.lit("clash"))
