@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from sparktraces.llm.ann_tree import nearest
 from sparktraces.llm.bpe import decoded, encoded
 from sparktraces.llm.chat import perspectives
+from sparktraces.llm.hard_negatives import hard_negatives
 from sparktraces.llm.html_extract import extracted
 from sparktraces.llm.impact_topk import impact_topk
 from sparktraces.llm.jaccard_join import jaccard_components
 from sparktraces.llm.mixing import mix_plan
 from sparktraces.llm.sharding import stratified_shards
+from sparktraces.llm.token_counts import token_counts
 from sparktraces.llm.toxicity import CUTOFF, fitted, scored
 from sparktraces.llm.url_filter import Rule, judged
+from sparktraces.llm.whitening import whitened
 from sparktraces.plans.registry import Run, table
 
 QUERIES: dict[str, Run] = {}
@@ -162,3 +165,44 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 @llm_query("op10_redirect_equivalence")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Name of the model file among the installed public tokenizers.
+PIECES = "piece_bpe_32k.model"
+
+
+@llm_query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), limit=4096)
+
+
+@llm_query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), components=8)
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10
+"""
+
+
+@llm_query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(rows, every=100, positives=5, negatives=10, low_percent=30, high_percent=90)
