@@ -19,6 +19,7 @@ HEADLINE = [
     "veto_arbitrate",
     "kv_fit",
     "model_select",
+    "feature_table",
     "bi_fit",
     "window_constants",
     "box_summary",

@@ -1,10 +1,14 @@
-"""Least-squares model fits as grouped aggregation.
+"""Least-squares model fits.
 
 Every model is linear in all but one or two shape values.  For each trace and
-each shape value of a grid one aggregation collects the sums of the normal
-equations; at most three linear coefficients are then solved inside their bounds,
-the best shape wins, and the grid closes in around it.  Rows stay spread by
-(trace, chunk) and partial sums are all that is shuffled.
+each shape value of a grid the sums of the normal equations are collected; at most
+three linear coefficients are then solved inside their bounds, the best shape
+wins, and the grid closes in around it.
+
+`fitted` does all of this, for all models and with the scores, inside one batch of
+traces: a single shuffle of the points and one row back per fit.  Only a trace longer
+than a chunk takes the other way, where its parts sum on their own, the
+sums of the parts are shuffled and added, and each round is a job of its own.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from pyspark.sql import functions as F
 
 from sparktraces.operators import smoothing
 from sparktraces.operators.quantiles import quantiles
-from sparktraces.operators.sequence import attach, renumber, spread, summarise, with_summary
-from sparktraces.operators.stage import staged
+from sparktraces.operators.sequence import CHUNK_ROWS, attach, renumber, spread, summarise, with_summary
+from sparktraces.operators.stage import lookup_side, staged
 
 FREE = 1e300
 SUMS = ["yy", "b1", "b2", "b3", "g11", "g12", "g13", "g22", "g23", "g33"]
 QUANTUM = 1e9
 SINGULAR = 1e-12
 MIN_POINTS = 15
+#: Grid points a side, at first and when it closes in, of models with two shape values.
+PAIR_GRID, PAIR_REFINE = 24, 9
 
 # Box bounds of the viscoelastic parameters and the bound margin.
 E_BOUNDS = (1.0, 100_000.0)
@@ -36,7 +42,8 @@ ETA_BOUNDS = (1.0, 500_000.0)
 FLOW_BOUNDS = (500.0, 1_000_000.0)
 BOUND_MARGIN = 0.02
 
-Bounds = Callable[[Column, Column], list[tuple[Column, Column]]]
+#: Lower and upper bounds of the three coefficients at given shape values.
+Bounds = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray | float, np.ndarray | float]]]
 
 
 @dataclass(frozen=True)
@@ -75,18 +82,18 @@ def basis_terms(basis: str, t: Column, s1: Column, s2: Column) -> tuple[Column,
     raise ValueError(f"unknown basis {basis}")
 
 
-def _none() -> tuple[Column, Column]:
-    return F.lit(0.0), F.lit(0.0)
+ABSENT = (0.0, 0.0)
+POSITIVE = (0.0, FREE)
 
 
-def _rise_bounds(radius_pressure: float, c: float) -> Bounds:
+def _rise_bounds(radius_pressure: float, c: float) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Bounds of the rise so that modulus and viscosity stay in their boxes at this time constant."""
 
-    def bounds(tau: Column, _: Column) -> list[tuple[Column, Column]]:
+    def bounds(tau: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         per_tau = 3 * math.pi / (c * tau)
-        e_lo = F.greatest(F.lit(E_BOUNDS[0]), per_tau * ETA_BOUNDS[0])
-        e_hi = F.least(F.lit(E_BOUNDS[1]), per_tau * ETA_BOUNDS[1])
-        return [(radius_pressure / (c * e_hi), radius_pressure / (c * e_lo))]
+        e_lo = np.maximum(E_BOUNDS[0], per_tau * ETA_BOUNDS[0])
+        e_hi = np.minimum(E_BOUNDS[1], per_tau * ETA_BOUNDS[1])
+        return radius_pressure / (c * e_hi), radius_pressure / (c * e_lo)
 
     return bounds
 
@@ -94,31 +101,20 @@ def _rise_bounds(radius_pressure: float, c: float) -> Bounds:
 def viscoelastic_models(radius_pressure: float, c: float) -> list[Model]:
     """Kelvin-Voigt, Jeffreys and Burgers creep under a constant pressure."""
     rise = _rise_bounds(radius_pressure, c)
-
-    def flow() -> tuple[Column, Column]:
-        return tuple(F.lit(radius_pressure / (3 * math.pi * v)) for v in reversed(FLOW_BOUNDS))
-
-    def spring() -> tuple[Column, Column]:
-        return tuple(F.lit(radius_pressure / (c * v)) for v in reversed(E_BOUNDS))
-
+    flow = (radius_pressure / (3 * math.pi * FLOW_BOUNDS[1]), radius_pressure / (3 * math.pi * FLOW_BOUNDS[0]))
+    spring = (radius_pressure / (c * E_BOUNDS[1]), radius_pressure / (c * E_BOUNDS[0]))
     both = dict(floored=(0, 1, 2), capped=(0, 1, 2))
     return [
-        Model("Kelvin-Voigt", "rise", 2, (0,), lambda a, b: [*rise(a, b), _none(), _none()], **both),
-        Model("Jeffreys", "rise", 3, (0, 1), lambda a, b: [*rise(a, b), flow(), _none()], **both),
-        Model("Burgers", "rise", 4, (0, 1, 2), lambda a, b: [*rise(a, b), flow(), spring()], **both),
+        Model("Kelvin-Voigt", "rise", 2, (0,), lambda a, b: [rise(a), ABSENT, ABSENT], **both),
+        Model("Jeffreys", "rise", 3, (0, 1), lambda a, b: [rise(a), flow, ABSENT], **both),
+        Model("Burgers", "rise", 4, (0, 1, 2), lambda a, b: [rise(a), flow, spring], **both),
     ]
 
 
-def _positive() -> tuple[Column, Column]:
-    return F.lit(0.0), F.lit(FREE)
-
-
-POWER_LAW = Model(
-    "Power-Law", "power", 3, (0, 2),
-    lambda a, b: [_positive(), _none(), (F.lit(-FREE), F.lit(FREE))], floored=(0,),
-)
-MONO = Model("Mono", "rise", 2, (0,), lambda a, b: [_positive(), _none(), _none()], floored=(0,))
-BI = Model("Bi", "two_rises", 4, (0, 1), lambda a, b: [_positive(), _positive(), _none()], floored=(0, 1))
+LINE = Model("Linear", "line", 2, (1, 2), lambda a, b: [ABSENT, (-FREE, FREE), (-FREE, FREE)])
+POWER_LAW = Model("Power-Law", "power", 3, (0, 2), lambda a, b: [POSITIVE, ABSENT, (-FREE, FREE)], floored=(0,))
+MONO = Model("Mono", "rise", 2, (0,), lambda a, b: [POSITIVE, ABSENT, ABSENT], floored=(0,))
+BI = Model("Bi", "two_rises", 4, (0, 1), lambda a, b: [POSITIVE, POSITIVE, ABSENT], floored=(0, 1))
 
 
 def fit_points(
@@ -158,7 +154,7 @@ def _basis_arrays(basis: str, t: np.ndarray, s1: np.ndarray, s2: np.ndarray) ->
 
 
 def _grid_array(lo: float, hi: float, i: np.ndarray, n: int, log: bool) -> np.ndarray:
-    part = i / max(n - 1, 1)
+    part = i / np.maximum(n - 1, 1)
     return np.exp(np.log(lo) + (np.log(hi) - np.log(lo)) * part) if log else lo + (hi - lo) * part
 
 
@@ -248,12 +244,21 @@ def bounded_least_squares(sums: pd.DataFrame, box: pd.DataFrame, patterns: Seque
     return pd.DataFrame({"rss": best_rss, "c1": best_c[:, 0], "c2": best_c[:, 1], "c3": best_c[:, 2]})
 
 
+def _box(model: Model, s1: np.ndarray, s2: np.ndarray) -> pd.DataFrame:
+    n = len(s1)
+    bounds = model.bounds(s1, s2)
+    return pd.DataFrame({f"{side}{k + 1}": np.broadcast_to(bounds[k][j], n) for j, side in enumerate(("lo", "hi")) for k in range(3)})
+
+
 def _solver(models: Sequence[Model]):
-    patterns = {m.name: m.patterns() for m in models}
+    known = {m.name: m for m in models}
 
     @F.pandas_udf("rss double, c1 double, c2 double, c3 double")
-    def solve(name: pd.Series, sums: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
-        parts = [bounded_least_squares(sums.loc[i], box.loc[i], patterns[m]).set_index(i) for m, i in name.groupby(name).groups.items()]
+    def solve(name: pd.Series, sums: pd.DataFrame, s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
+        parts = []
+        for m, i in name.groupby(name).groups.items():
+            box = _box(known[m], s1.loc[i].to_numpy(), s2.loc[i].to_numpy())
+            parts.append(bounded_least_squares(sums.loc[i], box, known[m].patterns()).set_index(i))
         return pd.concat(parts).sort_index()
 
     return solve
@@ -264,15 +269,8 @@ def _best(sums: DataFrame, keys: Sequence[str], models: Sequence[Model]) -> Data
     asked = F.col("_s.model")
     names = F.array_compact(F.array(*[F.when(asked.isin("*", m.name), F.lit(m.name)) for m in models]))
     rows = sums.withColumn("model", F.explode(names))
-    box = None
-    for m in models:
-        bounds = m.bounds(F.col("s1"), F.col("s2"))
-        mine = F.struct(
-            *[bounds[k][0].alias(f"lo{k + 1}") for k in range(3)], *[bounds[k][1].alias(f"hi{k + 1}") for k in range(3)]
-        )
-        box = F.when(F.col("model") == m.name, mine) if box is None else box.when(F.col("model") == m.name, mine)
-    solved = rows.withColumn("_fit", _solver(models)("model", F.struct(*SUMS), box))
-    rank = F.struct(F.floor(F.col("_fit.rss") / F.col("yy") * QUANTUM + 0.5), F.col("_i"))
+    solved = rows.withColumn("_fit", _solver(models)("model", F.struct(*SUMS), "s1", "s2"))
+    rank = F.struct(F.floor(F.try_divide(F.col("_fit.rss"), F.col("yy")) * QUANTUM + 0.5), F.col("_i"))
     return solved.groupBy(*keys, "model").agg(
         F.min_by(F.struct("_i", "s1", "s2", "_s", "_fit"), rank).alias("_win")
     ).select(*keys, "model", "_win.*")
@@ -305,7 +303,7 @@ def fit_models(
     basis = models[0].basis
     log = basis != "power"
     pair = basis == "two_rises"
-    first_n, next_n = (24, 9) if pair else (grid, refine)
+    first_n, next_n = (PAIR_GRID, PAIR_REFINE) if pair else (grid, refine)
     star = F.lit("*")
     span = F.max("t") - F.min("t")
     lo = span / (F.count(F.lit(1)) - 1) / 3
@@ -404,6 +402,186 @@ def assess(points: DataFrame, keys: Sequence[str], fits: DataFrame) -> DataFrame
     )
 
 
+#: Points of a batch of traces, on average.
+BATCH_POINTS = 50_000
+SCORED = "model string, s1 double, s2 double, c1 double, c2 double, c3 double, n long, rss double, dw double, r2 double, aicc double, aic double"
+
+
+@dataclass
+class _Grid:
+    """A grid of shape values for one trace."""
+
+    lo1: float
+    hi1: float
+    n1: int
+    lo2: float = 1.0
+    hi2: float = 1.0
+    n2: int = 1
+
+    def around(self, i: int, log: bool, n1: int, n2: int) -> _Grid:
+        """From one step below to one step above a grid point."""
+
+        def near(lo: float, hi: float, n: int, at: int) -> tuple[float, float]:
+            ends = np.array([max(at - 1, 0), min(at + 1, max(n - 1, 0))])
+            return tuple(_grid_array(lo, hi, ends, n, log))
+
+        return _Grid(*near(self.lo1, self.hi1, self.n1, i // self.n2), n1, *near(self.lo2, self.hi2, self.n2, i % self.n2), n2)
+
+
+def _solved(traces: Sequence[tuple[np.ndarray, np.ndarray]], grids: Sequence[_Grid], models: Sequence[Model]) -> list[dict[int, tuple]]:
+    """For each model the best grid point of each trace: (grid position, s1, s2, c1, c2, c3)."""
+    basis, log = models[0].basis, models[0].basis != "power"
+    owners, places, sums = [], [], []
+    for o, ((t, y), grid) in enumerate(zip(traces, grids)):
+        i, columns = _partial_sums(t, y, vars(grid), basis, log)
+        owners.append(np.full(len(i), o))
+        places.append(i)
+        sums.append(np.column_stack(columns))
+    owner, i = np.concatenate(owners), np.concatenate(places)
+    table = pd.DataFrame(np.concatenate(sums), columns=SUMS)
+    ends = {f: np.array([getattr(g, f) for g in grids])[owner] for f in ("lo1", "hi1", "n1", "lo2", "hi2", "n2")}
+    s1 = _grid_array(ends["lo1"], ends["hi1"], i // ends["n2"], ends["n1"], log)
+    s2 = _grid_array(ends["lo2"], ends["hi2"], i % ends["n2"], ends["n2"], log)
+    yy = table["yy"].to_numpy()
+    out = []
+    for model in models:
+        found = bounded_least_squares(table, _box(model, s1, s2), model.patterns())
+        rss = found["rss"].to_numpy()
+        rank = np.floor(np.divide(rss, yy, out=np.zeros_like(yy), where=yy > 0) * QUANTUM + 0.5)
+        order = np.lexsort((i, rank, owner))
+        firsts = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))]
+        c = found[["c1", "c2", "c3"]].to_numpy()
+        out.append({int(owner[f]): (int(i[f]), s1[f], s2[f], *c[f]) for f in firsts if np.isfinite(rss[f])})
+    return out
+
+
+def _first_grid(t: np.ndarray, basis: str, grid: int) -> _Grid:
+    span = t.max() - t.min()
+    lo = span / (len(t) - 1) / 3
+    if basis == "power":
+        return _Grid(0.0, 2.0, grid)
+    return _Grid(lo, 30 * span, PAIR_GRID, lo, 30 * span, PAIR_GRID) if basis == "two_rises" else _Grid(lo, 30 * span, grid)
+
+
+def _line(t: np.ndarray, y: np.ndarray) -> tuple | None:
+    dt = t - t.mean()
+    if not (dt @ dt) > 0:
+        return None
+    slope = (dt @ (y - y.mean())) / (dt @ dt)
+    return 1.0, 1.0, 0.0, slope, y.mean() - slope * t.mean()
+
+
+def fit_together(traces: Sequence[tuple[np.ndarray, np.ndarray]], models: Sequence[Model], *, grid: int, refine: int, rounds: int) -> list[dict[str, tuple]]:
+    """(s1, s2, c1, c2, c3) of each model for each trace (t, y), all traces solved at once; a fit that fails is left out."""
+    out: list[dict[str, tuple]] = [{} for _ in traces]
+    for basis, family in itertools.groupby(sorted(models, key=lambda m: m.basis), key=lambda m: m.basis):
+        family = list(family)
+        if basis == "line":
+            for fits, (t, y) in zip(out, traces):
+                if (found := _line(t, y)) is not None:
+                    fits[family[0].name] = found
+            continue
+        log, pair = basis != "power", basis == "two_rises"
+        able = [o for o, (t, _) in enumerate(traces) if len(t) > 1 and t.max() > t.min()]
+        if not able:
+            continue
+        grids = [_first_grid(traces[o][0], basis, grid) for o in able]
+        best = _solved([traces[o] for o in able], grids, family)
+        for model, found in zip(family, best):
+            mine = {able[k]: (grids[k], w) for k, w in found.items()}
+            for _ in range(rounds):
+                near = {o: g.around(w[0], log, *((PAIR_REFINE, PAIR_REFINE) if pair else (refine, 1))) for o, (g, w) in mine.items()}
+                if not near:
+                    break
+                (again,) = _solved([traces[o] for o in near], list(near.values()), [model])
+                mine = {o: (near[o], again[k]) for k, o in enumerate(near) if k in again}
+            for o, (_, w) in mine.items():
+                out[o][model.name] = w[1:]
+    return out
+
+
+def _scores(t: np.ndarray, y: np.ndarray, name: str, basis: str, fit: tuple) -> tuple:
+    """(n, rss, dw, r2, aicc, aic) of one fit over the ordered points of a trace."""
+    s1, s2, c1, c2, c3 = fit
+    if basis == "line":
+        value = c2 * t + c3
+    else:
+        a, b, c = (g[:, 0] for g in _basis_arrays(basis, t, np.array([s1]), np.array([s2])))
+        value = c1 * a + c2 * b + c3 * c
+    e = y - value
+    n, rss, k = len(y), float(e @ e), N_PARAMS[name]
+    steps = np.diff(e)
+    dw = float(steps @ steps) / rss if n >= 2 and rss >= 1e-15 else None
+    sst = float(((y - y.mean()) ** 2).sum())
+    r2 = 1 - rss / sst if sst > 1e-12 else 0.0
+    rho = 1 - dw / 2 if dw is not None else 0.0
+    n_eff = n if rho == -1 else n * (1 - rho) / (1 + rho)
+    n_eff = max(k + 2.0, min(n, n_eff))
+    plain = n * math.log(max(rss, 1e-12) / n) + 2 * k
+    left = n_eff - k - 1
+    return n, rss, dw, r2, plain + 2 * k * (k + 1) / left, plain
+
+
+def fitted(
+    points: DataFrame, keys: Sequence[str], models: Sequence[Model] | Mapping[str, Sequence[Model]], *, by: str | None = None,
+    grid: int = 96, refine: int = 33, rounds: int = 2,
+) -> DataFrame:
+    """(keys, model, s1, s2, c1, c2, c3, n, rss, dw, r2, aicc, aic): all fits of all traces, with their scores.
+
+    ``points`` holds (keys, frame, t, y).  With ``by``, one of the keys, ``models`` maps its values to lists of models, so
+    points of several kinds go through together.  A fit without a solution gives no row.
+    """
+    keys = list(keys)
+    chosen = {None: list(models)} if by is None else {value: list(m) for value, m in models.items()}
+    sizes = staged(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    short = points.select(*keys, "frame", "t", "y")
+    if longest is not None and longest > CHUNK_ROWS:
+        long = lookup_side(sizes.filter(F.col("_n") > CHUNK_ROWS).select(*keys))
+        short = short.join(long, keys, "left_anti")
+    batches = max(1, math.ceil((total or 0) / BATCH_POINTS), min(64, (total or 0) // 1000))
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), batches // 16)
+    place = keys.index(by) if by else None
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*keys, "frame"], kind="stable")
+        found: list[tuple] = []
+        groups: dict = {}
+        for key, part in rows.groupby(keys, sort=False, dropna=False):
+            groups.setdefault(None if place is None else key[place], []).append((key, part["t"].to_numpy(), part["y"].to_numpy()))
+        for value, traces in groups.items():
+            wanted = chosen.get(value, [])
+            fits = fit_together([(t, y) for _, t, y in traces], wanted, grid=grid, refine=refine, rounds=rounds) if wanted else []
+            for (key, t, y), by_model in zip(traces, fits):
+                for model in wanted:
+                    if model.name in by_model:
+                        fit = by_model[model.name]
+                        found.append((*key, model.name, *fit, *_scores(t, y, model.name, model.basis, fit)))
+        return pd.DataFrame(found, columns=[*keys, *(c.split()[0] for c in SCORED.split(", "))])
+
+    key_types = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
+    batched = short.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches))).repartition(tasks, "_batch")
+    out = staged(batched.groupBy("_batch").applyInPandas(run, f"{key_types}, {SCORED}"))
+    if longest is not None and longest > CHUNK_ROWS:
+        out = out.unionByName(_fitted_in_parts(points.join(long, keys, "left_semi"), keys, chosen, by, grid, refine, rounds))
+    return out
+
+
+def _fitted_in_parts(
+    points: DataFrame, keys: list[str], chosen: Mapping[str | None, Sequence[Model]], by: str | None, grid: int, refine: int, rounds: int
+) -> DataFrame:
+    """The same for long traces, whose parts are summed by different tasks."""
+    out = None
+    for value, models in chosen.items():
+        rows = points if by is None else points.filter(F.col(by) == value)
+        for basis, family in itertools.groupby(sorted(models, key=lambda m: m.basis), key=lambda m: m.basis):
+            family = list(family)
+            fits = fit_lines(rows, keys) if basis == "line" else fit_models(rows, keys, family, grid=grid, refine=refine, rounds=rounds).drop("grid_rss")
+            scored = assess(rows, keys, fits)
+            out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def near_bound(value: Column, lo: float, hi: float, *, margin: float = BOUND_MARGIN) -> Column:
     """Within ``margin`` of the log range of a bound, or not a number."""
     position = F.ln(value / lo) / math.log(hi / lo)
@@ -454,8 +632,15 @@ def fit_viscoelastic(
     Traces whose late flow does not stand out of the noise keep Kelvin-Voigt only,
     and a fit with a parameter on a bound cannot win.
     """
-    fits = fit_models(points, keys, viscoelastic_models(radius_pressure, c))
-    scored = viscoelastic_parameters(assess(points, keys, fits), radius_pressure, c)
+    scored = fitted(points, keys, viscoelastic_models(radius_pressure, c))
+    return viscoelastic_winners(points, keys, scored, radius_pressure, c, check_flow=check_flow)
+
+
+def viscoelastic_winners(
+    points: DataFrame, keys: Sequence[str], scored: DataFrame, radius_pressure: float, c: float, *, check_flow: bool = True
+) -> DataFrame:
+    """Parameters of scored viscoelastic fits, without those that the flow rule leaves out, and the mark ``selected``."""
+    scored = viscoelastic_parameters(scored, radius_pressure, c)
     if check_flow:
         sized = with_summary(points, keys, F.count(F.lit(1)).alias("n_rows"))
         flow = smoothing.side_slopes(sized, keys, "t", "y", n_rows="n_rows").select(*keys, "flow_ok")
@@ -469,8 +654,10 @@ def fit_viscoelastic(
 
 def fit_line_or_power(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Line and power-law fits with scores; ``selected`` marks the winner, ties to the line."""
-    fits = fit_lines(points, keys).unionByName(fit_models(points, keys, [POWER_LAW]).drop("grid_rss"))
-    scored = assess(points, keys, fits)
+    return line_or_power_winners(keys, fitted(points, keys, [LINE, POWER_LAW]))
+
+
+def line_or_power_winners(keys: Sequence[str], scored: DataFrame) -> DataFrame:
     won = select_model(scored, keys, ["Linear", "Power-Law"]).select(*keys, F.col("model").alias("_won"))
     return scored.join(won, list(keys)).withColumn("selected", F.col("model") == F.col("_won")).drop("_won")
 
@@ -508,8 +695,7 @@ def fit_rises(points: DataFrame, keys: Sequence[str], *, ratio_min: float = 3.0,
     The bi-exponential counts only when its time constants differ by ``ratio_min``
     and its smaller amplitude is at least ``share_min`` of the total.
     """
-    fits = fit_models(points, keys, [MONO]).unionByName(fit_models(points, keys, [BI]))
-    scored = assess(points, keys, fits.drop("grid_rss"))
+    scored = fitted(points, keys, [MONO, BI])
     total = F.col("c1") + F.col("c2")
     real = (
         (F.col("s1") > 1e-9) & (total > 1e-9) & (F.col("s2") / F.col("s1") >= ratio_min)
@@ -517,8 +703,11 @@ def fit_rises(points: DataFrame, keys: Sequence[str], *, ratio_min: float = 3.0,
     )
     able = scored.filter((F.col("model") == "Mono") | real)
     bi = F.col("model") == "Bi"
-    return select_model(able, keys, ["Mono", "Bi"]).select(
+    both = scored.groupBy(*keys).agg(*[F.max(F.when(F.col("model") == m, F.col("aicc"))).alias(f"{m.lower()}_aicc") for m in ("Mono", "Bi")])
+    return select_model(able, keys, ["Mono", "Bi"]).join(both, list(keys)).select(
         *keys,
+        "mono_aicc",
+        "bi_aicc",
         "model",
         F.when(bi, total).otherwise(F.col("c1")).alias("amplitude"),
         F.when(bi, (F.col("c1") * F.col("s1") + F.col("c2") * F.col("s2")) / F.nullif(total, F.lit(0.0)))

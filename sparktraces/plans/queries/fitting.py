@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparktraces.functions import physics
 from sparktraces.operators import fit, resample
 from sparktraces.plans.bindings import KEYS, MARKED, TRACES, marked, traces
-from sparktraces.plans.queries.ordered import CLEANED, holed
+from sparktraces.plans.queries.ordered import CLEAN, CLEANED, dense
 from sparktraces.plans.registry import query, rounded, sql_round
 
 PART = "PARTITION BY trace_id ORDER BY frame"
@@ -17,13 +17,14 @@ RP, C = 5000.0, 2.0
 
 
 def points_of(spark, sf_dir):
-    return fit.fit_points(holed(spark, sf_dir), KEYS, "t", "y", n_rows="n")
+    return fit.fit_points(dense(spark, sf_dir), KEYS, "t", "y", n_rows="n")
 
 
-POINTS = CLEANED + f"""
+LONG_ENOUGH = f"""
 , pk AS (SELECT trace_id, t, y, row_number() OVER ({PART}) - 1 AS frame, count(*) OVER (PARTITION BY trace_id) AS np, first(t) OVER ({PART}) AS t0 FROM clean WHERE inlier),
 pt AS (SELECT trace_id, frame, t - t0 AS t, y FROM pk WHERE np >= 15)
 """
+POINTS = CLEANED + LONG_ENOUGH
 
 BASIS = {
     "rise": ("1 - exp(-t / s1)", "t", "1.0::DOUBLE"),
@@ -156,7 +157,7 @@ def _fit_query(name, covers, model, source_sql, points, digits=3):
     @query(name, covers, source_sql + fit_sql("f", "pt", model) + assess_sql("f", "pt", "ffit", model.basis) + show_sql("fa", digits))
     def run(spark, sf_dir):
         rows = points(spark, sf_dir)
-        return show(fit.assess(rows, KEYS, fit.fit_models(rows, KEYS, [model]).drop("grid_rss")), digits)
+        return show(fit.fitted(rows, KEYS, [model]), digits)
 
     return run
 
@@ -177,19 +178,24 @@ _fit_query("power_fit", "G3", fit.POWER_LAW, POINTS, points_of)
 )
 def line_fit(spark, sf_dir):
     points = points_of(spark, sf_dir)
-    return show(fit.assess(points, KEYS, fit.fit_lines(points, KEYS)))
+    return show(fit.fitted(points, KEYS, [fit.LINE]))
 
 
-LINE_POWER = (
-    POINTS
-    + fit_sql("p", "pt", fit.POWER_LAW)
-    + ", lfit AS (SELECT trace_id, 'Linear' AS model, 1.0::DOUBLE AS s1, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS c1, regr_slope(y, t) AS c2, regr_intercept(y, t) AS c3 FROM pt GROUP BY trace_id)"
-    + assess_sql("l", "pt", "lfit", "line")
-    + assess_sql("p", "pt", "pfit", "power")
-    + """, bo AS (SELECT *, 0 AS o FROM la UNION ALL SELECT *, 1 AS o FROM pa),
+def line_power_sql(source):
+    """CTEs la and pa with the scored fits, and win, where pick = 1 is the winner."""
+    return (
+        fit_sql("p", source, fit.POWER_LAW)
+        + ", lfit AS (SELECT trace_id, 'Linear' AS model, 1.0::DOUBLE AS s1, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS c1, regr_slope(y, t) AS c2, regr_intercept(y, t) AS c3 "
+        + f"FROM {source} GROUP BY trace_id)"
+        + assess_sql("l", source, "lfit", "line")
+        + assess_sql("p", source, "pfit", "power")
+        + """, bo AS (SELECT *, 0 AS o FROM la UNION ALL SELECT *, 1 AS o FROM pa),
 win AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY aicc, o) AS pick FROM bo)
 """
-)
+    )
+
+
+LINE_POWER = POINTS + line_power_sql("pt")
 
 
 @query(
@@ -232,16 +238,29 @@ def prepost_slope(spark, sf_dir):
     )
 
 
-RISES = (
-    MARKED
-    + f""", al AS (SELECT trace_id, frame, t - marker_t AS rel, y FROM mk WHERE condition <> 'ASP' AND marker_t IS NOT NULL),
-ba AS (SELECT trace_id, CASE WHEN count(*) FILTER (WHERE rel <= 0) >= 2 THEN quantile_cont(y, 0.5) FILTER (WHERE rel <= 0)
+#: From al(trace_id, frame, rel, y): the rows after the marker over the baseline.
+RISING = """, ba AS (SELECT trace_id, CASE WHEN count(*) FILTER (WHERE rel <= 0) >= 2 THEN quantile_cont(y, 0.5) FILTER (WHERE rel <= 0)
   WHEN count(*) >= 3 THEN quantile_cont(y, 0.5) FILTER (WHERE frame < 3) ELSE arg_min(y, frame) END AS base FROM al GROUP BY trace_id),
 rk AS (SELECT al.trace_id, rel AS t, y - base AS y, base, row_number() OVER (PARTITION BY al.trace_id ORDER BY frame) - 1 AS frame, count(*) OVER (PARTITION BY al.trace_id) AS np
   FROM al JOIN ba ON ba.trace_id = al.trace_id WHERE rel > 0 AND y - base >= 0),
 pt AS (SELECT trace_id, frame, t, y, base FROM rk WHERE np >= 15)
 """
-)
+RISES = MARKED + ", al AS (SELECT trace_id, frame, t - marker_t AS rel, y FROM mk WHERE condition <> 'ASP' AND marker_t IS NOT NULL)" + RISING
+
+
+def rise_sql(source):
+    """CTEs ending in wn with the fits that may win, where pick = 1 is the winner."""
+    return (
+        fit_sql("one", source, fit.MONO) + assess_sql("one", source, "onefit", "rise")
+        + fit_sql("two", source, fit.BI) + assess_sql("two", source, "twofit", "two_rises")
+        + """, cand AS (SELECT *, 0 AS o FROM onea UNION ALL SELECT *, 1 FROM twoa WHERE s1 > 1e-9 AND c1 + c2 > 1e-9 AND s2 / s1 >= 3 AND least(c1, c2) / (c1 + c2) >= 0.05),
+wn AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY aicc, o) AS pick FROM cand)
+"""
+    )
+
+
+RISE_AMPLITUDE = "CASE o WHEN 1 THEN c1 + c2 ELSE c1 END"
+RISE_TAU = "CASE o WHEN 1 THEN (c1 * s1 + c2 * s2) / (c1 + c2) ELSE s1 END"
 
 
 def rises_of(spark, sf_dir):
@@ -290,8 +309,7 @@ COMPARED = [KV, JEFFREYS, BURGERS, fit.POWER_LAW]
 )
 def ensemble_model_comparison(spark, sf_dir):
     points = ensemble_points(spark, sf_dir)
-    fits = fit.fit_models(points, KEYS, COMPARED[:3]).unionByName(fit.fit_models(points, KEYS, COMPARED[3:])).drop("grid_rss")
-    scored = fit.assess(points, KEYS, fits.unionByName(fit.fit_lines(points, KEYS)))
+    scored = fit.fitted(points, KEYS, [fit.LINE, *COMPARED])
     order = ["Linear", "Power-Law", "Kelvin-Voigt", "Jeffreys", "Burgers"]
     best = fit.select_model(scored, KEYS, order, score="aic").select("trace_id", F.col("model").alias("_b"))
     out = scored.join(best, "trace_id")
@@ -321,21 +339,29 @@ def _near(v, lo, hi):
 CREEP = [KV, JEFFREYS, BURGERS]
 
 
-@query(
-    "viscoelastic_selection",
-    "G11 G12 G5 G6 G7",
-    POINTS
-    + "".join(fit_sql(f"m{i}", "pt", m) + assess_sql(f"m{i}", "pt", f"m{i}fit", "rise") for i, m in enumerate(CREEP))
-    + f""", al AS (SELECT *, 0 AS o FROM m0a UNION ALL SELECT *, 1 FROM m1a UNION ALL SELECT *, 2 FROM m2a),
+def creep_sql(source):
+    """CTEs ending in wn(trace_id, model, e, eta1, ..., pick), where pick = 1 is the winner."""
+    return (
+        "".join(fit_sql(f"m{i}", source, m) + assess_sql(f"m{i}", source, f"m{i}fit", "rise") for i, m in enumerate(CREEP))
+        + f""", al AS (SELECT *, 0 AS o FROM m0a UNION ALL SELECT *, 1 FROM m1a UNION ALL SELECT *, 2 FROM m2a),
 v1 AS (SELECT *, {RP}::DOUBLE / ({C} * c1) AS e, CASE WHEN o > 0 THEN {RP}::DOUBLE / (3 * pi() * c2) END AS eta2, CASE WHEN o = 2 THEN {RP}::DOUBLE / ({C} * c3) END AS e1 FROM al),
 v2 AS (SELECT *, s1 * {C} * e / (3 * pi()) AS eta1 FROM v1),
-cn AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n_rows FROM pt),
+cn AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n_rows FROM {source}),
 sd AS (SELECT *, greatest(5, round_even(n_rows * 0.33::DOUBLE, 0)) AS side FROM cn),
 fl AS (SELECT trace_id, abs(coalesce(regr_slope(y, t) FILTER (WHERE frame >= n_rows - side), 0)) * (max(t) - min(t)) > 1.5 * 0.3 AS flow_ok FROM sd GROUP BY trace_id),
 ab AS (SELECT v2.* FROM v2 JOIN fl ON fl.trace_id = v2.trace_id WHERE (flow_ok OR o = 0) AND NOT {_near('e', '1.0', '100000.0')} AND NOT {_near('eta1', '1.0', '500000.0')}
   AND (o = 0 OR NOT {_near('eta2', '500.0', '1000000.0')}) AND (o < 2 OR NOT {_near('e1', '1.0', '100000.0')})),
 wn AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY aicc, o) AS pick FROM ab)
-SELECT trace_id, model, {', '.join(f'{sql_round(c, 3)} AS {c}' for c in ('e', 'eta1', 'eta2', 'e1', 'r2', 'aicc'))}, {sql_round('s1', 3)} AS tau FROM wn WHERE pick = 1""",
+"""
+    )
+
+
+@query(
+    "viscoelastic_selection",
+    "G11 G12 G5 G6 G7",
+    POINTS
+    + creep_sql("pt")
+    + f"""SELECT trace_id, model, {', '.join(f'{sql_round(c, 3)} AS {c}' for c in ('e', 'eta1', 'eta2', 'e1', 'r2', 'aicc'))}, {sql_round('s1', 3)} AS tau FROM wn WHERE pick = 1""",
 )
 def viscoelastic_selection(spark, sf_dir):
     points = points_of(spark, sf_dir)
@@ -349,27 +375,10 @@ def viscoelastic_selection(spark, sf_dir):
     "rise_selection",
     "G8 G9 M23",
     RISES
-    + fit_sql("one", "pt", fit.MONO) + assess_sql("one", "pt", "onefit", "rise")
-    + fit_sql("two", "pt", fit.BI) + assess_sql("two", "pt", "twofit", "two_rises")
-    + f""", cand AS (SELECT *, 0 AS o FROM onea UNION ALL SELECT *, 1 FROM twoa WHERE s1 > 1e-9 AND c1 + c2 > 1e-9 AND s2 / s1 >= 3 AND least(c1, c2) / (c1 + c2) >= 0.05),
-wn AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY aicc, o) AS pick FROM cand)
-SELECT trace_id, model, {sql_round('CASE o WHEN 1 THEN c1 + c2 ELSE c1 END', 3)} AS amplitude, {sql_round('CASE o WHEN 1 THEN (c1 * s1 + c2 * s2) / (c1 + c2) ELSE s1 END', 3)} AS tau,
-  {sql_round('r2', 3)} AS r2, {sql_round('aicc', 3)} AS aicc, r2 >= 0.85 AS r2_flag FROM wn WHERE pick = 1""",
+    + rise_sql("pt")
+    + f"""SELECT trace_id, model, {sql_round(RISE_AMPLITUDE, 3)} AS amplitude, {sql_round(RISE_TAU, 3)} AS tau, {sql_round('r2', 3)} AS r2, {sql_round('aicc', 3)} AS aicc,
+  r2 >= 0.85 AS r2_flag FROM wn WHERE pick = 1""",
 )
 def rise_selection(spark, sf_dir):
     out = fit.fit_rises(rises_of(spark, sf_dir), KEYS)
     return out.select("trace_id", "model", *[rounded(c, 3).alias(c) for c in ("amplitude", "tau", "r2", "aicc")], "r2_flag")
-
-
-@query("feature_table", "G18 G23")
-def feature_table(spark, sf_dir):
-    """All features of every trace; each part has its own checked query."""
-    from sparktraces.operators import features
-
-    out = features.feature_table(
-        marked(traces(spark, sf_dir)), KEYS, t="t", y="y", condition="condition", marker="marker_frame", marker_t="marker_t",
-        radius_pressure=RP, c=C, control_window=500.0, matched_window=400.0, before=120.0, after=60.0, min_points=10,
-        identity=["arm"],
-    )
-    numbers = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
-    return out.select(*[rounded(c, 4).alias(c) if c in numbers else c for c in out.columns])

@@ -100,13 +100,25 @@ def PADDED(y: str, rows: str = "frame", n: str = "n") -> str:
     )
 
 
-CLEANED = HOLES + f"""
+#: All rows of the traces under the names of HOLES.
+WHOLE = TRACES + """
+, ok AS (SELECT trace_id, event_id, t, y, frame, n_rows AS n FROM tr)
+"""
+
+CLEAN = f"""
 , c1 AS (SELECT *, list(y) OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS ys FROM ok),
 c2 AS (SELECT *, abs(y - {PADDED('ys')}) AS dev FROM c1),
 c3 AS (SELECT *, list(dev) OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS ds FROM c2),
 clean AS (SELECT *, n < 11 OR dev <= 2.5 * greatest({PADDED('ds')} * 1.4826, 0.1) AS inlier FROM c3)
 """
 
+CLEANED = WHOLE + CLEAN
+
+
+def dense(spark, sf_dir):
+    """All rows of the traces, with their number ``n``."""
+    return traces(spark, sf_dir).withColumnRenamed("n_rows", "n")
+
 
 def holed(spark, sf_dir):
     """Traces without their missing values, renumbered."""
@@ -114,7 +126,7 @@ def holed(spark, sf_dir):
     return renumber(cohorts.valid_points(rows, "t", "y"), KEYS, n_rows="n")
 
 
-@query("hampel11", "W7 F2", CLEANED + "SELECT event_id, frame, n, inlier FROM clean")
+@query("hampel11", "W7 F2", HOLES + CLEAN + "SELECT event_id, frame, n, inlier FROM clean")
 def hampel11(spark, sf_dir):
     return smoothing.outlier_free(holed(spark, sf_dir), KEYS, "y", n_rows="n").select("event_id", "frame", "n", "inlier")
 
@@ -122,14 +134,14 @@ def hampel11(spark, sf_dir):
 @query(
     "outlier_std11",
     "W8 W9 O7",
-    HOLES
+    WHOLE
     + f""", c1 AS (SELECT *, list(y) OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS ys,
   stddev_samp(y) OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS sd FROM ok)
 SELECT event_id, n <= 11 OR abs(y - {PADDED('ys')}) <= 2.5 * greatest(coalesce(sd, 0), 0.5 * 0.629) AS inlier FROM c1
 WHERE frame >= CASE WHEN floor(n * 0.05::DOUBLE) >= n - 5 THEN 0 ELSE floor(n * 0.05::DOUBLE) END""",
 )
 def outlier_std11(spark, sf_dir):
-    rows = smoothing.outlier_free_std(holed(spark, sf_dir), KEYS, "y", n_rows="n")
+    rows = smoothing.outlier_free_std(dense(spark, sf_dir), KEYS, "y", n_rows="n")
     return smoothing.drop_leading(rows, fraction=0.05, n_rows="n").select("event_id", "inlier")
 
 
