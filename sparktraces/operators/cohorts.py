@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktraces.operators.stage import lookup_side
+
 # Cut-offs of the runaway rule and the R2 floors.
 RUNAWAY_TAU_S = 20_000.0
 RUNAWAY_AMPLITUDE = 100.0
@@ -95,6 +97,28 @@ def exclude(df: DataFrame, rejected: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(rejected.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def selected_traps(df: DataFrame, selection: DataFrame, experiment: Sequence[str], trap: str, chosen: str) -> DataFrame:
+    """Rows of the traps that their experiment selects; ``chosen`` holds its list, NULL or no row meaning all traps."""
+    lists = selection.select(*[F.col(e).alias(f"_e_{e}") for e in experiment], F.col(chosen).alias("_chosen"))
+    same = [F.col(e) == F.col(f"_e_{e}") for e in experiment]
+    keep = F.col("_chosen").isNull() | F.array_contains("_chosen", F.col(trap))
+    return df.join(lookup_side(lists), same, "left").filter(keep).drop("_chosen", *[f"_e_{e}" for e in experiment])
+
+
+def common_traps(df: DataFrame, experiment: Sequence[str], trap: str) -> DataFrame:
+    """(trap, experiments, common): in how many experiments each trap occurs, and whether in all of them."""
+    seen = df.filter(F.col(trap).isNotNull()).select(*experiment, trap).distinct()
+    everywhere = seen.select(*experiment).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    counted = seen.groupBy(trap).agg(F.count(F.lit(1)).alias("experiments"))
+    return counted.withColumn("common", F.col("experiments") == everywhere)
+
+
+def single_common_trap(df: DataFrame, experiment: Sequence[str], trap: str) -> DataFrame:
+    """One row: the trap that all experiments share, NULL unless there is exactly one."""
+    common = common_traps(df, experiment, trap).filter("common")
+    return common.agg(F.when(F.count(F.lit(1)) == 1, F.min(trap)).alias(trap))
+
+
 def shared_controls(df: DataFrame, *, treatment: str, condition: str, control: str = "ASP") -> DataFrame:
     """Controls limited to treatments that pulsed rows have too; untouched when nothing is pulsed."""
     pulsed = df.filter(F.col(condition) != control).select(F.col(treatment).alias("_t")).distinct()

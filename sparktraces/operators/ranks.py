@@ -1,22 +1,33 @@
 """Average ranks and the statistics built on them.
 
-Ties collapse to one row per distinct value before any ordering, and the
-ordering itself runs in value buckets, so a group of any size is ranked by many
-tasks.
+Ties collapse to one row per distinct value before any ordering. A table with more distinct values than one task should order
+is cut by ranges of (group, value) that hold about as many of them each, whatever the values look like.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktraces.operators.stage import lookup_side
+from sparktraces.operators.quantiles import quantiles
+from sparktraces.operators.stage import staged
 
 BUCKET_ROWS = 65_536
 
 
+def ranged(counts: DataFrame, order: Sequence[str], rows: int, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The ``rows`` rows of a table with ``_bucket``, which never falls along ``order`` and holds about ``bucket_rows`` of them.
+
+    The cuts come from a sample of the rows themselves, so neither an outlier nor a hot group fills a bucket. The table is
+    written, so the buckets stay what they are if a task runs again.
+    """
+    placed = counts.repartitionByRange(math.ceil(rows / bucket_rows), *order)
+    return staged(placed.withColumn("_bucket", F.spark_partition_id()))
+
+
 def rank_table(
     df: DataFrame,
     groups: Sequence[str],
@@ -32,42 +43,27 @@ def rank_table(
     """
     groups = list(groups)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(amount.alias("ties"))
-    )
-    spans = counts.groupBy(*groups).agg(
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-        F.count(F.lit(1)).alias("_d"),
-        F.sum("ties").alias("n"),
-    )
-    width = F.col("_hi") - F.col("_lo")
-    placed = counts.join(lookup_side(spans), groups).withColumn(
-        "_bucket",
-        F.when(
-            width > 0,
-            F.floor((F.col(value) - F.col("_lo")) / width * F.ceil(F.col("_d") / F.lit(bucket_rows))),
-        )
-        .otherwise(F.lit(0))
-        .cast("long"),
-    )
+    counts = staged(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(amount.alias("ties")))
+    distinct = counts.count()
+
+    def finished(rows: DataFrame, before: Column) -> DataFrame:
+        return rows.select(*groups, value, "ties", (before + F.col("_cum") - (F.col("ties") - 1) / F.lit(2.0)).alias(rank), "n")
+
+    if distinct <= bucket_rows:
+        whole = Window.partitionBy(*groups)
+        rows = counts.withColumn("_cum", F.sum("ties").over(whole.orderBy(value))).withColumn("n", F.sum("ties").over(whole))
+        return finished(rows, F.lit(0))
+    placed = ranged(counts, [*groups, value], distinct, bucket_rows=bucket_rows)
     totals = placed.groupBy(*groups, "_bucket").agg(F.sum("ties").alias("_t"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*groups)
     offsets = totals.select(
-        *groups, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset")
+        *groups,
+        "_bucket",
+        F.coalesce(F.sum("_t").over(along.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_t").over(along).alias("n"),
     )
     inside = Window.partitionBy(*groups, "_bucket").orderBy(value)
-    return (
-        placed.withColumn("_cum", F.sum("ties").over(inside))
-        .join(offsets, [*groups, "_bucket"])
-        .select(
-            *groups,
-            value,
-            "ties",
-            (F.col("_offset") + F.col("_cum") - (F.col("ties") - 1) / F.lit(2.0)).alias(rank),
-            "n",
-        )
-    )
+    return finished(placed.withColumn("_cum", F.sum("ties").over(inside)).join(offsets, [*groups, "_bucket"]), F.col("_offset"))
 
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, *, rank: str = "rank") -> DataFrame:
@@ -200,11 +196,12 @@ def kruskal_wallis(df: DataFrame, panels: Sequence[str], level: str, value: str)
 
 
 def wilcoxon_signed_rank(df: DataFrame, groups: Sequence[str], before: str, after: str, *, min_n: int = 5) -> DataFrame:
-    """Paired signed-rank sums: W+, W-, n of non-zero differences and tie-corrected z."""
+    """Paired signed-rank sums: W+, W-, n of non-zero differences, tie-corrected z, and the median of all differences."""
     groups = list(groups)
+    pairs = df.select(*groups, (F.col(after) - F.col(before)).alias("_d")).filter(F.col("_d").isNotNull())
+    middle = quantiles(pairs, groups, "_d", {"median_difference": 0.5})
     diffs = (
-        df.select(*groups, (F.col(after) - F.col(before)).alias("_d"))
-        .filter(F.col("_d").isNotNull() & (F.col("_d") != 0))
+        pairs.filter(F.col("_d") != 0)
         .groupBy(*groups, F.abs("_d").alias("_abs"))
         .agg(
             F.count_if(F.col("_d") > 0).alias("_up"),
@@ -225,6 +222,5 @@ def wilcoxon_signed_rank(df: DataFrame, groups: Sequence[str], before: str, afte
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_tie") / 48
     z = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.sqrt(var))
-    return sums.select(
-        *groups, "n", "w_plus", "w_minus", F.when(F.col("n") >= min_n, z).alias("z")
-    )
+    out = sums.select(*groups, "n", "w_plus", "w_minus", F.when(F.col("n") >= min_n, z).alias("z"))
+    return out.join(middle, groups) if groups else out.withColumn("median_difference", middle.scalar())

@@ -6,7 +6,6 @@ it covers and emits just those.  ``frame`` must be dense and times increasing.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,16 +20,19 @@ def linear_grid(lo: float, hi: float, points: int) -> dict[str, float]:
     return {"start": lo, "step": (hi - lo) / (points - 1), "points": points}
 
 
-def grid_to_end(df: DataFrame, t: str, *, start: float, step: float) -> dict[str, float]:
-    """A grid from ``start`` by ``step`` to the first point at or past the last time of the table (one row back)."""
-    end = df.agg(F.max(t)).first()[0]
-    return {"start": start, "step": step, "points": 1 if end is None else max(1, math.ceil((end - start) / step) + 1)}
+def grid_to_end(df: DataFrame, t: str, *, start: float, step: float) -> dict[str, float | Column]:
+    """A grid from ``start`` by ``step`` to the first point at or past the last time of the table.
+
+    The count is part of the plan: one row that Spark works out when the grid is used.
+    """
+    end = F.coalesce(F.ceil((F.max(t) - start) / step) + 1, F.lit(1))
+    return {"start": start, "step": step, "points": df.agg(F.greatest(F.lit(1), end).cast("long").alias("points")).scalar()}
 
 
-def grid_over(df: DataFrame, t: str, points: int) -> dict[str, float]:
+def grid_over(df: DataFrame, t: str, points: int) -> dict[str, float | Column]:
     """An evenly spaced grid from 0 to the last time of the table."""
-    end = df.agg(F.max(t)).first()[0]
-    return linear_grid(0.0, 1.0 if not end else end, points)
+    end = F.coalesce(F.nullif(F.max(t), F.lit(0.0)), F.lit(1.0))
+    return {"start": 0.0, "step": df.agg((end / (points - 1)).alias("step")).scalar(), "points": points}
 
 
 def end_percentile(df: DataFrame, keys: Sequence[str], groups: Sequence[str], t: str, *, q: float = 0.95) -> DataFrame:
@@ -71,7 +73,9 @@ def _spans(df: DataFrame, keys: Sequence[str], t: str, y: str, frame: str) -> Da
 
 def _emit(spans: DataFrame, t: str, start, step, points, hold: bool, index: str, grid: str) -> DataFrame:
     """Rows of ``spans`` once per grid point they answer for."""
-    start, step, points = _column(start), _column(step), _column(points).cast("long")
+    # a grid that is worked out by the plan becomes columns first: a generator takes no subquery
+    spans = spans.withColumns({"_start": _column(start), "_step": _column(step), "_points": _column(points).cast("long")})
+    start, step, points = F.col("_start"), F.col("_step"), F.col("_points")
     t0, t1 = F.col(t), F.col("_t1")
     lo = F.floor((t0 - start) / step) - 1
     hi = F.ceil((F.coalesce(t1, t0) - start) / step) + 1
@@ -86,7 +90,7 @@ def _emit(spans: DataFrame, t: str, start, step, points, hold: bool, index: str,
     inside = (g >= t0) & ((g < t1) | (t1.isNull() & (g == t0)))
     if hold:
         inside = inside | (F.col("_head") & (g < t0)) | (t1.isNull() & (g > t0))
-    return out.filter(inside)
+    return out.filter(inside).drop("_start", "_step", "_points")
 
 
 def interpolate(

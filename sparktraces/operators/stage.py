@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 
+#: Paths handed out by this process and not released yet.
+_created: list[str] = []
+
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only on a local master."""
@@ -25,7 +30,29 @@ def staging_root(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the staging folder."""
-    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _created.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what was staged after the first ``since`` paths; results that still read them must be done with."""
+    gone = _created[since:]
+    for path in gone:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del _created[since:]
+    return len(gone)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged inside, also where it fails."""
+    before = len(_created)
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql.types import DoubleType
 
 from sparktraces.operators.cohorts import gate_counts
 from sparktraces.operators.quantiles import quantiles
-from sparktraces.operators.ranks import spearman, two_sample_ranks
+from sparktraces.operators.ranks import rank_table, spearman, two_sample_ranks
+from sparktraces.operators.stage import staged
 from sparktraces.operators.summaries import QUARTILES, replicate_means
 
 
@@ -98,16 +100,76 @@ def with_spearman_p(table: DataFrame) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (), *, min_n: int = 3) -> DataFrame:
-    """Long Spearman matrix (groups, x_name, y_name, n, rho, t_stat) over pairwise-complete rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return correlation_sweep(df, [(f"{a}|{b}", a, b, None) for a, b in pairs], groups, min_n=min_n).select(
-        *groups,
-        F.split_part(F.col("spec"), F.lit("|"), F.lit(1)).alias("x_name"),
-        F.split_part(F.col("spec"), F.lit("|"), F.lit(2)).alias("y_name"),
-        "n",
-        "rho",
-        "t_stat",
-    )
+    """Long Spearman matrix (groups, x_name, y_name, n, rho, t_stat) over pairwise-complete rows.
+
+    A column is ranked once for every way in which another column's missing values cut it, so once if nothing is missing.
+    Each task multiplies its ranks as one matrix, and the products are added: no pair of columns gets rows of its own.
+    """
+    groups, columns = list(groups), list(columns)
+    rows = staged(df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("_row", F.monotonically_increasing_id()))
+    k = range(len(columns))
+    counts = rows.agg(*[F.count_if(F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()).alias(f"{i}_{j}") for i in k for j in k if i <= j]).first()
+    both = lambda i, j: counts[f"{min(i, j)}_{max(i, j)}"]
+    # columns that miss the same rows are one mask; a mask that takes no row from a column leaves its ranks alone
+    mask = [next(j for j in k if both(i, j) == both(i, i) == both(j, j)) for i in k]
+    cut = lambda i, j: (i, None if both(i, mask[j]) == both(i, i) else mask[j])
+    variants = sorted({cut(i, j) for i in k for j in k}, key=str)
+    place = {v: at for at, v in enumerate(variants)}
+
+    def values(i: int, j: int | None):
+        return F.col(columns[i]) if j is None else F.when(F.col(columns[j]).isNotNull(), F.col(columns[i]))
+
+    each = F.explode(F.array(*[F.struct(F.lit(at).alias("_variant"), values(i, j).alias("_value")) for (i, j), at in place.items()]))
+    long = staged(rows.select(*groups, "_row", each.alias("_v")).select(*groups, "_row", "_v.*").filter(F.col("_value").isNotNull()))
+    by = [*groups, "_variant"]
+    ranked = long.join(rank_table(long, by, "_value", rank="_rank").drop("ties"), [*by, "_value"])
+    centred = F.col("_rank") - (F.col("n") + 1) / F.lit(2.0)
+    size = len(variants)
+    wide = ranked.groupBy(*groups, "_row").agg(*[F.max(F.when(F.col("_variant") == at, centred)).alias(f"_v{at}") for at in range(size)])
+    names = [f"_v{at}" for at in range(size)]
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            parts = batch.groupby(groups, dropna=False, sort=False) if groups else [((), batch)]
+            for key, part in parts:
+                ranks = part[names].to_numpy(float)
+                there = ~np.isnan(ranks)
+                ranks = np.where(there, ranks, 0.0)
+                out.append((*key, (ranks.T @ ranks).ravel().tolist(), (there.astype(float).T @ there).ravel().tolist()))
+            yield pd.DataFrame(out, columns=[*groups, "_g", "_m"])
+
+    types = "".join(f"`{g}` {rows.schema[g].dataType.simpleString()}, " for g in groups)
+    products = wide.select(*groups, *names).mapInPandas(multiply, f"{types}_g array<double>, _m array<double>")
+    entries = products.select(*groups, F.posexplode(F.arrays_zip("_g", "_m")).alias("_at", "_e")).groupBy(*groups, "_at")
+    entries = entries.agg(F.sum("_e._g").alias("_g"), F.sum("_e._m").alias("_m"))
+    pick = lambda column, a, b: F.max(F.when(F.col("_at") == a * size + b, F.col(column)))
+    cells = []
+    for i in k:
+        for j in k:
+            if i <= j:
+                a, b = place[cut(i, j)], place[cut(j, i)]
+                cells.append(F.struct(
+                    F.lit(columns[i]).alias("x_name"), F.lit(columns[j]).alias("y_name"), pick("_m", a, b).cast("long").alias("n"),
+                    pick("_g", a, b).alias("xy"), pick("_g", a, a).alias("xx"), pick("_g", b, b).alias("yy"),
+                ))
+    table = entries.groupBy(*groups).agg(F.array(*cells).alias("_c")).select(*groups, F.explode("_c").alias("_c")).select(*groups, "_c.*")
+    rho = F.when(F.col("n") >= min_n, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))))
+    t_stat = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(0.0))))
+    return table.filter("n > 0").withColumn("rho", rho).withColumn("t_stat", t_stat).select(*groups, "x_name", "y_name", "n", "rho", "t_stat")
+
+
+def rank_triples(df: DataFrame, groups: Sequence[str], x: str, y: str, z: str, *, min_n: int = 5) -> DataFrame:
+    """(groups, n, rho_xy, rho_xz, rho_yz, partial) on the rows where all three are present.
+
+    ``partial`` is the rank correlation of x and y with z held; all are NULL below ``min_n`` rows.
+    """
+    complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    matrix = spearman_matrix(complete, [x, y, z], groups, min_n=min_n)
+    of = lambda a, b: F.max(F.when((F.col("x_name") == a) & (F.col("y_name") == b), F.col("rho")))
+    wide = matrix.groupBy(*groups).agg(F.max("n").alias("n"), of(x, y).alias("rho_xy"), of(x, z).alias("rho_xz"), of(y, z).alias("rho_yz"))
+    rest = F.sqrt((1 - F.col("rho_xz") * F.col("rho_xz")) * (1 - F.col("rho_yz") * F.col("rho_yz")))
+    return wide.withColumn("partial", F.try_divide(F.col("rho_xy") - F.col("rho_xz") * F.col("rho_yz"), rest))
 
 
 def correlation_sweep(

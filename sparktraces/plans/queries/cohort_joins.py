@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from sparktraces.functions.labels import parse_folder
 from sparktraces.operators import cohorts
-from sparktraces.operators.sequence import renumber
+from sparktraces.operators.sequence import number_rows, renumber
 from sparktraces.operators.stage import staging_path
 from sparktraces.plans.bindings import KEYS, TRACES, traces
 from sparktraces.plans.queries.ordered import HOLES
 from sparktraces.plans.registry import query, rounded, sql_round, table
+from sparktraces.sources import folder_source as folder_reader
 from sparktraces.sources import sinks
 from sparktraces.sources import tables as S
 
@@ -83,6 +84,54 @@ def row_index_join(spark, sf_dir):
     )
 
 
+@query(
+    "row_index_cut",
+    "J1",
+    """
+WITH a AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS frame, l_quantity AS len FROM lineitem),
+b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS frame, l_tax AS dye FROM lineitem WHERE l_discount > 0.02 OR l_returnflag = 'A'),
+n AS (SELECT coalesce(x.l_orderkey, y.l_orderkey) AS l_orderkey, coalesce(x.c, 0) - coalesce(y.c, 0) AS over FROM (SELECT l_orderkey, count(*) AS c FROM a WHERE l_orderkey % 5 <> 0 GROUP BY 1) x
+  FULL JOIN (SELECT l_orderkey, count(*) AS c FROM b GROUP BY 1) y ON x.l_orderkey = y.l_orderkey),
+j AS (SELECT a.l_orderkey, count(*) AS n, sum(len) AS len, count(dye) AS n_dye FROM a JOIN b USING (l_orderkey, frame) WHERE a.l_orderkey % 5 <> 0 GROUP BY 1)
+SELECT n.l_orderkey, coalesce(j.n, 0) AS n, len, coalesce(n_dye, 0) AS n_dye, greatest(over, 0) AS left_surplus, greatest(-over, 0) AS right_surplus FROM n LEFT JOIN j ON j.l_orderkey = n.l_orderkey
+""",
+)
+def row_index_cut(spark, sf_dir):
+    """Detection and uptake on the same row, cut to the shorter, with the rows that either side has beyond the other."""
+    rows = table(spark, sf_dir, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    detection = number_rows(rows.filter(F.col("l_orderkey") % 5 != 0), ["l_orderkey"], order, "l_linenumber").select("l_orderkey", "frame", F.col("l_quantity").alias("len"))
+    uptake = number_rows(rows.filter((F.col("l_discount") > 0.02) | (F.col("l_returnflag") == "A")), ["l_orderkey"], order, "l_linenumber")
+    cut, report = S.cut_to_shorter(detection, uptake.select("l_orderkey", "frame", F.col("l_tax").alias("dye")), ["l_orderkey"])
+    counts = cut.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"), F.count("dye").alias("n_dye"))
+    out = report.join(counts, "l_orderkey", "left")
+    return out.select("l_orderkey", F.coalesce("n", F.lit(0)).alias("n"), "len", F.coalesce("n_dye", F.lit(0)).alias("n_dye"), "left_surplus", "right_surplus")
+
+
+@query(
+    "bundle_commit",
+    "K3 K6 K8 K9",
+    """
+WITH f AS (SELECT l_orderkey, l_linenumber, l_discount > 0.05 AS bad FROM lineitem)
+SELECT 'excluded' AS name, count(*) AS n FROM f WHERE bad UNION ALL SELECT 'kept', count(*) FROM f WHERE NOT bad UNION ALL SELECT 'all', count(*) FROM f
+UNION ALL SELECT 'fates', count(DISTINCT l_returnflag) FROM lineitem
+""",
+)
+def bundle_commit(spark, sf_dir):
+    """The feature table three ways and a count table, committed twice; readers see the second commit, whole."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_discount")
+    fates = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    root = staging_path(spark, "bundle")
+    sinks.commit_bundle(spark, sinks.analysis_tables(fates=fates.limit(1)), root)
+    tables = sinks.analysis_tables(**sinks.split_by_check(rows, F.col("l_discount") > 0.05), fates=fates, nothing=fates.limit(0))
+    sinks.commit_bundle(spark, tables, root, partitions={"kept": ["l_returnflag"]})
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name, df in sinks.read_committed(spark, root).items()]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out.select("name", "n")
+
+
 @query(
     "first_match_lookup",
     "J2 J6 U2",
@@ -191,3 +240,40 @@ def trace_folders(spark, sf_dir):
     return back.groupBy("_f.date", "_f.condition_type").agg(
         F.count(F.lit(1)).alias("n"), F.count("Length").alias("n_y"), rounded(F.max("Length")).alias("top")
     )
+
+
+@query(
+    "folder_source",
+    "S1 S3 S8 S16",
+    f"""
+WITH e AS (SELECT *, '2401' || lpad(CAST(user_id % 7 + 1 AS VARCHAR), 2, '0') AS date FROM events)
+SELECT date, 'rows' AS kind, count(DISTINCT user_id) AS traps, count(*) AS n, count(*) FILTER (WHERE event_id % 17 <> 0) AS n_y,
+  {sql_round('sum(value) FILTER (WHERE event_id % 17 <> 0)', 3)} AS total FROM e WHERE user_id % 11 <> 0 GROUP BY date
+UNION ALL SELECT date, 'missing columns', count(DISTINCT user_id), NULL, NULL, NULL FROM e WHERE user_id % 11 = 0 GROUP BY date
+""",
+)
+def folder_source(spark, sf_dir):
+    """events as a folder for each experiment and trap, some without the wanted column, read through the data source."""
+    k = F.col("user_id")
+    day = F.lpad((k % 7 + 1).cast("string"), 2, "0")
+    rows = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("2401"), day, F.lit("_MDAMB231_WT_Chip1_Experiment3-1100Pa-0V-5ms-frame10")).alias("experiment"),
+        F.concat(F.lit("Trap_"), k.cast("string"), F.lit("_detection")).alias("file"), k.alias("user"),
+        F.col("event_id").alias("Frame"), F.when(F.col("event_id") % 17 != 0, F.col("value").cast("string")).alias("Length"),
+    )
+    root = staging_path(spark, "folders")
+    for part, length in ((rows.filter(F.col("user") % 11 != 0), "Length (um)"), (rows.filter(F.col("user") % 11 == 0), "Width")):
+        part = part.drop("user").withColumnRenamed("Length", length).repartition("experiment", "file")
+        part.write.mode("append").partitionBy("experiment", "file").option("header", "true").csv(root)
+    folder_reader.register(spark)
+    source = spark.read.format("trace_folders").option("path", root).option("columns", "frame=frame_index|Frame,length=Length|Length (um)")
+    date = F.substring("experiment", 1, 6).alias("date")
+    length = F.col("length").try_cast("double")
+    left = source.option("report", "true").load()
+    left = left.groupBy(date).agg(F.max("reason").alias("kind"), F.count_distinct(F.regexp_extract("path", r"Trap_(\d+)", 1)).alias("traps"))
+    read = source.option("report", "false").load().groupBy(date).agg(
+        F.lit("rows").alias("kind"), F.count_distinct("trap_id").alias("traps"), F.count("frame").alias("n"), F.count(length).alias("n_y"),
+        rounded(F.sum(length), 3).alias("total"),
+    )
+    none = {"n": F.lit(None).cast("long"), "n_y": F.lit(None).cast("long"), "total": F.lit(None).cast("double")}
+    return read.unionByName(left.withColumns(none))

@@ -294,6 +294,17 @@ def ensemble_points(spark, sf_dir):
     )
 
 
+#: Held ensemble means of the controls: trace 0 over all of them, traces 1 to 18 by trap position.
+POINTS_OF_ENSEMBLES = (
+    TRACES
+    + f""", sg AS (SELECT *, lead(t) OVER ({PART}) AS t1, lead(y) OVER ({PART}) AS y1, lag(t) OVER ({PART}) AS pt FROM tr WHERE condition = 'ASP'),
+gr AS (SELECT i, 0.0::DOUBLE + i * 8.0::DOUBLE AS g FROM (SELECT unnest(range(CAST(ceil(max(t) / 8.0) AS BIGINT) + 1)) AS i FROM sg)),
+ip AS (SELECT trace_id % 18 + 1 AS trap, i, g, CASE WHEN g <= t OR t1 IS NULL THEN y ELSE y + (y1 - y) / (t1 - t) * (g - t) END AS value FROM sg JOIN gr ON (g >= t AND (g < t1 OR (t1 IS NULL AND g = t))) OR (pt IS NULL AND g < t) OR (t1 IS NULL AND g > t)),
+pt AS (SELECT CAST(coalesce(trap, 0) AS BIGINT) AS trace_id, i AS frame, max(g) AS t, avg(value) AS y FROM ip GROUP BY GROUPING SETS ((i), (trap, i)))
+"""
+)
+
+
 COMPARED = [KV, JEFFREYS, BURGERS, fit.POWER_LAW]
 
 

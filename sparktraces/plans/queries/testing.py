@@ -151,7 +151,8 @@ r AS (SELECT g, d, {rank_sql('', 'g', 'abs(d)')} AS r FROM d),
 t AS (SELECT g, sum(pow(c, 3) - c) AS tie FROM (SELECT g, count(*)::DOUBLE AS c FROM d GROUP BY g, abs(d)) GROUP BY g),
 s AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS w_minus FROM r GROUP BY g)
 , z AS (SELECT s.*, (least(w_plus, w_minus) - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM s JOIN t ON t.g = s.g)
-SELECT g AS l_returnflag, n, {sql_round('w_plus', 1)} AS w_plus, {sql_round('w_minus', 1)} AS w_minus, {sql_round('z')} AS z, {sql_round(normal_p_sql('z'))} AS p FROM z
+SELECT g AS l_returnflag, n, {sql_round('w_plus', 1)} AS w_plus, {sql_round('w_minus', 1)} AS w_minus, {sql_round('z')} AS z, {sql_round(normal_p_sql('z'))} AS p,
+  {sql_round('(SELECT quantile_cont(l_tax * 100 - l_discount * 100, 0.5) FROM lineitem x WHERE x.l_returnflag = z.g)')} AS median_difference FROM z
 """,
 )
 def wilcoxon(spark, sf_dir):
@@ -161,7 +162,7 @@ def wilcoxon(spark, sf_dir):
     out = ranks.wilcoxon_signed_rank(rows, ["l_returnflag"], "a", "b")
     return out.select(
         "l_returnflag", "n", rounded("w_plus", 1).alias("w_plus"), rounded("w_minus", 1).alias("w_minus"), rounded("z").alias("z"),
-        rounded(stats.normal_p("z")).alias("p"),
+        rounded(stats.normal_p("z")).alias("p"), rounded("median_difference").alias("median_difference"),
     )
 
 
@@ -209,7 +210,7 @@ def trend_band(spark, sf_dir):
 # lineitem as a fit table: the price per hundred is an amplitude, the tax an R2 and the discount a time constant.
 FITS = """
 WITH ft AS (SELECT l_orderkey, l_linenumber, l_linestatus AS region, CASE l_returnflag WHEN 'A' THEN '100us' WHEN 'R' THEN '5ms' ELSE 'ASP' END AS arm,
-  l_extendedprice / 100 AS a, l_discount * 300000 AS tau, l_tax * 12.5 AS r2 FROM lineitem),
+  l_extendedprice / 100 AS a, l_discount * 300000 AS tau, l_tax * 12.5 AS r2, l_extendedprice / 100 * (1 - exp(-9000.0::DOUBLE / nullif(l_discount * 300000, 0))) AS i_ref FROM lineitem),
 gt AS (SELECT *, arm <> 'ASP' AS candidate, arm <> 'ASP' AND r2 >= 0.5 AS gate_pass, arm <> 'ASP' AND r2 >= 0.5 AND tau > 20000 AND a >= 100 AS runaway FROM ft),
 gd AS (SELECT *, gate_pass AND NOT runaway AS retained FROM gt)
 """
@@ -225,6 +226,8 @@ def fit_rows(spark, sf_dir):
         (c("l_extendedprice") / 100).alias("a"),
         (c("l_discount") * 300000).alias("tau"),
         (c("l_tax") * 12.5).alias("r2"),
+        # the fitted value at a reference time
+        (c("l_extendedprice") / 100 * (1 - F.exp(F.try_divide(F.lit(-9000.0), c("l_discount") * 300000)))).alias("i_ref"),
     )
     return cohorts.gated(
         rows, member=c("arm") != "ASP", passed=c("r2") >= 0.5, runaway=cohorts.is_runaway(c("tau"), c("a"))
@@ -253,7 +256,7 @@ def cohort_partition(spark, sf_dir):
 
 
 def kinetics_sql() -> str:
-    names = ["a", "tau"]
+    names = ["a", "tau", "i_ref"]
     parts = []
     long = ", lg AS (" + " UNION ALL ".join(
         f"SELECT region, arm, candidate, gate_pass, runaway, retained, '{d}' AS descriptor, {d} AS value FROM gd" for d in names
@@ -264,28 +267,66 @@ def kinetics_sql() -> str:
             parts.append(f'count(*) FILTER (WHERE arm = \'{a}\' AND {flag}) AS "{a}_{c}"')
         for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)):
             parts.append(sql_round(f"quantile_cont(value, {p}) FILTER (WHERE arm = '{a}' AND retained)", 7) + f' AS "{a}_{q}"')
-        parts.append(f'count(*) FILTER (WHERE arm = \'{a}\' AND retained) AS "{a}_n"')
+        parts.append(f'count(value) FILTER (WHERE arm = \'{a}\' AND retained) AS "{a}_n"')
     mw = mw_sql("(SELECT region || '|' || descriptor AS panel, arm, value FROM lg WHERE retained) k", "k.panel", "arm", "value", "100us", "5ms")
     return (
         FITS + long + ", " + mw
         + f", tb AS (SELECT region, descriptor, {', '.join(parts)} FROM lg GROUP BY ALL)"
-        + f" SELECT tb.*, {sql_round('u', 1)} AS u, {sql_round('z')} AS z, {sql_round('cliffs_delta')} AS cliffs_delta FROM tb JOIN mw ON mw.panel = region || '|' || descriptor"
+        + f" SELECT tb.*, {sql_round('u', 1)} AS u, {sql_round('z')} AS z, {sql_round('cliffs_delta')} AS cliffs_delta, {sql_round(normal_p_sql('z'))} AS p FROM tb JOIN mw ON mw.panel = region || '|' || descriptor"
     )
 
 
 @query("kinetics_table", "T8", kinetics_sql())
 def kinetics_table(spark, sf_dir):
-    out = stats.kinetics_table(fit_rows(spark, sf_dir), ["a", "tau"], ["region"], "arm", "100us", "5ms")
+    out = stats.kinetics_table(fit_rows(spark, sf_dir), ["a", "tau", "i_ref"], ["region"], "arm", "100us", "5ms")
     quart = [f"{a}_{q}" for a in ("100us", "5ms") for q in ("q25", "median", "q75")]
     plain = ["region", "descriptor"] + [
         f"{a}_{c}" for a in ("100us", "5ms") for c in ("candidates", "gate_pass", "runaway", "retained", "n")
     ]
     return out.select(
         *plain, *[rounded(q, 7).alias(q) for q in quart],
-        rounded("u", 1).alias("u"), rounded("z").alias("z"), rounded("cliffs_delta").alias("cliffs_delta"),
+        rounded("u", 1).alias("u"), rounded("z").alias("z"), rounded("cliffs_delta").alias("cliffs_delta"), rounded(stats.normal_p("z")).alias("p"),
     )
 
 
+# Box summaries of each (priority, status); status pairs inside a priority, neighbouring priorities of a status.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+ADJACENT = list(zip(PRIORITIES, PRIORITIES[1:]))
+
+
+def brackets_sql() -> str:
+    sides = [f"SELECT o_orderpriority || ' F vs P' AS panel, CASE o_orderstatus WHEN 'F' THEN 'first' ELSE 'second' END AS side, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'P')"]
+    for a, b in ADJACENT:
+        sides.append(f"SELECT o_orderstatus || ' {a} vs {b}', CASE o_orderpriority WHEN '{a}' THEN 'first' ELSE 'second' END, o_totalprice FROM orders WHERE o_orderpriority IN ('{a}', '{b}')")
+    p = sql_round(normal_p_sql("CASE WHEN n1 >= 3 AND n2 >= 3 THEN z END"))
+    return (
+        "WITH sd AS (" + " UNION ALL ".join(sides) + "), " + mw_sql("sd", "panel", "side", "v", "first", "second")
+        + f", bx AS (SELECT o_orderpriority || ' ' || o_orderstatus AS panel, count(*) AS n1, quantile_cont(o_totalprice, 0.25) AS q25, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q75 FROM orders GROUP BY ALL)"
+        + f" SELECT panel, n1, NULL::BIGINT AS n2, {sql_round('q25', 4)} AS q25, {sql_round('median', 4)} AS median, {sql_round('q75', 4)} AS q75, NULL::DOUBLE AS p, NULL::VARCHAR AS stars, NULL::DOUBLE AS cliffs_delta FROM bx"
+        + f" UNION ALL SELECT panel, n1, n2, NULL, NULL, NULL, p, {STARS_SQL}, cliffs_delta FROM (SELECT panel, n1, n2, {p} AS p, CASE WHEN n1 >= 3 AND n2 >= 3 THEN {sql_round('cliffs_delta')} END AS cliffs_delta FROM mw WHERE n1 > 0 AND n2 > 0)"
+    )
+
+
+@query("box_brackets", "T14 T3 A10 A37", brackets_sql())
+def box_brackets(spark, sf_dir):
+    """Boxes with brackets by fate and between neighbours; a bracket with fewer than three rows on a side says nothing."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice")
+    boxes = quantiles(rows, ["o_orderpriority", "o_orderstatus"], "o_totalprice", {"q25": 0.25, "median": 0.5, "q75": 0.75}, count="n1")
+    fates = stats.bracket_tests(rows, ["o_orderpriority"], "o_orderstatus", "o_totalprice", [("F", "P")], min_n=3).withColumnRenamed("o_orderpriority", "of")
+    near = stats.bracket_tests(rows, ["o_orderstatus"], "o_orderpriority", "o_totalprice", ADJACENT, min_n=3).withColumnRenamed("o_orderstatus", "of")
+    none = lambda kind: F.lit(None).cast(kind)
+    boxes = boxes.select(
+        F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("panel"), "n1", none("long").alias("n2"),
+        *[rounded(q, 4).alias(q) for q in ("q25", "median", "q75")], none("double").alias("p"), none("string").alias("stars"), none("double").alias("cliffs_delta"),
+    )
+    both = fates.unionByName(near).filter("n1 > 0 and n2 > 0").withColumn("p", rounded(stats.normal_p("z")))
+    delta = F.when((F.col("n1") >= 3) & (F.col("n2") >= 3), rounded("cliffs_delta")).alias("cliffs_delta")
+    both = both.select(
+        F.concat_ws(" ", "of", "pair").alias("panel"), "n1", "n2", *[none("double").alias(q) for q in ("q25", "median", "q75")], "p", stars(F.col("p")).alias("stars"), delta,
+    )
+    return boxes.unionByName(both)
+
+
 SWEEP = [
     ("position_all", "l_linenumber", "a", "candidate"),
     ("tau_retained", "tau", "a", "retained"),

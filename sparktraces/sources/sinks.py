@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktraces.operators.sequence import attach, without_chunks
@@ -56,6 +58,63 @@ def write_bundle(tables: Mapping[str, DataFrame], root: str) -> None:
             ordered(df).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+MANIFEST = "current.json"
+
+
+def _system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def committed(spark: SparkSession, root: str) -> dict[str, str]:
+    """Name -> path of the tables of the last commit under ``root``; none before the first one."""
+    system, manifest = _system(spark, f"{root}/{MANIFEST}")
+    if not system.exists(manifest):
+        return {}
+    row = spark.read.json(f"{root}/{MANIFEST}").first()
+    return {name: f"{root}/{row['version']}/{name}" for name in row["tables"]}
+
+
+def commit_bundle(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, *, partitions: Mapping[str, Sequence[str]] | None = None) -> str:
+    """Writes all tables, then shows them to readers at once; gives the version.
+
+    Each commit is a folder of its own, so a job that fails leaves the last one as it was. The manifest, one small file, is
+    replaced by a rename when every table is there. Versions that it no longer names are deleted. Empty tables are left out.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    written = []
+    for name, df in tables.items():
+        if df.isEmpty():
+            continue
+        writer = ordered(df).write
+        by = (partitions or {}).get(name)
+        (writer.partitionBy(*by) if by else writer).parquet(f"{root}/{version}/{name}")
+        written.append(name)
+    system, folder = _system(spark, root)
+    ready = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{MANIFEST}-{version}")
+    out = system.create(ready, True)
+    out.write(bytearray((json.dumps({"version": version, "tables": written}) + "\n").encode()))
+    out.close()
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder, MANIFEST)
+    system.delete(target, False)
+    system.rename(ready, target)
+    for found in system.listStatus(folder):
+        name = found.getPath().getName()
+        if name.startswith("v-") and name != version:
+            system.delete(found.getPath(), True)
+    return version
+
+
+def read_committed(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the last commit."""
+    return {name: spark.read.parquet(path) for name, path in committed(spark, root).items()}
+
+
+def analysis_tables(**tables: DataFrame) -> dict[str, DataFrame]:
+    """The analysis tables of a run (kinetics, sweep, fates, ...) for `commit_bundle`, without layout columns."""
+    return {name: without_chunks(df) for name, df in tables.items()}
+
+
 def up_to_event(df: DataFrame, event: str, *, frame: str = "frame") -> DataFrame:
     """The filtered detection table: rows up to and including the event row."""
     return df.filter(F.col(frame) <= F.coalesce(F.col(event), F.col(frame)))

@@ -1,20 +1,33 @@
-"""Incremental versions of the alarms and of the windowed summaries."""
+"""Incremental versions of the alarms and of the windowed summaries.
+
+Rows may come in any order within the lateness that the watermark allows. A stream over a source that has an end is closed with
+`closing`: a mark behind the last row moves the watermark past everything, so the last rows and windows come out, too.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import datetime as dt
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from sparktraces.operators.events import IQR_TO_SIGMA, Settings
 from sparktraces.operators.stage import staging_path
 
+#: What is kept of a trace whose rows are done with: rows seen, last baseline values, drift sum, alarms already raised.
 STATE = "seen LONG, recent ARRAY<DOUBLE>, total DOUBLE, fired ARRAY<STRING>"
+#: Rows that wait for the watermark: event time in microseconds and value.
+WAITING = "t LONG, y DOUBLE"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Event time of the row that closes a stream, which Arrow and pandas can hold; rows must be a century older.
+END = dt.datetime(2250, 1, 1)
+CENTURY = dt.timedelta(days=36_500)
 
 
 def advance(state: tuple, values: np.ndarray, s: Settings) -> tuple[tuple, list[tuple[int, str]]]:
@@ -24,94 +37,192 @@ def advance(state: tuple, values: np.ndarray, s: Settings) -> tuple[tuple, list[
     a fixed handful of numbers per trace, whatever its length.
     """
     seen, recent, total, fired = state
-    recent, fired, out = list(recent), list(fired), []
-    for v in values:
-        if seen >= s.warm_up:
-            q25, mu, q75 = np.percentile(recent[: s.baseline], [25, 50, 75])
-            sigma = max(min((q75 - q25) * IQR_TO_SIGMA, s.max_sigma), s.noise_floor)
-            if v - mu > s.spike_sigma * sigma and "spike" not in fired:
-                fired.append("spike")
-                out.append((seen, "spike"))
-            dev = v - mu - max(s.min_drift, s.drift_factor * sigma)
-            total = total + dev if dev > 0 else 0.0
-            if total > max(s.min_sum, s.sum_factor * sigma) and "drift" not in fired:
-                fired.append("drift")
-                out.append((seen, "drift"))
-        recent = [*recent, float(v)][-(s.baseline + s.lag):]
-        seen += 1
-    return (seen, recent, total, fired), out
+    keep = s.baseline + s.lag
+    line = np.concatenate((np.asarray(recent, float), np.asarray(values, float)))
+    frames = seen + np.arange(len(values))
+    warm = frames >= s.warm_up
+    out: list[tuple[int, str]] = []
+    if warm.any():
+        # the baseline of a row ends ``lag`` rows before it
+        at = len(recent) + np.flatnonzero(warm) - keep
+        base = np.lib.stride_tricks.sliding_window_view(line, s.baseline)[at]
+        q25, mu, q75 = np.percentile(base, [25, 50, 75], axis=1)
+        sigma = np.maximum(np.minimum((q75 - q25) * IQR_TO_SIGMA, s.max_sigma), s.noise_floor)
+        rise = line[len(recent):][warm] - mu
+        dev = rise - np.maximum(s.min_drift, s.drift_factor * sigma)
+        # a sum that starts again after every row without drift
+        up = np.where(dev > 0, dev, 0.0)
+        run = np.cumsum(dev <= 0)
+        sums = np.cumsum(up)
+        started = np.concatenate(([0.0], sums))[np.searchsorted(run, run, "left")]
+        drift = sums - started + np.where(run == 0, total, 0.0)
+        total = float(drift[-1])
+        found = {"spike": rise > s.spike_sigma * sigma, "drift": drift > np.maximum(s.min_sum, s.sum_factor * sigma)}
+        out = [(int(frames[warm][hit.argmax()]), kind) for kind, hit in found.items() if kind not in fired and hit.any()]
+    return (seen + len(values), line[-keep:].tolist(), total, [*fired, *(kind for _, kind in out)]), sorted(out)
+
+
+class AlarmProcessor(StatefulProcessor):
+    """Holds the rows of a trace until the watermark has passed them, then feeds them to the alarms in time order.
+
+    A trace without rows for ``idle_ms`` is forgotten, if that is given.
+    """
+
+    def __init__(self, key: str, settings: Settings, idle_ms: int | None) -> None:
+        self.key, self.settings, self.idle_ms = key, settings, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.alarm = handle.getValueState("alarm", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            if key[0] is None or not len(batch):
+                continue
+            times = batch["at_us"].to_numpy()
+            self.waiting.appendList(list(zip(times.tolist(), batch["value_y"].tolist())))
+            first = int(times.min()) if first is None else min(first, int(times.min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready, left = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
+        if not ready and not left:
+            # the idle timer: nothing has come since
+            if self.idle_ms is not None:
+                self.alarm.clear()
+            return
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+            if self.idle_ms is not None:
+                self.handle.registerTimer(ready[-1][0] // 1000 + self.idle_ms)
+        if not ready:
+            return
+        current = self.alarm.get() if self.alarm.exists() else (0, [], 0.0, [])
+        new, found = advance(tuple(current), np.array([y for _, y in ready], float), self.settings)
+        self.alarm.update(new)
+        if found:
+            yield pd.DataFrame({self.key: [key[0]] * len(found), "at_frame": [f for f, _ in found], "kind": [k for _, k in found]})
+
+    def close(self) -> None:
+        pass
 
 
 def online_alarms(
-    stream: DataFrame, key: str, t: str, y: str, *, settings: Settings = Settings(), late: str = "10 minutes"
+    stream: DataFrame, key: str, t: str, y: str, *, settings: Settings = Settings(), late: str = "10 minutes", idle_ms: int | None = None
 ) -> DataFrame:
     """First spike and drift alarm per trace of a stream: (key, at_frame, kind).
 
-    Rows of a micro-batch are taken in time order.  The state of a trace, a handful of numbers, is kept for
-    as long as the stream runs, so a pause changes nothing.  Traces shorter than the warm-up raise nothing.
+    Rows that are no later than ``late`` count in the order of their event times, however the batches cut them; later ones are
+    left out. Rows without a key or value are left out. Traces shorter than the warm-up raise nothing.
     """
     key_type = stream.schema[key].dataType.simpleString()
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
-        current = state.get if state.exists else (0, [], 0.0, [])
-        new, found = advance(current, rows["_y"].to_numpy(), settings)
-        state.update(new)
-        if found:
-            yield pd.DataFrame({key: [group[0]] * len(found), "at_frame": [f for f, _ in found], "kind": [k for _, k in found]})
-
-    return (
-        stream.select(key, F.col(t).alias("_t"), F.col(y).alias("_y"))
-        .withWatermark("_t", late)
-        .groupBy(key)
-        .applyInPandasWithState(
-            step, f"{key} {key_type}, at_frame LONG, kind STRING", STATE, "append", GroupStateTimeout.NoTimeout
-        )
+    rows = stream.select(key, F.col(t).alias("at_t"), F.unix_micros(t).alias("at_us"), F.col(y).cast("double").alias("value_y"))
+    marked = rows.withWatermark("at_t", late).filter(F.col("value_y").isNotNull() | F.col(key).isNull())
+    return marked.groupBy(key).transformWithStateInPandas(
+        AlarmProcessor(key, settings, idle_ms), f"{key} {key_type}, at_frame LONG, kind STRING", "append", "eventtime"
     )
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream of its files; ``path`` is a folder of files or one file."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
         return reader.parquet(path)
     folder, _, name = path.rpartition("/")
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
+def replayed(rows: DataFrame, arrival: Column, batches: int) -> DataFrame:
+    """The rows as a stream of ``batches`` micro-batches in the order of ``arrival``.
+
+    Each batch is one file; the files get modification times in the order of their numbers, which the file source goes by.
+    """
+    spark = rows.sparkSession
+    path = staging_path(spark, "replay")
+    rows.withColumn("_arrival", arrival).repartitionByRange(batches, "_arrival").drop("_arrival").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for i, name in enumerate(names):
+        system.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), 1_600_000_000_000 + 60_000 * i, -1)
+    return file_stream(spark, path, rows.schema, files_per_batch=1)
+
+
+def closing(stream: DataFrame, t: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream and, once the second result is called, a last row: all NULL but for an event time behind all others."""
+    spark = stream.sparkSession
+    path = staging_path(spark, "end")
+    columns = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == t else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    mark = spark.range(1).select(*columns)
+    mark.limit(0).coalesce(1).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)), lambda: mark.write.mode("append").parquet(path)
+
+
+def before_end(windows: DataFrame) -> DataFrame:
+    """Window results without the window of the closing mark."""
+    return windows.filter(F.col("window.start") < F.lit(END - CENTURY))
+
+
 def window_summary(
     stream: DataFrame, groups: Sequence[str], t: str, y: str, *, length: str, slide: str | None = None, late: str = "10 minutes"
 ) -> DataFrame:
     """Count, mean and maximum per tumbling (or sliding) window and group; late rows past the watermark are left out."""
     window = F.window(t, length, slide) if slide else F.window(t, length)
-    return (
-        stream.withWatermark(t, late)
-        .groupBy(window.alias("window"), *groups)
-        .agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.max(y).alias("peak"))
-    )
+    return _summary(stream.withWatermark(t, late), window, groups, y)
 
 
 def session_summary(stream: DataFrame, groups: Sequence[str], t: str, y: str, *, gap: str, late: str = "10 minutes") -> DataFrame:
-    """The same per session: runs of rows less than ``gap`` apart."""
-    return (
-        stream.withWatermark(t, late)
-        .groupBy(F.session_window(t, gap).alias("window"), *groups)
-        .agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.max(y).alias("peak"))
-    )
+    """The same per session: runs of rows less than ``gap`` apart. A row that comes late joins the sessions on both sides of it."""
+    return _summary(stream.withWatermark(t, late), F.session_window(t, gap), groups, y)
+
+
+def _summary(stream: DataFrame, window: Column, groups: Sequence[str], y: str) -> DataFrame:
+    return stream.groupBy(window.alias("window"), *groups).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.max(y).alias("peak"))
 
 
-def drain(result: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what its source holds now and returns the finalised rows."""
+@contextmanager
+def _state_store(spark: SparkSession):
+    """The state store that lists and timers need, for the queries that start inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def drain(result: DataFrame, name: str, *, close: Callable[[], None] | None = None) -> DataFrame:
+    """Runs a stream over what its source holds now and returns the finalised rows; ``close`` is that of `closing`."""
     spark = result.sparkSession
     root = staging_path(spark, name)
-    run = (
-        result.writeStream.format("parquet")
-        .option("path", f"{root}/rows")
-        .option("checkpointLocation", f"{root}/progress")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+
+    def run() -> None:
+        started = (
+            result.writeStream.format("parquet")
+            .option("path", f"{root}/rows")
+            .option("checkpointLocation", f"{root}/progress")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        started.awaitTermination()
+
+    with _state_store(spark):
+        run()
+        if close is not None:
+            close()
+            run()
     return spark.read.schema(result.schema).parquet(f"{root}/rows")

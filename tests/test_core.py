@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparktraces.operators import smoothing
 from sparktraces.operators.quantiles import quantiles
-from sparktraces.operators.ranks import average_ranks, two_sample_ranks
+from sparktraces.operators import ensembles, stats
+from sparktraces.operators.ranks import average_ranks, rank_table, ranged, two_sample_ranks
 from sparktraces.operators.sequence import number_rows, renumber, rolling, running_sum, with_summary
 from sparktraces.plans.bindings import traces
 
@@ -86,21 +87,56 @@ def test_outliers_match_padded_medians(rows):
         assert (keep == g.inlier).all()
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_quantiles_are_exact(spark, sf_dir, accuracy):
+@pytest.mark.parametrize("rows", [50, 100_000])
+def test_quantiles_are_exact(spark, sf_dir, rows):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    got = quantiles(df, ["l_returnflag"], "l_extendedprice", {"a": 0.01, "b": 0.5, "c": 0.999}, accuracy=accuracy)
+    got = quantiles(df, ["l_returnflag"], "l_extendedprice", {"a": 0.01, "b": 0.5, "c": 0.999}, ordered_rows=rows)
     want = df.toPandas().groupby("l_returnflag").l_extendedprice.quantile([0.01, 0.5, 0.999]).unstack()
     assert np.allclose(got.toPandas().set_index("l_returnflag").sort_index(), want.sort_index())
 
 
 def test_quantiles_of_ties(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
-    got = quantiles(df, ["g"], "v", {"q": 0.25, "m": 0.5}, accuracy=20).toPandas()
+    got = quantiles(df, ["g"], "v", {"q": 0.25, "m": 0.5}, ordered_rows=40).toPandas()
     want = df.toPandas().v.quantile([0.25, 0.5])
     assert np.allclose(got[["q", "m"]].iloc[0], want)
 
 
+def test_quantiles_of_heavy_tails(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate((np.exp(rng.standard_normal(3000) * 8), [-1e300, 1e300, 5e-324], np.full(500, 2.5)))
+    groups = ["a"] * 3000 + ["b"] * (len(values) - 3000)
+    pdf = pd.DataFrame({"g": groups, "v": rng.permutation(values)})
+    got = quantiles(spark.createDataFrame(pdf), ["g"], "v", {"lo": 0.0, "q": 0.25, "m": 0.5, "hi": 1.0}, count="n", ordered_rows=60).toPandas().set_index("g")
+    for g, rows in pdf.groupby("g"):
+        assert got.loc[g, "n"] == len(rows)
+        assert np.allclose(got.loc[g, ["lo", "q", "m", "hi"]].astype(float), rows.v.quantile([0, 0.25, 0.5, 1]), rtol=1e-9)
+
+
+def test_one_extreme_value_leaves_the_buckets_even(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate((rng.random(4000), [1e12, -1e12]))
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": values})).repartition(4)
+    placed = ranged(df, ["g", "v"], len(values), bucket_rows=400)
+    sizes = placed.groupBy("_bucket").count().toPandas()["count"]
+    assert sizes.max() < 2.5 * len(values) / len(sizes)
+    bounds = placed.groupBy("_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).toPandas().sort_values("_bucket")
+    assert (bounds.lo.to_numpy()[1:] > bounds.hi.to_numpy()[:-1]).all()
+    got = rank_table(df, ["g"], "v", bucket_rows=400).toPandas().sort_values("v")
+    assert np.allclose(got["rank"], pd.Series(values).sort_values().rank()) and (got.n == len(values)).all()
+
+
+def test_ranks_of_many_groups_over_buckets(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"g": rng.choice([1, 2, 2, 2, 2, 2], 3000), "v": np.round(np.exp(3 * rng.standard_normal(3000)), 1)})
+    got = average_ranks(spark.createDataFrame(pdf), ["g"], "v").toPandas()
+    many = rank_table(spark.createDataFrame(pdf), ["g"], "v", bucket_rows=100).toPandas().set_index(["g", "v"])
+    pdf["rank"] = pdf.groupby("g").v.rank()
+    want = pdf.drop_duplicates(["g", "v"]).set_index(["g", "v"])["rank"]
+    assert np.allclose(many["rank"].sort_index(), want.sort_index())
+    assert np.allclose(got.drop_duplicates(["g", "v"]).set_index(["g", "v"])["rank"].sort_index(), want.sort_index())
+
+
 def test_ranks_and_delta_match_pairs(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"arm": rng.choice(["a", "b"], 400), "v": rng.integers(0, 40, 400).astype(float), "p": 1})
@@ -112,3 +148,32 @@ def test_ranks_and_delta_match_pairs(spark):
     signs = np.sign(a[:, None] - b[None, :])
     assert np.isclose(got.cliffs_delta, signs.mean())
     assert np.isclose(got.u, (signs > 0).sum() + 0.5 * (signs == 0).sum())
+
+
+def test_matrix_ranks_only_complete_pairs(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(np.round(rng.standard_normal((300, 4)) * 3), columns=list("abcd"))
+    pdf["g"] = rng.choice(["u", "v"], 300)
+    pdf.loc[rng.random(300) < 0.2, "b"] = np.nan
+    pdf.loc[pdf.b.isna() | (rng.random(300) < 0.1), "c"] = np.nan
+    rows = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, g string")
+    got = stats.spearman_matrix(rows, list("abcd"), ["g"]).toPandas().set_index(["g", "x_name", "y_name"])
+    for g, part in pdf.groupby("g"):
+        for i, x in enumerate("abcd"):
+            for y in "abcd"[i:]:
+                both = part[[x, y]].dropna() if x != y else part[[x]].dropna()
+                want = both[x].rank().corr(both[y].rank())
+                assert got.loc[(g, x, y), "n"] == len(both) and np.isclose(got.loc[(g, x, y), "rho"], want)
+
+
+def test_levels_merge_to_the_same_moments(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame([(k, f"a{k % 2}", f"b{k % 3}", i, float(i), rng.standard_normal() + 100) for k in range(12) for i in range(5) if k != 4 or i < 2], columns=["k", "a", "b", "i", "grid", "value"])
+    got = ensembles.level_ensembles(spark.createDataFrame(pdf), ["k"], ["a", "b"], [[], ["a"], ["a", "b"]], share=0.0).toPandas()
+    for level in ([], ["a"], ["a", "b"]):
+        for key, part in pdf.groupby([*level, "i"]):
+            key = dict(zip([*level, "i"], key))
+            row = got[(got.a == key.get("a", "*")) & (got.b == key.get("b", "*")) & (got.i == key["i"])]
+            assert len(row) == 1 and row.n.iloc[0] == len(part)
+            assert np.isclose(row["mean"].iloc[0], part.value.mean()) and np.isclose(row.sd.iloc[0], part.value.std(ddof=0), atol=1e-7)
+    assert set(got[(got.a == "*")].traces) == {12}

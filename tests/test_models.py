@@ -137,3 +137,36 @@ def test_folder_grammar(spark):
     assert rows[0].f.duration_ms == 5.0 and rows[0].f.duration_label == "5ms" and rows[0].f.condition_type == "EP"
     assert rows[1].f.duration_ms == 0.1 and rows[1].f.duration_label == "100us" and rows[1].f.condition_type == "ASP"
     assert rows[2].f is None
+
+
+def test_long_traces_fit_as_short_ones(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    t = np.arange(80.0)
+    parts = []
+    for k, n in enumerate((80, 80, 20)):
+        y = jeffreys(t[:n], 3000.0 + 500 * k, 5000.0, 15000.0) + rng.standard_normal(n) * 0.02
+        parts.append(pd.DataFrame({"trace_id": k, "frame": np.arange(n), "t": t[:n], "y": y}))
+    points = spark.createDataFrame(pd.concat(parts))
+    models = [fit.LINE, fit.POWER_LAW, *fit.viscoelastic_models(R * DP, C)]
+    order = ["trace_id", "model"]
+    together = fit.fitted(points, ["trace_id"], models).toPandas().set_index(order).sort_index()
+    monkeypatch.setattr(fit, "CHUNK_ROWS", 40)
+    apart = fit.fitted(points, ["trace_id"], models).toPandas().set_index(order).sort_index()
+    assert list(together.index) == list(apart.index) and len(together) == 15
+    for column in ("s1", "c1", "c2", "c3", "rss", "dw", "r2", "aicc", "aic"):
+        assert np.allclose(together[column], apart[column], rtol=1e-6, atol=1e-9), column
+
+
+def test_failed_fits_give_no_row(spark):
+    rows = [(1, i, 2.0, float(i)) for i in range(20)] + [(2, i, float(i), 0.0) for i in range(20)] + [(3, 0, 0.0, 1.0)]
+    points = spark.createDataFrame(rows, "trace_id int, frame int, t double, y double")
+    got = fit.fitted(points, ["trace_id"], [fit.LINE, fit.POWER_LAW]).toPandas()
+    assert set(got.trace_id) == {2} and set(got.model) == {"Linear", "Power-Law"} and (got.rss < 1e-12).all()
+    assert fit.fitted(points.limit(0), ["trace_id"], [fit.LINE]).collect() == []
+
+
+def test_models_by_kind(spark):
+    rows = [(1, kind, i, float(i), 2.0 * i + 1) for kind in ("a", "b", "c") for i in range(20)]
+    points = spark.createDataFrame(rows, "trace_id int, kind string, frame int, t double, y double")
+    got = fit.fitted(points, ["trace_id", "kind"], {"a": [fit.LINE], "b": [fit.POWER_LAW, fit.LINE]}, by="kind").toPandas()
+    assert sorted(zip(got.kind, got.model)) == [("a", "Linear"), ("b", "Linear"), ("b", "Power-Law")]
