@@ -582,6 +582,31 @@ def _fitted_in_parts(
     return out
 
 
+def starting_values(points: DataFrame, keys: Sequence[str], radius_pressure: float, c: float) -> DataFrame:
+    """(keys, e, eta1, eta2): rough parameters of a creep trace, inside their bounds.
+
+    e from the largest value, eta2 from the slope of the last third, eta1 from the time nearest 63 % of the largest value.
+    A flow below eta1 is taken as twice eta1.
+    """
+    sized = with_summary(points, keys, F.count(F.lit(1)).alias("_n"))
+    reached = smoothing.time_to_fraction(sized, keys, "t", "y").select(*keys, "peak", "t_fraction")
+    late = F.col("frame") >= F.col("_n") - F.greatest(F.lit(5), F.floor(F.col("_n") / 3))
+    slope = F.regr_slope(F.when(late, F.col("y")), F.when(late, F.col("t")))
+    enough = (F.count(F.when(late, F.col("t"))) > 2) & (F.max(F.when(late, F.col("t"))) > F.min(F.when(late, F.col("t"))))
+    slopes = sized.groupBy(*keys).agg(F.when(enough, slope).alias("_slope"))
+    raw_e = radius_pressure / (c * F.col("peak"))
+    eta1 = F.when(F.col("t_fraction") > 0, F.col("t_fraction") * c * raw_e / (3 * math.pi)).otherwise(5000.0)
+    eta2 = F.when(F.col("_slope") > 0.01, radius_pressure / (3 * math.pi * F.col("_slope"))).otherwise(15000.0)
+
+    def inside(value: Column, bounds: tuple[float, float]) -> Column:
+        return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), value))
+
+    out = reached.join(slopes, list(keys)).select(
+        *keys, inside(raw_e, E_BOUNDS).alias("e"), inside(eta1, ETA_BOUNDS).alias("eta1"), inside(eta2, FLOW_BOUNDS).alias("eta2")
+    )
+    return out.withColumn("eta2", F.when(F.col("eta2") < F.col("eta1"), 2 * F.col("eta1")).otherwise(F.col("eta2")))
+
+
 def near_bound(value: Column, lo: float, hi: float, *, margin: float = BOUND_MARGIN) -> Column:
     """Within ``margin`` of the log range of a bound, or not a number."""
     position = F.ln(value / lo) / math.log(hi / lo)
