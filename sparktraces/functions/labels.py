@@ -290,6 +290,16 @@ def remap(label: Column, mapping: DataFrame | Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, label), label)
 
 
+def remap_by_experiment(df: DataFrame, mapping: DataFrame, experiment: str, label: str) -> DataFrame:
+    """Labels renamed by the rows (experiment, label, canonical) of ``mapping``; without a row a label stays as it is.
+
+    A label with several rows takes the least of their names.
+    """
+    named = mapping.groupBy(F.col(experiment).alias("_e"), F.col(label).alias("_l")).agg(F.min("canonical").alias("_to"))
+    same = F.col(experiment).eqNullSafe(F.col("_e")) & (F.col(label) == F.col("_l"))
+    return df.join(named, same, "left").withColumn(label, F.coalesce("_to", F.col(label))).drop("_e", "_l", "_to")
+
+
 def reduce_labels(df: DataFrame, label: str, *, sep: str = "_", out: str = "short_label") -> DataFrame:
     """Distinct labels with only the parts that vary across the set.
 

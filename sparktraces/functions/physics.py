@@ -114,6 +114,16 @@ def pixel_sizes(count: Column, scale: Column) -> dict[str, Column]:
     return {"area_um2": area, "linear_um": F.sqrt(count) * scale, "volume_um3": area * F.sqrt(area)}
 
 
+def first_scale(scale: Column, frame: Column, default: float) -> Column:
+    """Aggregate: the pixel scale of a trace's first row, or the default where that row has none."""
+    return F.coalesce(F.min_by(scale, frame), F.lit(default))
+
+
+def region_area(count: Column | None, legacy: Column | None, scale: Column) -> Column | None:
+    """Area of a region from its pixel count, from the older area column, or None where a table has neither."""
+    return count * scale * scale if count is not None else legacy
+
+
 def sphere_volume(area: Column) -> Column:
     a = F.greatest(area, F.lit(0.0))
     return F.lit(4 / (3 * math.sqrt(math.pi))) * (a * F.sqrt(a))

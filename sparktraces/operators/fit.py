@@ -113,6 +113,8 @@ def viscoelastic_models(radius_pressure: float, c: float) -> list[Model]:
 
 LINE = Model("Linear", "line", 2, (1, 2), lambda a, b: [ABSENT, (-FREE, FREE), (-FREE, FREE)])
 POWER_LAW = Model("Power-Law", "power", 3, (0, 2), lambda a, b: [POSITIVE, ABSENT, (-FREE, FREE)], floored=(0,))
+#: A rise from an offset, with a bounded amplitude and a free base.
+EXPONENTIAL = Model("Exponential", "rise", 3, (0, 2), lambda a, b: [POSITIVE, ABSENT, (-FREE, FREE)], floored=(0,))
 MONO = Model("Mono", "rise", 2, (0,), lambda a, b: [POSITIVE, ABSENT, ABSENT], floored=(0,))
 BI = Model("Bi", "two_rises", 4, (0, 1), lambda a, b: [POSITIVE, POSITIVE, ABSENT], floored=(0, 1))
 
@@ -370,7 +372,7 @@ def aic(rss: Column, n: Column, k: Column) -> Column:
 
 
 # Parameters counted per model.
-N_PARAMS = {"Linear": 2, "Power-Law": 3, "Kelvin-Voigt": 2, "Jeffreys": 3, "Burgers": 4, "Mono": 2, "Bi": 4}
+N_PARAMS = {"Linear": 2, "Power-Law": 3, "Kelvin-Voigt": 2, "Jeffreys": 3, "Burgers": 4, "Mono": 2, "Bi": 4, "Exponential": 3}
 
 
 def assess(points: DataFrame, keys: Sequence[str], fits: DataFrame) -> DataFrame:

@@ -149,8 +149,10 @@ def axis_limits(extents: DataFrame, groups: Sequence[str], *, fraction: float =
 
 
 def matrix(df: DataFrame, row: str, column: str, values: Sequence[int], value: str, *, prefix: str = "c") -> DataFrame:
-    """Mean per (row, column value) laid out wide, one column per listed value."""
-    return df.groupBy(row).agg(*[F.avg(F.when(F.col(column) == v, F.col(value))).alias(f"{prefix}{v}") for v in values])
+    """Mean per (row, column value) laid out wide, one column per listed value, and ``outside``: rows under other values."""
+    listed = F.coalesce(F.col(column).isin(*values), F.lit(False))
+    cells = [F.avg(F.when(F.col(column) == v, F.col(value))).alias(f"{prefix}{v}") for v in values]
+    return df.groupBy(row).agg(*cells, F.count_if(~listed).alias("outside"))
 
 
 def last_before_marker(df: DataFrame, keys: Sequence[str], marker: str, columns: Sequence[str], *, rows: int = 10, n_rows: str, frame: str = "frame") -> DataFrame:

@@ -44,6 +44,7 @@ BOXES = {
     "Burgers": (RISE_BOX, FLOW_BOX, SPRING_BOX),
     "Power-Law": (OPEN, ZERO, ANY),
     "Mono": (OPEN, ZERO, ZERO),
+    "Exponential": (OPEN, ZERO, ANY),
     "Bi": (OPEN, OPEN, ZERO),
 }
 
@@ -393,3 +394,53 @@ def viscoelastic_selection(spark, sf_dir):
 def rise_selection(spark, sf_dir):
     out = fit.fit_rises(rises_of(spark, sf_dir), KEYS)
     return out.select("trace_id", "model", *[rounded(c, 3).alias(c) for c in ("amplitude", "tau", "r2", "aicc")], "r2_flag")
+
+
+SIX = [KV, JEFFREYS, BURGERS, fit.POWER_LAW, fit.EXPONENTIAL]
+
+
+@query(
+    "six_models",
+    "G19 G20 G15",
+    POINTS
+    + ", ps AS (SELECT pt.* FROM pt WHERE trace_id % 3 = 0)"
+    + "".join(fit_sql(f"m{i}", "ps", m) + assess_sql(f"m{i}", "ps", f"m{i}fit", m.basis) for i, m in enumerate(SIX))
+    + ", lfit AS (SELECT trace_id, 'Linear' AS model, 1.0::DOUBLE AS s1, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS c1, regr_slope(y, t) AS c2, regr_intercept(y, t) AS c3 FROM ps GROUP BY trace_id)"
+    + assess_sql("l", "ps", "lfit", "line")
+    + ", al AS (SELECT *, 0 AS o FROM la" + "".join(f" UNION ALL SELECT *, {i + 1} FROM m{i}a" for i in range(len(SIX))) + "),"
+    + f" w AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY floor(r2 * 1e6 + 0.5) DESC, o) AS by_r2, row_number() OVER (PARTITION BY trace_id ORDER BY floor(aic * 1e3 + 0.5), o) AS by_aic FROM al)"
+    + f" SELECT trace_id, 'control' AS phase, model, {sql_round('r2', 4)} AS r2, {sql_round('aic', 2)} AS aic, by_r2 = 1 AS best_r2, by_aic = 1 AS best_aic FROM w",
+)
+def six_models(spark, sf_dir):
+    """Six models of each control, compared by R2 and by AIC; traces with a pulse are skipped."""
+    points = points_of(spark, sf_dir).filter(F.col("trace_id") % 3 == 0)
+    scored = fit.fitted(points, KEYS, [fit.LINE, *SIX])
+    order = ["Linear", *(m.name for m in SIX)]
+    # scores equal to the digits that two engines share are ties, which go to the model listed first
+    shared = scored.withColumn("_r2", F.floor(F.col("r2") * 1e6 + 0.5)).withColumn("_aic", F.floor(F.col("aic") * 1e3 + 0.5))
+    best = [
+        fit.select_model(shared, KEYS, order, score=score, largest=score == "_r2").select("trace_id", F.col("model").alias(name))
+        for score, name in (("_r2", "_by_r2"), ("_aic", "_by_aic"))
+    ]
+    out = scored.join(best[0], "trace_id").join(best[1], "trace_id")
+    return out.select(
+        "trace_id", F.lit("control").alias("phase"), "model", rounded("r2", 4).alias("r2"), rounded("aic", 2).alias("aic"),
+        (F.col("model") == F.col("_by_r2")).alias("best_r2"), (F.col("model") == F.col("_by_aic")).alias("best_aic"),
+    )
+
+
+@query(
+    "winner_curves",
+    "G22 G4",
+    LINE_POWER
+    + f""", e AS (SELECT trace_id, max(t) AS e FROM pt GROUP BY trace_id)
+SELECT w.trace_id, model, CAST(i AS BIGINT) AS i, {sql_round('i * e / 199', 5)} AS t,
+  {sql_round("CASE model WHEN 'Linear' THEN c2 * (i * e / 199) + c3 ELSE c1 * pow(i * e / 199, s1) + c3 END", 3)} AS value FROM win w JOIN e ON e.trace_id = w.trace_id, range(200) r(i) WHERE pick = 1""",
+)
+def winner_curves(spark, sf_dir):
+    """The curve of the winning model of each trace on 200 points."""
+    points = points_of(spark, sf_dir)
+    ends = points.groupBy(*KEYS).agg(F.max("t").alias("e"))
+    won = fit.fit_line_or_power(points, KEYS).filter("selected")
+    out = fit.curves(won.join(ends, KEYS), KEYS, F.col("e"), points=200)
+    return out.select("trace_id", "model", F.col("i").cast("long").alias("i"), rounded("t", 5).alias("t"), rounded("value", 3).alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparktraces.functions import labels, physics
 from sparktraces.operators import cohorts, fit, stats
 from sparktraces.operators.quantiles import quantiles
 from sparktraces.operators.stage import staging_path
@@ -252,3 +253,44 @@ def control_scatters(spark, sf_dir):
     trend = stats.fitted_trend(rows.select("arm", pairs.alias("_p")).select("arm", "_p.*"), ["arm", "spec"], "x", "y").drop("n")
     out = rho.join(trend, ["arm", "spec"])
     return out.select("spec", "arm", "n", *[rounded(c).alias(c) for c in ("rho", "slope", "r2")])
+
+
+@query(
+    "trap_remap",
+    "P16",
+    """
+WITH m(experiment, trap, canonical) AS (VALUES ('A', '1', 'T07'), ('A', '2', 'T08'), ('R', '1', 'T01'), ('R', '1', 'T02'))
+SELECT l_returnflag AS experiment, coalesce((SELECT min(canonical) FROM m WHERE m.experiment = l_returnflag AND m.trap = CAST(l_linenumber AS VARCHAR)), CAST(l_linenumber AS VARCHAR)) AS trap, count(*) AS n
+FROM lineitem GROUP BY ALL
+""",
+)
+def trap_remap(spark, sf_dir):
+    """Trap labels renamed by the list of their own experiment."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("experiment"), F.col("l_linenumber").cast("string").alias("trap"))
+    names = spark.createDataFrame([("A", "1", "T07"), ("A", "2", "T08"), ("R", "1", "T01"), ("R", "1", "T02")], "experiment string, trap string, canonical string")
+    return labels.remap_by_experiment(rows, names, "experiment", "trap").groupBy("experiment", "trap").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "region_areas",
+    "M7 M8",
+    f"""
+WITH s AS (SELECT l_orderkey, coalesce(arg_min_null(CASE WHEN l_orderkey % 3 <> 0 THEN 0.5 + l_tax END, l_linenumber * 1000000000000 + l_partkey * 1000 + l_suppkey), 0.629) AS scale FROM lineitem GROUP BY 1),
+a AS (SELECT l.l_orderkey, l_quantity * scale * scale AS body, l_extendedprice / 100 AS legacy FROM lineitem l JOIN s ON s.l_orderkey = l.l_orderkey)
+SELECT l_orderkey, {sql_round('sum(body)', 4)} AS body_area, {sql_round('sum(legacy)', 4)} AS prot_area, {sql_round('max(4 / (3 * sqrt(pi())) * (body * sqrt(body)))', 3)} AS body_volume FROM a GROUP BY 1
+""",
+)
+def region_areas(spark, sf_dir):
+    """Areas from pixel counts at the scale of the trace's first row, or from the older area column; a region with neither is left out."""
+    rows = table(spark, sf_dir, "lineitem")
+    place = F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
+    scale = F.when(F.col("l_orderkey") % 3 != 0, 0.5 + F.col("l_tax"))
+    scales = rows.groupBy("l_orderkey").agg(physics.first_scale(scale, place, physics.SCALE_UM_PER_PX).alias("scale"))
+    rows = rows.join(scales, "l_orderkey")
+    regions = {"body": (F.col("l_quantity"), None), "prot": (None, F.col("l_extendedprice") / 100), "tip": (None, None)}
+    areas = {r: physics.region_area(count, legacy, F.col("scale")) for r, (count, legacy) in regions.items()}
+    out = rows.withColumns({f"{r}_area": a for r, a in areas.items() if a is not None})
+    return out.groupBy("l_orderkey").agg(
+        *[rounded(F.sum(f"{r}_area"), 4).alias(f"{r}_area") for r, a in areas.items() if a is not None],
+        rounded(F.max(physics.sphere_volume(F.col("body_area"))), 3).alias("body_volume"),
+    )

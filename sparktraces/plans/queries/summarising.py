@@ -243,12 +243,12 @@ def axis_limits(spark, sf_dir):
     "A17 A26",
     "SELECT l_returnflag || l_linestatus AS replicate, "
     + ", ".join(f"{sql_round(f'avg(l_quantity) FILTER (WHERE l_linenumber = {i})')} AS c{i}" for i in range(1, 19))
-    + " FROM lineitem GROUP BY 1",
+    + ", count(*) FILTER (WHERE l_linenumber NOT BETWEEN 1 AND 18) AS outside FROM lineitem GROUP BY 1",
 )
 def position_matrix(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("replicate", F.concat("l_returnflag", "l_linestatus"))
     out = summaries.matrix(rows, "replicate", "l_linenumber", range(1, 19), "l_quantity")
-    return out.select("replicate", *r(out, *[f"c{i}" for i in range(1, 19)]))
+    return out.select("replicate", *r(out, *[f"c{i}" for i in range(1, 19)]), "outside")
 
 
 @query(
