@@ -3,9 +3,9 @@
 Only DataFrame functions are used. The one table that is ordered as a whole has one row per source.
 
 Defined results. A null or empty text has size 0 and is never taken. A null source is a source of its own
-and comes last in code point order. Rows that repeat, also with the same id, each count and are each taken
-by the same decision, because the Bernoulli draw depends on the id and text alone. A null id draws like any
-other value. An empty table gives no rows. Only the named columns are read, so others may have any name.
+and comes last in code point order. The Bernoulli draw depends on the id and the text alone, so different texts draw apart
+under one id, or without an id; rows that repeat in both each count and are each taken by the same decision.
+An empty table gives no rows. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktraces.operators.stage import staged
+
 #: Draws made from one digest: 8 hexadecimal digits each.
 DRAWS_PER_DIGEST = 4
 DIGESTS = 2
@@ -31,7 +33,7 @@ def draws(key: Column, seed: int) -> list[Column]:
     """Uniform numbers in [0, 1) that depend on ``key`` and ``seed`` alone."""
     found = []
     for i in range(DIGESTS):
-        digest = F.md5(F.concat(F.lit(f"{seed}:{i}:"), F.coalesce(key, F.lit("null"))))
+        digest = F.md5(F.concat(F.lit(f"{seed}:{i}:"), key))
         for j in range(DRAWS_PER_DIGEST):
             part = F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("double")
             found.append(part / F.lit(float(1 << 32)))
@@ -85,10 +87,13 @@ def mix_plan(
     before the shuffle, so a hot source costs one row per task.
     """
     named = F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("src"))
-    rows = docs.select(named.alias("_mix"), *keep).select(
-        *keep, F.col("_mix.id").alias("_mix_id"), F.col("_mix.src").alias("_mix_src"), word_count(F.col("_mix.text")).alias("_mix_size")
-    )
-    drawn = rows.withColumn("_mix_u", F.array(*draws(F.col("_mix_id").cast("string"), seed)))
+    found = docs.select(named.alias("_mix"), *keep)
+    key = F.concat(F.coalesce(F.col("_mix.id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col("_mix.text"), F.lit(""))))
+    measured = [F.col("_mix.id").alias("_mix_id"), F.col("_mix.src").alias("_mix_src"), word_count(F.col("_mix.text")).alias("_mix_size")]
+    measured.append(F.array(*draws(key, seed)).alias("_mix_u"))
+    # words are counted once for the totals; only columns that are kept make the last pass read the texts again
+    rows = staged(found.select(*measured))
+    drawn = found.select(*keep, *measured) if keep else rows
     sizes = rows.groupBy(F.col("_mix_src").alias("src")).agg(F.sum("_mix_size").alias("source_size"))
     goals = targets(sizes, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -97,7 +102,7 @@ def mix_plan(
     same = F.col("_mix_src").eqNullSafe(F.col("src"))
     # one row per source: small by nature, joined without a hint so that Spark weighs its real size
     extra = [F.sum(F.when(F.col("_mix_u")[i] < F.col("part"), F.col("_mix_size")).otherwise(0)).alias(f"e{i}") for i in range(n)]
-    tried = drawn.join(goals, same).groupBy("src", "source_size", "target", "whole", "part", "rate").agg(*extra)
+    tried = rows.join(goals, same).groupBy("src", "source_size", "target", "whole", "part", "rate").agg(*extra)
     misses = [F.struct(F.abs(F.col(f"e{i}") + F.col("whole") * F.col("source_size") - F.col("target")).alias("miss"), F.lit(i).alias("i")) for i in range(n)]
     chosen = tried.select("src", "source_size", "target", "rate", "whole", "part", F.least(*misses)["i"].alias("draw"))
     copies = F.col("whole") + F.when(F.element_at("_mix_u", F.col("draw") + 1) < F.col("part"), 1).otherwise(0)

@@ -120,7 +120,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 WITH words AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5('11:0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS m0, md5('11:1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS m1
+    md5('11:0:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS m0,
+    md5('11:1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS m1
   FROM documents),
 sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM words GROUP BY source),
 ranked AS (
