@@ -134,14 +134,14 @@ def hampel11(spark, sf_dir):
 @query(
     "outlier_std11",
     "W8 W9 O7",
-    WHOLE
+    HOLES
     + f""", c1 AS (SELECT *, list(y) OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS ys,
   stddev_samp(y) OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS sd FROM ok)
 SELECT event_id, n <= 11 OR abs(y - {PADDED('ys')}) <= 2.5 * greatest(coalesce(sd, 0), 0.5 * 0.629) AS inlier FROM c1
 WHERE frame >= CASE WHEN floor(n * 0.05::DOUBLE) >= n - 5 THEN 0 ELSE floor(n * 0.05::DOUBLE) END""",
 )
 def outlier_std11(spark, sf_dir):
-    rows = smoothing.outlier_free_std(dense(spark, sf_dir), KEYS, "y", n_rows="n")
+    rows = smoothing.outlier_free_std(holed(spark, sf_dir), KEYS, "y", n_rows="n")
     return smoothing.drop_leading(rows, fraction=0.05, n_rows="n").select("event_id", "inlier")
 
 
