@@ -14,16 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from sparktraces.operators.events import IQR_TO_SIGMA, Settings
 from sparktraces.operators.stage import staging_path
 
-#: What is kept of a trace whose rows are done with: rows seen, last baseline values, drift sum, alarms already raised.
-STATE = "seen LONG, recent ARRAY<DOUBLE>, total DOUBLE, fired ARRAY<STRING>"
-#: Rows that wait for the watermark: event time in microseconds and value.
-WAITING = "t LONG, y DOUBLE"
+#: Buckets of traces that share a state. Each is read and written as a whole.
+BUCKETS = 64
+#: What is kept of the traces of a bucket whose rows are done with: rows seen, last baseline values, drift sum, alarms already
+#: raised, time of the last row in microseconds; and the rows that wait for the watermark: trace, time, value.
+STATE = (
+    "name ARRAY<{key}>, seen ARRAY<LONG>, recent ARRAY<ARRAY<DOUBLE>>, total ARRAY<DOUBLE>, fired ARRAY<ARRAY<STRING>>, last ARRAY<LONG>, "
+    "owner ARRAY<{key}>, t ARRAY<LONG>, y ARRAY<DOUBLE>"
+)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event time of the row that closes a stream, which Arrow and pandas can hold; rows must be a century older.
 END = dt.datetime(2250, 1, 1)
@@ -62,62 +66,55 @@ def advance(state: tuple, values: np.ndarray, s: Settings) -> tuple[tuple, list[
     return (seen + len(values), line[-keep:].tolist(), total, [*fired, *(kind for _, kind in out)]), sorted(out)
 
 
-class AlarmProcessor(StatefulProcessor):
-    """Holds the rows of a trace until the watermark has passed them, then feeds them to the alarms in time order.
+def _alarms_of(key: str, settings: Settings, idle_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Holds the rows of a bucket of traces until the watermark has passed them, then feeds each trace to the alarms in time order.
 
-    A trace without rows for ``idle_ms`` is forgotten, if that is given.
+    The state of a bucket comes and goes in one piece with its rows, so a batch costs no calls per trace. A trace without rows for
+    ``idle_ms`` is forgotten, if that is given.
     """
 
-    def __init__(self, key: str, settings: Settings, idle_ms: int | None) -> None:
-        self.key, self.settings, self.idle_ms = key, settings, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.alarm = handle.getValueState("alarm", STATE)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            if key[0] is None or not len(batch):
-                continue
-            times = batch["at_us"].to_numpy()
-            self.waiting.appendList(list(zip(times.tolist(), batch["value_y"].tolist())))
-            first = int(times.min()) if first is None else min(first, int(times.min()))
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        ready, left = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
-        if not ready and not left:
-            # the idle timer: nothing has come since
-            if self.idle_ms is not None:
-                self.alarm.clear()
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if bucket[0] < 0:
+            # rows without a key, such as the closing mark
             return
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        *alarms, owner, t, y = state.get if state.exists else ([],) * 9
+        traces = {k: a for k, *a in zip(*alarms)}
+        owner = list(owner) + [k for b in parts for k in b[key].tolist()]
+        t = np.concatenate([np.array(t, np.int64), *(b["at_us"].to_numpy(np.int64) for b in parts)])
+        y = np.concatenate([np.array(y, float), *(b["value_y"].to_numpy(float) for b in parts)])
+        now = state.getCurrentWatermarkMs()
+        code, names = pd.factorize(pd.Series(owner, dtype=object))
+        ready = np.flatnonzero(t < now * 1000)
+        ready = ready[np.lexsort((y[ready], t[ready], code[ready]))]
+        found: list[tuple[object, int, str]] = []
+        for rows in np.split(ready, np.flatnonzero(np.diff(code[ready])) + 1) if len(ready) else []:
+            name = names[code[rows[0]]]
+            alarm, new = advance(tuple(traces.get(name, (0, [], 0.0, []))[:4]), y[rows], settings)
+            traces[name] = [*alarm, int(t[rows[-1]])]
+            found += [(name, f, kind) for f, kind in new]
+        left = np.flatnonzero(t >= now * 1000)
+        due = [int(t[left].min()) // 1000 + 1] if len(left) else []
+        if idle_ms is not None:
+            waiting = {owner[i] for i in left}
+            traces = {k: a for k, a in traces.items() if k in waiting or a[4] // 1000 + idle_ms >= now}
+            due += [a[4] // 1000 + idle_ms + 1 for k, a in traces.items() if k not in waiting]
+        if traces or len(left):
+            columns = [list(c) for c in zip(*([k, *a] for k, a in traces.items()))] or [[]] * 6
+            state.update((*columns, [owner[i] for i in left], t[left].tolist(), y[left].tolist()))
+            if due:
+                state.setTimeoutTimestamp(max(min(due), now + 1))
         else:
-            self.waiting.clear()
-            if self.idle_ms is not None:
-                self.handle.registerTimer(ready[-1][0] // 1000 + self.idle_ms)
-        if not ready:
-            return
-        current = self.alarm.get() if self.alarm.exists() else (0, [], 0.0, [])
-        new, found = advance(tuple(current), np.array([y for _, y in ready], float), self.settings)
-        self.alarm.update(new)
+            state.remove()
         if found:
-            yield pd.DataFrame({self.key: [key[0]] * len(found), "at_frame": [f for f, _ in found], "kind": [k for _, k in found]})
+            yield pd.DataFrame(found, columns=[key, "at_frame", "kind"])
 
-    def close(self) -> None:
-        pass
+    return step
 
 
 def online_alarms(
-    stream: DataFrame, key: str, t: str, y: str, *, settings: Settings = Settings(), late: str = "10 minutes", idle_ms: int | None = None
+    stream: DataFrame, key: str, t: str, y: str, *, settings: Settings = Settings(), late: str = "10 minutes", idle_ms: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """First spike and drift alarm per trace of a stream: (key, at_frame, kind).
 
@@ -125,10 +122,13 @@ def online_alarms(
     left out. Rows without a key or value are left out. Traces shorter than the warm-up raise nothing.
     """
     key_type = stream.schema[key].dataType.simpleString()
-    rows = stream.select(key, F.col(t).alias("at_t"), F.unix_micros(t).alias("at_us"), F.col(y).cast("double").alias("value_y"))
+    # rows without a key, of which the closing mark is one, have a bucket of their own
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("bucket")
+    rows = stream.select(bucket, key, F.col(t).alias("at_t"), F.unix_micros(t).alias("at_us"), F.col(y).cast("double").alias("value_y"))
     marked = rows.withWatermark("at_t", late).filter(F.col("value_y").isNotNull() | F.col(key).isNull())
-    return marked.groupBy(key).transformWithStateInPandas(
-        AlarmProcessor(key, settings, idle_ms), f"{key} {key_type}, at_frame LONG, kind STRING", "append", "eventtime"
+    return marked.groupBy("bucket").applyInPandasWithState(
+        _alarms_of(key, settings, idle_ms), f"{key} {key_type}, at_frame LONG, kind STRING", STATE.format(key=key_type), "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -194,14 +194,20 @@ def _summary(stream: DataFrame, window: Column, groups: Sequence[str], y: str) -
 
 @contextmanager
 def _state_store(spark: SparkSession):
-    """The state store that lists and timers need, for the queries that start inside."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    """A state store on disk, in as many parts as there are cores at most, for the queries that start inside.
+
+    Every batch opens and commits every part, however little it holds.
+    """
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(max(1, parts))}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def drain(result: DataFrame, name: str, *, close: Callable[[], None] | None = None) -> DataFrame:

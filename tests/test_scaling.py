@@ -3,10 +3,14 @@
 import datetime as dt
 import os
 
+import numpy as np
+from pyspark.sql import functions as F
 
 from sparktraces.operators import stage
+from sparktraces.operators.events import Settings
 from sparktraces.plans.queries.ordered import outlier_std11
 from sparktraces.plans.queries.side_tables import sniffed_columns
+from sparktraces.streaming import live
 
 START = dt.datetime(2024, 1, 1)
 
@@ -29,3 +33,23 @@ def test_sniffed_files_do_not_grow_with_users(spark, tmp_path):
     assert len(got) == 91 and got[7] == (3, base + 187, (7 + 97 + 187) / 2) and got[None][0] == 4
     root = next(p for p in reversed(stage._created) if "/unknown-" in p)
     assert len([f for f in os.listdir(root) if f.startswith("experiment=")]) <= 64
+
+
+def test_alarms_keep_few_parts_of_state(spark):
+    settings = Settings(settling=1, baseline=5, lag=2, spike_sigma=3.0)
+    rng = np.random.default_rng(4)
+    values = {k: rng.standard_normal(40) + 30.0 * (np.arange(40) >= 25) for k in range(6)}
+    rows = spark.createDataFrame([(k, START + dt.timedelta(minutes=i), float(v)) for k, ys in values.items() for i, v in enumerate(ys)], "k int, at timestamp, y double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        stream, close = live.closing(live.replayed(rows, F.unix_seconds("at"), 3), "at")
+        got = live.drain(live.online_alarms(stream, "k", "at", "y", settings=settings, buckets=2), "few", close=close).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = [(k, i, kind) for k, ys in values.items() for i, kind in live.advance((0, [], 0.0, []), ys, settings)[1]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) >= 6
+    state = next(p for p in reversed(stage._created) if "/few-" in p)
+    parts = [p for p in os.listdir(f"{state}/progress/state/0") if p.isdigit()]
+    assert len(parts) <= spark.sparkContext.defaultParallelism
