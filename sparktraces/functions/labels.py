@@ -88,27 +88,38 @@ def condition_type(voltage: Column) -> Column:
 def parse_folder(name: Column) -> Column:
     """Struct of experiment fields; NULL when the name does not follow the grammar."""
     sep = "\x01"
-    fields = F.split(
+    split = F.split(
         F.regexp_replace(name, FOLDER_GRAMMAR + r"[\s\S]*$", sep.join(f"${i}" for i in range(1, 11))), sep
     )
-    value, unit = fields[7].cast("double"), fields[8]
-    volts = fields[6].cast("int")
-    return F.when(
-        F.size(fields) == 10,
-        F.struct(
-            fields[0].alias("date"),
-            fields[1].alias("cell_type"),
-            fields[2].alias("treatment"),
-            fields[3].alias("chip"),
-            fields[4].alias("experiment_number"),
-            fields[5].cast("int").alias("pressure_pa"),
-            volts.alias("voltage_v"),
-            duration_ms(value, unit).alias("duration_ms"),
-            duration_label(value, unit).alias("duration_label"),
-            fields[9].cast("int").alias("pulse_frame"),
-            condition_type(volts).alias("condition_type"),
-        ),
-    )
+
+    def fields_of(fields: Column) -> Column:
+        value, unit = fields[7].cast("double"), fields[8]
+        volts = fields[6].cast("int")
+        return F.when(
+            F.size(fields) == 10,
+            F.struct(
+                fields[0].alias("date"),
+                fields[1].alias("cell_type"),
+                fields[2].alias("treatment"),
+                fields[3].alias("chip"),
+                fields[4].alias("experiment_number"),
+                fields[5].cast("int").alias("pressure_pa"),
+                volts.alias("voltage_v"),
+                duration_ms(value, unit).alias("duration_ms"),
+                duration_label(value, unit).alias("duration_label"),
+                fields[9].cast("int").alias("pulse_frame"),
+                condition_type(volts).alias("condition_type"),
+            ),
+        )
+
+    # a variable of a lambda: the name is matched once, however many fields are read from it
+    return F.get(F.transform(F.array(split), fields_of), F.lit(0))
+
+
+def parsed_folders(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose folder name follows the grammar, with its fields."""
+    # generated rows, not a filter beside a column: either would match the name again
+    return df.select("*", F.inline(F.array_compact(F.array(parse_folder(F.col(name))))))
 
 
 def outcome_tag(stem: Column, *, unknown: str = UNTAGGED_FATE) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparktraces.operators import stage
 from sparktraces.operators.events import Settings
+from sparktraces.plans.queries.labels import parsed_orders
 from sparktraces.plans.queries.ordered import outlier_std11
 from sparktraces.plans.queries.side_tables import sniffed_columns
 from sparktraces.streaming import live
@@ -35,6 +36,17 @@ def test_sniffed_files_do_not_grow_with_users(spark, tmp_path):
     assert len([f for f in os.listdir(root) if f.startswith("experiment=")]) <= 64
 
 
+def test_folder_names_are_matched_once(spark, tmp_path):
+    orders = spark.createDataFrame([(k, k, "O", dt.date(2024, 1, 2)) for k in range(8)] + [(9, 9, "P", dt.date(2024, 1, 2))], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    rows = parsed_orders(spark, str(tmp_path))
+    shown = rows.select("order_id", "voltage_v", "duration_label", "duration_ms", "pulse_frame")
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    got = {r["order_id"]: (r["voltage_v"], r["duration_label"], r["duration_ms"], r["pulse_frame"]) for r in shown.collect()}
+    assert got[1] == (100, "5ms", 5.0, 1) and got[2] == (100, "100us", 0.1, 2) and got[0] == (0, "2s", 2000.0, 0)
+    assert 9 not in got and len(got) == 8
+
+
 def test_alarms_keep_few_parts_of_state(spark):
     settings = Settings(settling=1, baseline=5, lag=2, spike_sigma=3.0)
     rng = np.random.default_rng(4)
