@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,10 +13,13 @@ from pyspark.sql.types import DoubleType
 
 from sparktraces.operators.cohorts import gate_counts
 from sparktraces.operators.quantiles import quantiles
-from sparktraces.operators.ranks import rank_table, spearman, two_sample_ranks
-from sparktraces.operators.stage import staged
+from sparktraces.operators.ranks import BUCKET_ROWS, rank_table, spearman, two_sample_ranks
+from sparktraces.operators.stage import BROADCAST_ROWS, staged
 from sparktraces.operators.summaries import QUARTILES, replicate_means
 
+#: Rows that one task should join with their ranks.
+RANKED_ROWS = 1 << 18
+
 
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
@@ -99,16 +102,54 @@ def with_spearman_p(table: DataFrame) -> DataFrame:
     return table.withColumn("p", student_p("t_stat", (F.col("n") - 2).cast("double")))
 
 
+def _with_ranks(rows: DataFrame, groups: Sequence[str], ranks: DataFrame, values: Mapping[int, Column], n_rows: int) -> DataFrame:
+    """Each row's centred rank in every variant, as columns _v0, _v1, ...; NULL where it takes no part.
+
+    Short rank tables are broadcast. Of a longer one the values with many ties are, and the rest meets the rows in tasks of about
+    `RANKED_ROWS`, so neither a tied value nor the number of rows fills a task.
+    """
+    groups = list(groups)
+    distinct = {r["_variant"]: (r["count"], r["heavy"]) for r in ranks.groupBy("_variant").agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(F.col("ties") > BUCKET_ROWS).alias("heavy")).collect()}
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / RANKED_ROWS))
+    free = BROADCAST_ROWS
+    wide = rows
+    for at in sorted(values, key=lambda at: distinct.get(at, (0, 0))):
+        name = f"_v{at}"
+        count, heavy = distinct.get(at, (0, 0))
+        table = ranks.filter(F.col("_variant") == at).select(*groups, F.col("_value").alias("_key"), "ties", F.col("_centred").alias(name))
+        wide = wide.withColumn("_key", values[at])
+        if count <= free:
+            free -= count
+            wide = wide.join(F.broadcast(table.drop("ties")), [*groups, "_key"], "left")
+            continue
+        tied = table.filter(F.col("ties") > BUCKET_ROWS).select(*groups, "_key", F.col(name).alias("_tied"))
+        wide = wide.join(F.broadcast(tied) if heavy <= BROADCAST_ROWS else tied, [*groups, "_key"], "left")
+        # a row that has its rank, or gets none, goes anywhere
+        placed = F.col("_key").isNull() | F.col("_tied").isNotNull()
+        for g in groups:
+            placed |= F.col(g).isNull()
+        # as text, for a join on doubles would shuffle again, into a number of parts of its own
+        text = (F.col("_key") + F.lit(0.0)).cast("string")
+        on = [*groups, "_text", "_spread"]
+        wide = wide.withColumn("_text", text).withColumn("_spread", F.when(placed, F.col("_row") + 1).otherwise(F.lit(0))).repartition(parts, *on)
+        # always 0, but no literal, which would leave the join and its layout without the column
+        zero = F.least(F.col("ties"), F.lit(0)).cast("long")
+        light = table.filter(F.col("ties") <= BUCKET_ROWS).select(*groups, text.alias("_text"), zero.alias("_spread"), name).repartition(parts, *on)
+        wide = wide.join(light.hint("merge"), on, "left").withColumn(name, F.coalesce("_tied", name)).drop("_tied", "_spread", "_text")
+    return wide
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (), *, min_n: int = 3) -> DataFrame:
     """Long Spearman matrix (groups, x_name, y_name, n, rho, t_stat) over pairwise-complete rows.
 
-    A column is ranked once for every way in which another column's missing values cut it, so once if nothing is missing.
-    Each task multiplies its ranks as one matrix, and the products are added: no pair of columns gets rows of its own.
+    A column is ranked once for every way in which another column's missing values cut it, so once if nothing is missing, and
+    the ranks come to the rows as columns. Each task multiplies its ranks as one matrix, and the products are added: no pair of columns gets rows of its own.
     """
     groups, columns = list(groups), list(columns)
     rows = staged(df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("_row", F.monotonically_increasing_id()))
     k = range(len(columns))
-    counts = rows.agg(*[F.count_if(F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()).alias(f"{i}_{j}") for i in k for j in k if i <= j]).first()
+    counts = rows.agg(*[F.count_if(F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()).alias(f"{i}_{j}") for i in k for j in k if i <= j], F.count(F.lit(1)).alias("rows")).first()
     both = lambda i, j: counts[f"{min(i, j)}_{max(i, j)}"]
     # columns that miss the same rows are one mask; a mask that takes no row from a column leaves its ranks alone
     mask = [next(j for j in k if both(i, j) == both(i, i) == both(j, j)) for i in k]
@@ -120,13 +161,13 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], groups: Sequence[str]
         return F.col(columns[i]) if j is None else F.when(F.col(columns[j]).isNotNull(), F.col(columns[i]))
 
     each = F.explode(F.array(*[F.struct(F.lit(at).alias("_variant"), values(i, j).alias("_value")) for (i, j), at in place.items()]))
-    long = staged(rows.select(*groups, "_row", each.alias("_v")).select(*groups, "_row", "_v.*").filter(F.col("_value").isNotNull()))
-    by = [*groups, "_variant"]
-    ranked = long.join(rank_table(long, by, "_value", rank="_rank").drop("ties"), [*by, "_value"])
+    long = rows.select(*groups, each.alias("_v")).select(*groups, "_v.*").filter(F.col("_value").isNotNull())
     centred = F.col("_rank") - (F.col("n") + 1) / F.lit(2.0)
+    by = [*groups, "_variant"]
+    ranks = staged(rank_table(long, by, "_value", rank="_rank").select(*by, "_value", "ties", centred.alias("_centred")))
     size = len(variants)
-    wide = ranked.groupBy(*groups, "_row").agg(*[F.max(F.when(F.col("_variant") == at, centred)).alias(f"_v{at}") for at in range(size)])
     names = [f"_v{at}" for at in range(size)]
+    wide = _with_ranks(rows, groups, ranks, {at: values(i, j) for (i, j), at in place.items()}, counts["rows"])
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

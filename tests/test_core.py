@@ -166,6 +166,43 @@ def test_matrix_ranks_only_complete_pairs(spark):
                 assert got.loc[(g, x, y), "n"] == len(both) and np.isclose(got.loc[(g, x, y), "rho"], want)
 
 
+def test_matrix_of_long_rank_tables_does_not_gather_ties_or_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", 30)
+    monkeypatch.setattr(stats, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(stats, "RANKED_ROWS", 100)
+    rng = np.random.default_rng(9)
+    n = 2_000
+    pdf = pd.DataFrame({"a": np.round(rng.standard_normal(n) * 50), "b": rng.integers(0, 4, n).astype(float), "c": rng.standard_normal(n)})
+    # a third of all rows ties, a third misses the value; zeros of both signs and values that are no numbers tie
+    pdf.loc[: n // 3, "a"] = 0.0
+    pdf.loc[: n // 6, "a"] = -0.0
+    pdf["g"] = rng.choice(["u", "v"], n)
+    values = pdf.astype(object)
+    values.loc[n // 3 : 2 * n // 3, "c"] = None
+    values.loc[values.index[-5:], "g"] = None
+    rows = spark.createDataFrame(values[["a", "b", "c", "g"]], "a double, b double, c double, g string")
+    seen = []
+    joined = stats._with_ranks
+
+    def watched(rows, groups, *rest):
+        wide = joined(rows, groups, *rest)
+        seen.append([r["n"] for r in wide.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()])
+        return wide
+
+    monkeypatch.setattr(stats, "_with_ranks", watched)
+    got = stats.spearman_matrix(rows, list("abc"), ["g"]).toPandas().set_index(["g", "x_name", "y_name"])
+    assert sorted(set(got.index.get_level_values("g"))) == ["u", "v"]
+    pdf = pdf[:-5]
+    pdf["c"] = values["c"][:-5].astype(float)
+    for g, part in pdf.groupby("g"):
+        for i, x in enumerate("abc"):
+            for y in "abc"[i:]:
+                both = part[[x, y]].dropna() if x != y else part[[x]].dropna()
+                assert got.loc[(g, x, y), "n"] == len(both)
+                assert np.isclose(got.loc[(g, x, y), "rho"], both[x].rank().corr(both[y].rank()))
+    assert max(seen[0]) < 0.2 * n
+
+
 def test_levels_merge_to_the_same_moments(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame([(k, f"a{k % 2}", f"b{k % 3}", i, float(i), rng.standard_normal() + 100) for k in range(12) for i in range(5) if k != 4 or i < 2], columns=["k", "a", "b", "i", "grid", "value"])
