@@ -263,10 +263,9 @@ def folder_source(spark, sf_dir):
     )
     root = staging_path(spark, "folders")
     for part, length in ((rows.filter(F.col("user") % 11 != 0), "Length (um)"), (rows.filter(F.col("user") % 11 == 0), "Width")):
-        part = part.drop("user").withColumnRenamed("Length", length).repartition("experiment", "file")
-        part.write.mode("append").partitionBy("experiment", "file").option("header", "true").csv(root)
+        folder_reader.write_files(part.drop("user").withColumnRenamed("Length", length), root, ["experiment", "file"])
     folder_reader.register(spark)
-    source = spark.read.format("trace_folders").option("path", root).option("columns", "frame=frame_index|Frame,length=Length|Length (um)")
+    source = spark.read.format("trace_folders").option("path", root).option("slices", spark.sparkContext.defaultParallelism).option("columns", "frame=frame_index|Frame,length=Length|Length (um)")
     date = F.substring("experiment", 1, 6).alias("date")
     length = F.col("length").try_cast("double")
     left = source.option("report", "true").load()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparktraces.operators.sequence import summarise
 from sparktraces.operators.stage import staged
-from sparktraces.sources import manifest, sinks, tables
+from sparktraces.sources import folder_source, manifest, sinks, tables
 
 FOLDER = "260128_MDAMB231_WT_Chip1_Experiment3-1100Pa-100V-5ms-frame10"
 OTHER = "260129_MDAMB231_CytD_Chip2_Experiment4-1100Pa-0V-5ms-frame0"
@@ -169,3 +169,23 @@ def test_fit_on_every_row(spark, tmp_path):
     assert {(r.k, r.a) for r in out.collect()} == {(0, 4.0), (1, 5.0)} and out.count() == 6
     sinks.write_by(out, str(tmp_path / "by"), "k")
     assert spark.read.parquet(str(tmp_path / "by")).filter("k = 1").count() == 3
+
+
+def test_folder_files_are_written_and_read_in_slices(spark, tmp_path):
+    long = [("e1", "Trap_9_x", i, f"{i}.5") for i in range(30_000)]
+    rows = long + [(f"e{k % 2}", f"Trap_{k}_x", i, None if i == 1 else f"{k}.25") for k in range(40) if k != 9 for i in range(3)]
+    df = spark.createDataFrame(rows, "experiment string, file string, Frame long, Length string")
+    root = f"file://{tmp_path}/folders"
+    assert folder_source.write_files(df.repartition(7), root, ["experiment", "file"]) == 40
+    bad = spark.createDataFrame([("e1", "Trap_77_x", 1, "2")], "experiment string, file string, Frame long, Width string")
+    assert folder_source.write_files(bad, root, ["experiment", "file"]) == 1
+    assert folder_source.write_files(bad.limit(0), root, ["experiment", "file"]) == 0
+    folder_source.register(spark)
+    for slices in (1, 5):
+        source = spark.read.format("trace_folders").option("path", root).option("columns", "frame=Frame,length=Length").option("slices", slices)
+        back = source.load()
+        assert back.rdd.getNumPartitions() == 2 * slices
+        got = back.select("experiment", F.concat(F.lit("Trap_"), "trap_id", F.lit("_x")), F.col("frame").cast("long"), "length").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+        report = source.option("report", "true").load().collect()
+        assert [(r.experiment, r.reason) for r in report] == [("e1", "missing columns")]
