@@ -20,6 +20,8 @@ from sparktraces.llm.toxicity import fitted, kept
 from sparktraces.operators.stage import staged
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Fragments that a task keeps, fewer than by default, as the stages share the memory of an executor.
+KEPT_FRAGMENTS = 60_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every row: the token ids, and the digest of what they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row: the token ids, and the digest of what they decode to.
+
+    The ids are written in between, so a task has one Python process, and not an encoder and a decoder side by side.
+    """
     vocabulary = public_tokenizers.path(VOCABULARY)
-    tokens = decoded(encoded(docs, vocabulary), vocabulary)
+    tokens = decoded(staged(encoded(docs, vocabulary, kept=KEPT_FRAGMENTS)), vocabulary)
     return tokens.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -44,30 +44,48 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """Encoder and decoder over one vocabulary file."""
+def _raw(token: str, alphabet: dict[str, int] = byte_alphabet()) -> bytes:
+    return bytes(alphabet[c] for c in token)
+
+
+class Decoder:
+    """Bytes of every id of one vocabulary file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
-            data = json.load(file)
-        alphabet = byte_alphabet()
-        raw = lambda token: bytes(alphabet[c] for c in token)
-        vocab = data["model"]["vocab"]
-        self.ids = {raw(token): i for token, i in vocab.items()}
+            self._read(json.load(file))
+
+    def _read(self, data: dict) -> None:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.bytes_of = {i: token for token, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = {i: _raw(token) for token, i in data["model"]["vocab"].items()} | {i: t.encode() for t, i in self.special.items()}
+
+    def decode(self, ids: bytes) -> str:
+        """The text of packed ids; bytes that are no UTF-8 become the replacement character."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+class Codec(Decoder):
+    """Encoder and decoder over one vocabulary file, with tables of at most ``kept`` known fragments, and words, in each generation."""
+
+    def __init__(self, path: str, kept: int | None = None) -> None:
+        self.kept = KEPT_FRAGMENTS if kept is None else kept
+        super().__init__(path)
+
+    def _read(self, data: dict) -> None:
+        super()._read(data)
+        self.ids = {_raw(token): i for token, i in data["model"]["vocab"].items()}
         self.first = [self.ids[bytes([b])] for b in range(256)]
         #: Rank and resulting id of a pair in one number, so that the least number is the next join.
         self.joins: dict[tuple[int, int], int] = {}
         for rank, merge in enumerate(data["model"]["merges"]):
-            left, right = map(raw, merge if isinstance(merge, list) else merge.split(" "))
+            left, right = map(_raw, merge if isinstance(merge, list) else merge.split(" "))
             self.joins[self.ids[left], self.ids[right]] = rank << ID_BITS | self.ids[left + right]
         self.inside = {pair for token in self.ids for pair in zip(token, token[1:])}
         self.words = regex.compile(WORDS).findall
         self.outer = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known = _Known(self.fragment_ids)
-        self.words_known = _Known(self.word_ids)
+        self.known = _Known(self.fragment_ids, self.kept)
+        self.words_known = _Known(self.word_ids, self.kept)
 
     def forced_fragments(self, word: bytes) -> list[bytes]:
         """The word cut at every byte pair that no token holds."""
@@ -138,16 +156,12 @@ class Codec:
         self.words_known.trim()
         return b"".join(map(self.known.__getitem__, self.outer(text)))
 
-    def decode(self, ids: bytes) -> str:
-        """The text of packed ids; bytes that are no UTF-8 become the replacement character."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-
 
 class _Known(dict):
     """Packed ids by text, in two generations; long texts are encoded but not kept."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode, self.older = encode, {}
+    def __init__(self, encode: Callable[[str], bytes], kept: int) -> None:
+        self.encode, self.kept, self.older = encode, kept, {}
 
     def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
@@ -159,29 +173,37 @@ class _Known(dict):
 
     def trim(self) -> None:
         """Called between texts: a full generation becomes the older one."""
-        if len(self) > KEPT_FRAGMENTS:
+        if len(self) > self.kept:
             self.older = dict(self)
             self.clear()
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
+_decoders: dict[str, Decoder] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, kept: int = KEPT_FRAGMENTS) -> Codec:
     """The codec of a vocabulary file, made once in each Python process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    if (path, kept) not in _codecs:
+        _codecs[path, kept] = _decoders[path] = Codec(path, kept)
+    return _codecs[path, kept]
+
+
+def decoder(path: str) -> Decoder:
+    """The decoder of a vocabulary file, made once in each Python process; a codec that is there already serves as one."""
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
 
 
-def encoded(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT_FRAGMENTS) -> DataFrame:
     """(doc_id, n_tokens, ids) with ids packed as little-endian unsigned 32-bit integers.
 
-    ``vocabulary`` is the path of the vocabulary file on every machine.
+    ``vocabulary`` is the path of the vocabulary file on every machine; ``kept`` bounds the memory of a task and changes no id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(vocabulary)
+        made = codec(vocabulary, kept)
         for batch in batches:
             for part in _slices(batch):
                 ids = [made.encode(t or "") for t in part.column("text").to_pylist()]
@@ -196,7 +218,7 @@ def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of a result of `encoded`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(vocabulary)
+        made = decoder(vocabulary)
         for batch in batches:
             for part in _slices(batch):
                 texts = pa.array([made.decode(x) for x in part.column("ids").to_pylist()], pa.string())

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparktraces.llm.ann_tree import nearest
-from sparktraces.llm.bpe import Codec, decoded, encoded
+from sparktraces.llm.bpe import Codec, Decoder, decoded, encoded
 from sparktraces.llm.chat import END, perspectives
 from sparktraces.llm.components import components
 from sparktraces.llm.html_extract import extracted, main_text
@@ -92,6 +92,21 @@ def test_bpe_forced_pairs_are_in_no_token():
     assert all((a[-1], b[0]) not in codec.inside for a, b in zip(pieces, pieces[1:]))
 
 
+def test_bpe_with_few_kept_fragments_gives_the_same_ids():
+    few, many = Codec(VOCABULARY, 20), Codec(VOCABULARY)
+    texts = [" ".join(f"word{i * k} x{i}" for i in range(15)) for k in range(40)]
+    assert [few.encode(t) for t in texts] == [many.encode(t) for t in texts]
+    longest = max(len(t.split()) for t in texts)
+    assert all(len(table) + len(table.older) <= 2 * (20 + 2 * longest) for table in (few.known, few.words_known))
+    assert Decoder(VOCABULARY).decode(few.encode(texts[1])) == texts[1]
+
+
+def test_pipeline_encodes_and_decodes_in_turn(spark, odd, sf_dir):
+    out = corpus_pipeline.tokenize(spark, odd, sf_dir)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert out.count() == odd.count()
+
+
 def test_bpe_on_odd_rows(odd, nothing):
     rows = decoded(encoded(odd, VOCABULARY), VOCABULARY).collect()
     texts = {(r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()}
