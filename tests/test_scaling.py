@@ -6,7 +6,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparktraces.operators import stage
+from sparktraces.operators import fit, stage
 from sparktraces.operators.events import Settings
 from sparktraces.plans.queries.labels import parsed_orders
 from sparktraces.plans.queries.ordered import outlier_std11
@@ -65,3 +65,26 @@ def test_alarms_keep_few_parts_of_state(spark):
     state = next(p for p in reversed(stage._created) if "/few-" in p)
     parts = [p for p in os.listdir(f"{state}/progress/state/0") if p.isdigit()]
     assert len(parts) <= spark.sparkContext.defaultParallelism
+
+
+def test_terms_of_two_rises_are_worked_out_once_a_shape(monkeypatch):
+    t, y = np.arange(40.0), np.random.default_rng(3).exponential(2.0, 40)
+    spec = {"lo1": 0.3, "hi1": 90.0, "n1": 24, "lo2": 0.3, "hi2": 90.0, "n2": 24}
+    worked, plain = [], np.expm1
+    monkeypatch.setattr(np, "expm1", lambda x: worked.append(np.size(x)) or plain(x))
+    i, sums = fit._partial_sums(t, y, spec, "two_rises", True)
+    assert sum(worked) <= 2 * 24 * len(t)
+    shapes = np.exp(np.linspace(np.log(0.3), np.log(90.0), 24))
+    assert len(i) == 24 * 23 // 2
+    for at, *row in zip(i, *sums):
+        a, b = (-plain(-t / shapes[k]) for k in divmod(at, 24))
+        np.testing.assert_allclose(row, [y @ y, y @ a, y @ b, 0, a @ a, a @ b, 0, b @ b, 0, 0], rtol=1e-9)
+
+
+def test_cleaned_points_are_written_before_they_are_numbered(spark, monkeypatch):
+    written, plain = [], fit.staged
+    monkeypatch.setattr(fit, "staged", lambda df: written.append(df) or plain(df))
+    rows = spark.createDataFrame([(1, i, float(i), float(i % 5)) for i in range(40)], "trace_id long, frame long, t double, y double")
+    out = fit.fit_points(rows.withColumn("n", F.lit(40).cast("long")), ["trace_id"], "t", "y", n_rows="n")
+    assert out.count() == 40
+    assert "collect_list" not in written[-1]._jdf.queryExecution().optimizedPlan().toString()
