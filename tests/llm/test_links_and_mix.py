@@ -101,3 +101,19 @@ def test_mix_reaches_targets_whatever_the_ids(spark, ids):
         targets[r["source"]] = r["target"]
     for source, target in targets.items():
         assert taken[source] == pytest.approx(target, rel=0.03)
+
+
+def test_a_quoted_passage_forms_no_group(spark):
+    """Unrelated texts that quote one passage stay apart, near copies together, and a large family of one text in one group."""
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+    passage, base = words(40), words(60)
+    quoting = [" ".join(words(60) + passage) for _ in range(60)]
+    family = [" ".join([*base[:i], "x" + str(i), *base[i + 1 :]]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(quoting + family)), DOCS)
+    profiles = jaccard_join._profiles(docs, 4, 85, jaccard_join.frequent_shingles(docs, 4)).select("doc_id", "gid").collect()
+    sizes = collections.Counter(r["gid"] for r in profiles if r["doc_id"] < 60)
+    assert max(sizes.values()) <= 2
+    assert max(collections.Counter(r["gid"] for r in profiles if r["doc_id"] >= 60).values()) > 30
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs, width=4, percent=85).collect()}
+    assert got == brute_components(list(enumerate(quoting + family)), 4, 85)
