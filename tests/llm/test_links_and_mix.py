@@ -117,3 +117,13 @@ def test_a_quoted_passage_forms_no_group(spark):
     assert max(collections.Counter(r["gid"] for r in profiles if r["doc_id"] >= 60).values()) > 30
     got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs, width=4, percent=85).collect()}
     assert got == brute_components(list(enumerate(quoting + family)), 4, 85)
+
+
+def test_groups_far_apart_in_size_are_no_partners(spark, monkeypatch):
+    compared, plain = [], jaccard_join._qualifying
+    monkeypatch.setattr(jaccard_join, "_qualifying", lambda pairs, percent: compared.append(pairs.select("q", "g").collect()) or plain(pairs, percent))
+    row = lambda gid, n: (gid, n, gid, 1, jaccard_join._bit_row(np.arange(n, dtype=np.uint64)).tolist())
+    classes = spark.createDataFrame([row(1, 100), row(2, 20), row(3, 95)], "cno long, n int, gid long, copies long, bits array<long>")
+    shared = spark.createDataFrame([(t, g) for t in range(15) for g in (1, 2, 3)], "token long, gid long")
+    stands = {r["gid"]: r["stands"] for r in jaccard_join._groups(classes, shared, 85).collect()}
+    assert [tuple(p) for p in compared[0]] == [(3, 1)] and stands == {1: None, 2: None, 3: 1}
