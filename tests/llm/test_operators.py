@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,6 +27,7 @@ from sparktraces.llm.queries import RULES, SQL, QUERIES
 from sparktraces.llm.sharding import stratified_shards
 from sparktraces.llm.toxicity import CUTOFF, Model, fitted, kept, scored, trained
 from sparktraces.llm.url_filter import judged, link_edges
+from sparktraces.operators.stage import BATCH_BYTES, BATCH_SETTING
 from tests.oracle import compare, connect
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,6 +109,24 @@ def test_pipeline_encodes_and_decodes_in_turn(spark, odd, sf_dir):
     assert out.count() == odd.count()
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.tokenize])
+def test_pipeline_sends_few_texts_at_a_time_to_python(spark, nothing, sf_dir, stage):
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes], "rows": [batch.num_rows]})
+
+    spark.conf.unset(BATCH_SETTING)
+    stage(spark, nothing, sf_dir)
+    seen = texts.mapInArrow(sizes, "size long, rows long").collect()
+    assert sum(r.rows for r in seen) == 2000 and max(r.size for r in seen) < 2 * BATCH_BYTES
+    spark.conf.set(BATCH_SETTING, "1m")
+    stage(spark, nothing, sf_dir)
+    assert spark.conf.get(BATCH_SETTING) == "1m"
+    spark.conf.unset(BATCH_SETTING)
+
+
 def test_bpe_on_odd_rows(odd, nothing):
     rows = decoded(encoded(odd, VOCABULARY), VOCABULARY).collect()
     texts = {(r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()}
