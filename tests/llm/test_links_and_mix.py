@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import collections
+import os
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparktraces.llm import jaccard_join
 from sparktraces.llm.jaccard_join import jaccard_components, one_per_component
 from sparktraces.llm.mixing import mix_plan
+from sparktraces.llm.shingles import shingle_set
+from sparktraces.operators import stage
 
 DOCS = "doc_id long, text string"
 
@@ -127,3 +131,53 @@ def test_groups_far_apart_in_size_are_no_partners(spark, monkeypatch):
     shared = spark.createDataFrame([(t, g) for t in range(15) for g in (1, 2, 3)], "token long, gid long")
     stands = {r["gid"]: r["stands"] for r in jaccard_join._groups(classes, shared, 85).collect()}
     assert [tuple(p) for p in compared[0]] == [(3, 1)] and stands == {1: None, 2: None, 3: 1}
+
+
+def test_texts_are_not_shuffled_for_many_wanted_sets(spark, monkeypatch):
+    """More wanted classes than a broadcast holds: their ids still go to the texts, in several passes."""
+    monkeypatch.setitem(stage.lookup_side.__kwdefaults__, "limit", 3)
+    monkeypatch.setattr(jaccard_join, "NARROW_ROWS", 3, raising=False)
+    plans, mapped = [], jaccard_join._mapped
+
+    def spy(rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return mapped(rows, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_mapped", spy)
+    rows = [(i, f"a{i} b{i % 3} c d e{i} f") for i in range(12)] + [(2, "one more text of an id"), (None, "x y z")]
+    texts = stage.staged(spark.createDataFrame(rows, DOCS))
+    digests = {i: xxhash.xxh3_128_digest(shingle_set(t, 2).tobytes()) for i, t in reversed(rows)}
+    wanted = [(100 + i, i, digests[i], 5, 1, 4, False, i == 3, None, False) for i in range(8)]
+    place = "gid long, size long, hi int, centre boolean, main boolean, stands long, stood boolean"
+    wanted = spark.createDataFrame(wanted, f"cno long, rep long, cid binary, {place}")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = jaccard_join._sets(texts, wanted, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and not any("Exchange hashpartitioning" in p for p in plans)
+    assert sorted((r["cno"], r["main"], bytes(r["tokens"])) for r in found) == [
+        (100 + i, i == 3, jaccard_join._packed(shingle_set(rows[i][1], 2))) for i in range(8)
+    ]
+
+
+def test_links_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    """Small limits of broadcast tables; prefixes of all texts that are gone by then."""
+    monkeypatch.setitem(stage.lookup_side.__kwdefaults__, "limit", 5)
+    monkeypatch.setattr(jaccard_join, "NARROW_ROWS", 60, raising=False)
+    rows = families(5)
+    before = list(stage._created)
+    found = jaccard_components(spark.createDataFrame(rows, DOCS), width=3, percent=80).collect()
+    want = brute_components(rows, 3, 80)
+    assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None} == want
+    left = [p for p in stage._created if p not in before]
+    assert left and not any("prefix" in spark.read.parquet(p).columns for p in left)
+
+
+def test_discarded_tables_are_deleted_and_others_stay(spark):
+    gone, kept = stage.staged(spark.range(3)), stage.staged(spark.range(4))
+    path = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    stage.discard(gone)
+    assert not os.path.exists(f"/{path.lstrip('/')}") and kept.count() == 4
+    assert not any(p.endswith(path.rsplit("/", 1)[-1]) for p in stage._created)
